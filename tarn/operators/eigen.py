@@ -20,20 +20,15 @@ MAX_BASIS = 240
 
 
 def inner_products(df: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
-    row = df.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"s{i}") for i, (a, b) in
-                   enumerate((a, b) for a in left for b in right)]).first()
+    sums = ", ".join(f"sum(`{a}` * `{b}`)" for a in left for b in right)
+    row = df.agg(F.expr(f"array({sums})").alias("s")).first()["s"]
     return np.array([0.0 if v is None else v for v in row], dtype=float).reshape(len(left), len(right))
 
 
 def mix(columns: list[str], weights: np.ndarray) -> list:
     """Linear combinations of columns, one per column of ``weights``."""
-    out = []
-    for k in range(weights.shape[1]):
-        expr = F.lit(0.0)
-        for c, w in zip(columns, weights[:, k]):
-            expr = expr + F.lit(float(w)) * F.col(c)
-        out.append(expr)
-    return out
+    terms = lambda k: [f"({float(w)!r}D) * `{c}`" for c, w in zip(columns, weights[:, k]) if w != 0.0]
+    return [F.expr(" + ".join(terms(k)) or "0.0D") for k in range(weights.shape[1])]
 
 
 def symmetric_apply(upper: DataFrame, diagonal: DataFrame | None = None, rows: int = 0) -> Callable[[DataFrame, list[str]], DataFrame]:

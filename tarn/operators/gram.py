@@ -98,11 +98,10 @@ def _pairs(p: int):
 
 
 def _narrow(df: DataFrame, names: list[str], by: list[str]) -> DataFrame:
-    q = [f"`{n}`" for n in names]
+    means = ", ".join(f"avg(`{n}`)" for n in names)
+    covs = ", ".join(f"covar_pop(`{names[a]}`, `{names[b]}`)" for a, b in _pairs(len(names)))
     return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.avg(c) for c in q]).alias("mean"),
-        F.array(*[F.covar_pop(q[a], q[b]) for a, b in _pairs(len(q))]).alias("cov"),
+        F.count(F.lit(1)).alias("n"), F.expr(f"array({means})").alias("mean"), F.expr(f"array({covs})").alias("cov")
     ).select(*by, "n", "mean", F.transform("cov", lambda c: c * F.col("n")).alias("m"))
 
 

@@ -189,8 +189,8 @@ def cross_gower(pairs: DataFrame, table: DataFrame, names: list[str], rows: int)
     side = lambda s: per_item(table.select(F.col("id").alias(s), *[F.col(f"`{n}`").alias(f"{s}{k}") for k, n in enumerate(names)]), rows)
     both = pairs.join(side("i"), "i").join(side("j"), "j")
     idx = [(a, b) for a in range(len(names)) for b in range(a, len(names))]
-    sums = [F.sum(F.col("g") * (F.col(f"i{a}") * F.col(f"j{b}") + F.col(f"i{b}") * F.col(f"j{a}"))) for a, b in idx]
-    row = both.agg(F.array(*sums).alias("t")).first()["t"]
+    sums = ", ".join(f"sum(g * (i{a} * j{b} + i{b} * j{a}))" for a, b in idx)
+    row = both.agg(F.expr(f"array({sums})").alias("t")).first()["t"]
     out = np.zeros((len(names), len(names)))
     for (a, b), v in zip(idx, row):
         out[a, b] = out[b, a] = v if v is not None else 0.0
@@ -353,7 +353,7 @@ def constraint_scores(model: Constrained, k: int | None = None) -> DataFrame:
     """Unit-length linear combinations of the variables, ``(id, cap1..)``."""
     k = min(k or len(model.x), len(model.x))
     w = model.weights[:, :k] * axis_signs(model, k)
-    names = [f"`{n}`" for n in model.space.names]
+    names = model.space.names
     return model.space.design.select("id", *[e.alias(f"cap{i + 1}") for i, e in enumerate(mix(names, w))])
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .eigen import inner_products, symmetric_apply
+from .eigen import inner_products, mix, symmetric_apply
 from .ordination import Constrained, Space, residual_map
 from .pairs import block_count, block_of, per_item
 
@@ -77,11 +77,8 @@ def residual_pairs(space: Space, z: list[int]) -> DataFrame:
     basis = [F.lit(1.0 / np.sqrt(n)).alias("q0")]
     if z:
         low = np.linalg.inv(np.linalg.cholesky(space.s[np.ix_(z, z)]))
-        for k in range(len(z)):
-            expr = F.lit(0.0)
-            for w, c in zip(low[k], z):
-                expr = expr + F.lit(float(w)) * F.col(f"`{space.names[c]}`")
-            basis.append(expr.alias(f"q{k + 1}"))
+        axes = mix([space.names[c] for c in z], low.T)
+        basis += [e.alias(f"q{k + 1}") for k, e in enumerate(axes)]
     cols = [f"q{k}" for k in range(len(basis))]
     q = space.design.select("id", *basis)
     u = symmetric_apply(space.pairs, rows=n)(q, cols).withColumnsRenamed({c: f"u{c}" for c in cols})
@@ -156,19 +153,11 @@ def _cross_of(model: Constrained, n: int, seed: int):
     weights[model.z, range(len(model.z))] = 1.0
     weights[:, len(model.z):] = residual_map(space, model.x, model.z)
     s = weights.T @ space.s @ weights
-    mixed = space.design.select("id", *[_combine(space.names, weights[:, k]).alias(names[k]) for k in range(len(cols))])
+    mixed = space.design.select("id", *[e.alias(n) for e, n in zip(mix(space.names, weights), names)])
     trace = space.trace - model.ss_condition
     return permuted_cross(pairs, mixed, names, space.n, n, seed), s, trace
 
 
-def _combine(names: list[str], weights: np.ndarray):
-    expr = F.lit(0.0)
-    for name, w in zip(names, weights):
-        if w != 0.0:
-            expr = expr + F.lit(float(w)) * F.col(f"`{name}`")
-    return expr
-
-
 def _test_model(model: Constrained, spark: SparkSession, n: int, seed: int) -> DataFrame:
     crosses, s, trace = _cross_of(model, n, seed)
     q, dfm, dfr = len(model.z), model.df_model, model.df_residual
@@ -238,7 +227,7 @@ def _with_axes(model: Constrained) -> Space:
     """The model's space with its axes as further columns."""
     space, axes = model.space, [f"__cap{k + 1}" for k in range(len(model.x))]
     grow = np.hstack([np.eye(len(space.names)), model.weights])
-    table = space.design.select("*", *[_combine(space.names, model.weights[:, k]).alias(a) for k, a in enumerate(axes)])
+    table = space.design.select("*", *[e.alias(a) for e, a in zip(mix(space.names, model.weights), axes)])
     return Space(space.terms, [*space.names, *axes], space.n, grow.T @ space.s @ grow, grow.T @ space.t @ grow,
                  space.trace, space.pairs, table)
 

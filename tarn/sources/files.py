@@ -20,11 +20,12 @@ def union_by_name(frames: list[DataFrame]) -> DataFrame:
 def _files_by_header(spark: SparkSession, path: str, encoding: str) -> dict[str, list[str]]:
     """Distinct header line -> files having it; only file names and header lines reach the driver."""
     lines = spark.read.option("encoding", encoding).text(path)
+    # a file's first split is read in order within one partition, so the smallest row number is its first line
     first = (
-        lines.select("value", "_metadata.file_path", "_metadata.file_block_start")
+        lines.select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
         .filter(F.col("file_block_start") == 0)
         .groupBy("file_path")
-        .agg(F.min_by("value", F.monotonically_increasing_id()).alias("header"))
+        .agg(F.min_by("value", "at").alias("header"))
     )
     grouped = first.groupBy("header").agg(F.collect_list("file_path").alias("files"))
     rows = grouped.limit(MAX_HEADERS + 1).collect()
