@@ -6,17 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .community import sum_by_sample
 from .pairs import pair_sums, per_item
 
 
-def with_totals(pairs: DataFrame, totals: DataFrame, key: str, value: str) -> DataFrame:
-    """Add both items' totals, ``ti`` and ``tj``."""
-    n = totals.count()
-    side = lambda s: per_item(totals.select(F.col(key).alias(s), F.col(value).alias(f"t{s}")), n)
-    return pairs.join(side("i"), "i").join(side("j"), "j")
-
-
 def _distance(pairs: DataFrame, d: Column) -> DataFrame:
     return pairs.select("i", "j", d.alias("d"))
 
@@ -38,8 +30,7 @@ def distance_of_distances(d: DataFrame) -> DataFrame:
 
 
 def bray_curtis(counts: DataFrame) -> DataFrame:
-    shared = pair_sums(counts, "sample_id", "feature_id", "count", "min")
-    both = with_totals(shared, sum_by_sample(counts), "sample_id", "total")
+    both = pair_sums(counts, "sample_id", "feature_id", "count", "min", totals=True)
     return _distance(both, 1 - 2 * F.col("s") / (F.col("ti") + F.col("tj")))
 
 
@@ -50,8 +41,7 @@ def unifrac(proportions: DataFrame, weighted: bool = True, normalized: bool = Tr
     """
     share = F.col("length") * (F.col("p") if weighted else F.lit(1.0))
     cells = proportions.filter(F.col("p") > 0).select("sample_id", "branch", share.alias("w"))
-    totals = cells.groupBy("sample_id").agg(F.sum("w").alias("total"))
-    both = with_totals(pair_sums(cells, "sample_id", "branch", "w", "min"), totals, "sample_id", "total")
+    both = pair_sums(cells, "sample_id", "branch", "w", "min", totals=True)
     total = F.col("ti") + F.col("tj")
     if weighted:
         unshared = total - 2 * F.col("s")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.compat import as_col, is_present
 
-WIDE = 24
+WIDE = 16
 MAX_LEVELS = 1000
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.compat import is_present
+from ..session import cut_lineage
 
 MAX_BUCKETS = 1000
 
@@ -21,7 +22,6 @@ def _bounds(df: DataFrame, value: str) -> list[float]:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     k = min(MAX_BUCKETS, max(2, 2 * parts))
     probs = [i / k for i in range(1, k)]
-    # the sketch runs over counted values: one entry per distinct value, weighted by nothing
     row = df.agg(F.percentile_approx(value, probs, 10 * k).alias("b")).first()
     cuts = sorted({b for b in (row["b"] or []) if abs(b) != float("inf")})
     return [float("-inf"), *cuts, float("inf")]
@@ -33,7 +33,8 @@ def positions(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     Missing values are left out.
     """
     by = list(by)
-    counted = (
+    # stored once: the sketch, the bucket totals and the running counts all read it
+    counted = cut_lineage(
         df.filter(is_present(value))
         .groupBy(*by, F.col(value).cast("double").alias("v"))
         .agg(F.count(F.lit(1)).alias("cnt"))

@@ -12,7 +12,8 @@ from ..functions.compat import as_col, is_present
 from ..functions.text import percent_label
 from ..session import cut_lineage
 from .eigen import mix, symmetric_apply, top_eigen
-from .gram import Gram, Term, columns_of, gram
+from .blocks import block_cross
+from .gram import WIDE, Gram, Term, columns_of, gram
 from .linmod import adj_r2, independent
 from .pairs import per_item
 
@@ -185,7 +186,10 @@ class Space:
 
 
 def cross_gower(pairs: DataFrame, table: DataFrame, names: list[str], rows: int) -> np.ndarray:
-    """X'AX of an upper triangle with a zero diagonal, as one aggregate of p(p+1)/2 sums."""
+    """X'AX of an upper triangle with a zero diagonal, as one aggregate of p(p+1)/2 sums; wide designs by blocks."""
+    if len(names) > WIDE:
+        t = block_cross(pairs, table.select("id", F.array(*[F.col(f"`{n}`") for n in names]).alias("xs")), len(names), rows)
+        return np.array(t.first()["t"], dtype=float).reshape(len(names), len(names))
     side = lambda s: per_item(table.select(F.col("id").alias(s), *[F.col(f"`{n}`").alias(f"{s}{k}") for k, n in enumerate(names)]), rows)
     both = pairs.join(side("i"), "i").join(side("j"), "j")
     idx = [(a, b) for a in range(len(names)) for b in range(a, len(names))]
@@ -200,6 +204,7 @@ def cross_gower(pairs: DataFrame, table: DataFrame, names: list[str], rows: int)
 def constrained_space(d: DataFrame, env: DataFrame, terms: list[Term], key: str = "id", sqrt_dist: bool = True) -> Space:
     """Join distances and environment on the complete samples and reduce them to p x p matrices."""
     cols = columns_of(terms)
+    d = cut_lineage(d)
     ids = item_ids(d)
     src = env.select(F.col(key).alias("id"), *[c.cast("double").alias(n) for n, c in cols.items()])
     for n in cols:

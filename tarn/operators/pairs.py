@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 ITEMS_PER_BLOCK = 256
 CELLS_PER_TASK = 1_000_000
 SLAB = 4096
@@ -99,14 +101,17 @@ def _block_task(combine: str):
     return run
 
 
-def pair_sums(cells: DataFrame, item: str, key: str, value: str, combine: str = "min") -> DataFrame:
+def pair_sums(cells: DataFrame, item: str, key: str, value: str, combine: str = "min", totals: bool = False) -> DataFrame:
     """``(i, j, s)`` with i < j for every pair of items, zero sums included.
 
     ``combine`` is ``min`` (of non-negative values), ``product`` or ``sqdiff``; an absent cell is a zero.
-    Cells must be unique per item and key.
+    ``totals`` adds both items' sums ``ti`` and ``tj``. Cells must be unique per item and key; they are
+    stored once, since sizing, markers and copies each read them.
     """
-    src = cells.select(F.col(item).alias("item"), F.col(key).alias("key"), F.col(value).cast("double").alias("value"))
-    sizes = src.groupBy("item").agg(F.count(F.lit(1)).alias("cells"))
+    src = cut_lineage(
+        cells.select(F.col(item).alias("item"), F.col(key).alias("key"), F.col(value).cast("double").alias("value")))
+    sizes = cut_lineage(src.groupBy("item").agg(
+        F.count(F.lit(1)).alias("cells"), F.min("key").alias("key"), F.sum("value").alias("total")))
     n_items = sizes.count()
     blocks = block_count(n_items)
     fullest = sizes.groupBy(block_of(F.col("item"), blocks)).agg(F.sum("cells").alias("c")).agg(F.max("c")).first()[0]
@@ -114,8 +119,7 @@ def pair_sums(cells: DataFrame, item: str, key: str, value: str, combine: str =
     real = src.withColumns({"slice": F.pmod(F.xxhash64("key", F.lit(17)), F.lit(slices)).cast("int"), "mark": F.lit(False)})
     # markers name an item to slices in which it may hold no cell; only squared differences need it everywhere
     named = F.sequence(F.lit(0), F.lit(slices - 1)) if combine == "sqdiff" else F.array(F.lit(0))
-    markers = src.groupBy("item").agg(F.min("key").alias("key")).select(
-        "item", "key", F.lit(0.0).alias("value"), F.explode(named).alias("slice"), F.lit(True).alias("mark"))
+    markers = sizes.select("item", "key", F.lit(0.0).alias("value"), F.explode(named).alias("slice"), F.lit(True).alias("mark"))
     copies = (
         real.unionByName(markers)
         .withColumn("block", block_of(F.col("item"), blocks))
@@ -124,5 +128,10 @@ def pair_sums(cells: DataFrame, item: str, key: str, value: str, combine: str =
         .drop("other")
     )
     kind = cells.schema[item].dataType.simpleString()
-    partial = copies.groupBy("bi", "bj", "slice").applyInPandas(_block_task(combine), f"i {kind}, j {kind}, s double")
-    return partial if slices == 1 else partial.groupBy("i", "j").agg(F.sum("s").alias("s"))
+    pairs = copies.groupBy("bi", "bj", "slice").applyInPandas(_block_task(combine), f"i {kind}, j {kind}, s double")
+    if slices > 1:
+        pairs = pairs.groupBy("i", "j").agg(F.sum("s").alias("s"))
+    if not totals:
+        return pairs
+    side = lambda s: per_item(sizes.select(F.col("item").alias(s), F.col("total").alias(f"t{s}")), n_items)
+    return pairs.join(side("i"), "i").join(side("j"), "j")

@@ -9,7 +9,7 @@ its sums arrive.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
 
 import numpy as np
 import pandas as pd
@@ -17,55 +17,35 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .blocks import block_cross
 from .eigen import inner_products, mix, symmetric_apply
 from .ordination import Constrained, Space, residual_map
-from .pairs import block_count, block_of, per_item
+from .pairs import per_item
 
 
-def permuted_design(design: DataFrame, names: list[str], n_perm: int, seed: int) -> DataFrame:
-    """``(id, xs)``: per sample the rows of the design that permutations 0..n_perm give it; 0 is the data."""
+# numbers one sample's permuted rows may hold in one batch; 512 samples of it make a task of about 80 MB
+NUMBERS_PER_ROW = 20_000
+
+
+def permuted_design(design: DataFrame, names: list[str], n_perm: int, seed: int, per_batch: int | None = None) -> DataFrame:
+    """``(id, batch, xs)``: per sample the rows of the design that permutations 0..n_perm give it; 0 is the data."""
+    per_batch = per_batch or n_perm + 1
     numbered = design.select("id", F.explode(F.sequence(F.lit(0), F.lit(n_perm))).alias("perm"))
     order = Window.partitionBy("perm").orderBy(F.xxhash64(F.lit(seed), "perm", "id"), "id")
     place = numbered.withColumn("at", F.row_number().over(order))
     base = place.filter("perm = 0").select("id", "at")
     values = design.join(base, "id").select("at", F.array(*[F.col(f"`{n}`") for n in names]).alias("x"))
-    given = place.join(values, "at").select("id", "perm", "x")
-    return given.groupBy("id").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("perm", "x"))), lambda e: e["x"])).alias("xs"))
-
-
-def _block_sums(p: int):
-    def run(key, pairs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if pairs.empty or rows.empty:
-            return pd.DataFrame({"perm": [], "pos": [], "t": []})
-        ids = pd.Index(rows["id"])
-        x = np.stack(rows["xs"].to_numpy()).astype(float)
-        perms = x.shape[1] // p
-        a = np.zeros((len(ids), len(ids)))
-        i, j = ids.get_indexer(pairs["i"]), ids.get_indexer(pairs["j"])
-        a[i, j] = pairs["g"]
-        a[j, i] = pairs["g"]
-        y = (a @ x).reshape(len(ids), perms, p)
-        t = np.einsum("ikp,ikq->kpq", x.reshape(len(ids), perms, p), y).reshape(perms, p * p)
-        return pd.DataFrame({"perm": np.repeat(np.arange(perms), p * p), "pos": np.tile(np.arange(p * p), perms), "t": t.ravel()})
-
-    return run
+    given = place.join(values, "at").select("id", "perm", "x", F.floor(F.col("perm") / per_batch).cast("int").alias("batch"))
+    in_order = F.array_sort(F.collect_list(F.struct("perm", "x")))
+    return given.groupBy("id", "batch").agg(F.flatten(F.transform(in_order, lambda e: e["x"])).alias("xs"))
 
 
 def permuted_cross(pairs: DataFrame, design: DataFrame, names: list[str], n: int, n_perm: int, seed: int) -> DataFrame:
     """``(perm, t)``: the flattened p x p matrix X'AX of every permutation, for pairs with i <= j."""
-    p = len(names)
-    blocks = block_count(n)
-    placed = pairs.withColumns({"__a": block_of(F.col("i"), blocks), "__b": block_of(F.col("j"), blocks)})
-    placed = placed.select("i", "j", "g", F.least("__a", "__b").alias("bi"), F.greatest("__a", "__b").alias("bj"))
-    rows = permuted_design(design, names, n_perm, seed).withColumn("__a", block_of(F.col("id"), blocks))
-    rows = rows.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = rows.select("id", "xs", F.least("__a", "__b").alias("bi"), F.greatest("__a", "__b").alias("bj"))
-    sums = placed.groupBy("bi", "bj").cogroup(rows.groupBy("bi", "bj")).applyInPandas(
-        _block_sums(p), "perm int, pos int, t double")
-    total = sums.groupBy("perm", "pos").agg(F.sum("t").alias("t"))
-    return total.groupBy("perm").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda e: e["t"]).alias("t"))
+    per_batch = min(n_perm + 1, max(1, NUMBERS_PER_ROW // len(names)))
+    batches = math.ceil((n_perm + 1) / per_batch)
+    rows = permuted_design(design, names, n_perm, seed, per_batch)
+    return block_cross(pairs, rows, len(names), n, per_batch, batches)
 
 
 def residual_pairs(space: Space, z: list[int]) -> DataFrame:

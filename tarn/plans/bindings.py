@@ -15,6 +15,7 @@ from ..functions.compat import clamp_low, r_ln
 from ..operators.community import Community
 from ..operators.distance import unifrac
 from ..operators.tree import branch_proportions, tree_closure
+from ..session import cut_lineage
 
 URGENT = "1-URGENT"
 
@@ -134,13 +135,18 @@ class Views:
         joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(cust, F.col("o_custkey") == F.col("c_custkey"))
         summed = joined.groupBy("l_partkey", "c_nationkey").agg(F.sum("l_quantity").alias("count"))
         nation = self.table("nation").select("n_nationkey", F.col("n_name").alias("sample_id"))
-        return summed.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        return summed.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
             F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("feature_id"), "sample_id", "count")
 
+    @cached_property
+    def stored_counts(self) -> DataFrame:
+        """The counts written once, for queries that read them more than once."""
+        return cut_lineage(self.counts)
+
     @cached_property
     def sparse_counts(self) -> DataFrame:
         """The cells above 30 units, so that features miss in many samples."""
-        return self.counts.filter(F.col("count") > 30)
+        return self.stored_counts.filter(F.col("count") > 30)
 
     @cached_property
     def lineages(self) -> DataFrame:
@@ -183,12 +189,12 @@ class Views:
 
     @cached_property
     def community(self) -> Community:
-        return Community(self.counts, self.tax, self.tree, self.env)
+        return Community(self.stored_counts, self.tax, self.tree, self.env)
 
     @cached_property
     def shares(self) -> DataFrame:
         """Branch proportions of every nation."""
-        return branch_proportions(self.counts, tree_closure(self.tree))
+        return branch_proportions(self.stored_counts, tree_closure(self.tree))
 
     @cached_property
     def wunifrac(self) -> DataFrame:

@@ -98,12 +98,12 @@ def _(v):
 
 @query("w1_relative_abundance", check('SELECT feature_id, sample_id, 100 * "count" / sum("count") OVER (PARTITION BY sample_id) AS "count" FROM v_counts', '"count"', "feature_id sample_id"))
 def _(v):
-    return C.relative_abundance(v.counts, 100)
+    return C.relative_abundance(v.stored_counts, 100)
 
 
 @query("w2_rank_in_sample", check("""SELECT feature_id, sample_id, "count", rank() OVER (PARTITION BY sample_id ORDER BY "count" DESC) AS rank FROM v_counts""", "", CELLS + " rank"))
 def _(v):
-    return C.rank_in_sample(v.counts)
+    return C.rank_in_sample(v.stored_counts)
 
 
 @query("w5_standardize", check("SELECT k, (price - avg(price) OVER ()) / stddev_samp(price) OVER () AS price, (balance - avg(balance) OVER ()) / stddev_samp(balance) OVER () AS balance FROM v_master", "price balance", "k"))
@@ -158,7 +158,7 @@ def _(v):
 
 @query("d5_branch_proportions", check("SELECT * FROM v_share", "length p", "sample_id branch"))
 def _(v):
-    return branch_proportions(v.counts, tree_closure(v.tree))
+    return branch_proportions(v.stored_counts, tree_closure(v.tree))
 
 
 @query("d6_unifrac_weighted", check("SELECT * FROM v_wuf", "d", "i j"))
@@ -236,7 +236,7 @@ def _(v):
 @query("d11_dpcoa_axes")
 def _(v):
     """Eigenvalues of double principal coordinates with the samples weighted by their totals."""
-    weights = C.sum_by_sample(v.counts).select(F.col("sample_id").alias("id"), F.col("total").alias("w"))
+    weights = C.sum_by_sample(v.stored_counts).select(F.col("sample_id").alias("id"), F.col("total").alias("w"))
     return _axes(v, O.dpcoa(D.dpcoa_distance(v.shares), weights, 2))
 
 
@@ -342,9 +342,12 @@ def _(v):
     return O.eigen_table(O.dbrda(_space(v), ["balance", "price", "qty"]), v.spark)
 
 
-@query("d22_site_scores", check(f"""SELECT sample_id, region, (gu - avg(gu) OVER ()) * total ** 0.25 / ss AS cap1 FROM (SELECT sample_id, sum(gx) AS gu FROM (
-      SELECT i AS sample_id, -0.5 * d * x AS gx FROM v_wuf JOIN {X1} ON sample_id = j UNION ALL SELECT j, -0.5 * d * x FROM v_wuf JOIN {X1} ON sample_id = i) GROUP BY 1) w,
-    ({ONE}), (SELECT sqrt(sum(x * x)) AS norm FROM {X1}) JOIN v_env USING (sample_id)""".replace("(gu - avg(gu) OVER ())", "(gu - avg(gu) OVER ()) / norm"), "cap1", "sample_id region"))
+SCORES = f"""SELECT w.sample_id, region, (gu - avg(gu) OVER ()) / norm * total ** 0.25 / ss AS cap1 FROM (SELECT sample_id, sum(gx) AS gu FROM (
+      SELECT i AS sample_id, -0.5 * d * x AS gx FROM v_wuf JOIN {X1} q ON q.sample_id = j UNION ALL SELECT j, -0.5 * d * x FROM v_wuf JOIN {X1} q ON q.sample_id = i) GROUP BY 1) w
+    JOIN v_env e ON e.sample_id = w.sample_id, ({ONE}), (SELECT sqrt(sum(x * x)) AS norm FROM {X1})"""
+
+
+@query("d22_site_scores", check(SCORES, "cap1", "sample_id region"))
 def _(v):
     """Scores joined to a name key."""
     m = O.dbrda(_space(v, ["balance"]), ["balance"])

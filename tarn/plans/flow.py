@@ -202,7 +202,7 @@ def _(v):
 @query("f9_filter_features_default", check("""SELECT feature_id, count(*) AS n FROM v_counts WHERE feature_id IN (SELECT feature_id FROM v_counts
     GROUP BY feature_id HAVING count(CASE WHEN "count" > 3 THEN 1 END) > 0.5 * (SELECT count(DISTINCT sample_id) FROM v_counts)) GROUP BY 1""", "", "feature_id n"))
 def _(v):
-    return C.filter_features(v.counts).groupBy("feature_id").agg(F.count(F.lit(1)).alias("n"))
+    return C.filter_features(v.stored_counts).groupBy("feature_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("f10_filter_features_by_total", check('SELECT * FROM v_sparse WHERE feature_id IN (SELECT feature_id FROM v_sparse GROUP BY 1 HAVING sum("count") > 500)', "", 'feature_id sample_id "count"'))
@@ -225,7 +225,7 @@ IN_TOP = """(SELECT sample_id, min("count") AS cut FROM (SELECT sample_id, "coun
 @query("f12_filter_top_fraction", check(f"""SELECT c.* FROM v_counts c WHERE feature_id IN (SELECT feature_id FROM v_counts x JOIN {IN_TOP} t
     ON x.sample_id = t.sample_id AND x."count" >= t.cut GROUP BY feature_id HAVING count(*) >= 4)""", "", 'feature_id sample_id "count"'))
 def _(v):
-    return C.filter_top_fraction(v.counts, 0.1, min_samples=4)
+    return C.filter_top_fraction(v.stored_counts, 0.1, min_samples=4)
 
 
 @query("f13_subset_samples", check("""SELECT c.* FROM v_counts c JOIN v_env USING (sample_id) WHERE region <> 'ASIA' AND sample_id NOT IN ('NATION_1', 'NATION_7')""", "", 'feature_id sample_id "count"'))
@@ -242,8 +242,8 @@ def _(v):
 @query("f15_filter_samples_by_depth", check("""SELECT sample_id, sum("count") AS total FROM v_counts GROUP BY 1 HAVING sum("count") >
     (SELECT avg(t) FROM (SELECT sum("count") AS t FROM v_counts GROUP BY sample_id))""", "total", "sample_id"))
 def _(v):
-    mean = C.sum_by_sample(v.counts).agg(F.avg("total")).first()[0]
-    return C.sum_by_sample(C.filter_samples_by_depth(v.counts, mean))
+    mean = C.sum_by_sample(v.stored_counts).agg(F.avg("total")).first()[0]
+    return C.sum_by_sample(C.filter_samples_by_depth(v.stored_counts, mean))
 
 
 # --- joins --------------------------------------------------------------------------------------
@@ -330,7 +330,7 @@ def _(v):
 @query("t1_prune_to_top_features", check("""SELECT c.* FROM v_counts c WHERE feature_id IN (SELECT feature_id FROM v_counts GROUP BY 1
     ORDER BY sum("count") DESC, feature_id LIMIT 50)""", "", 'feature_id sample_id "count"'))
 def _(v):
-    return C.keep_features(v.counts, C.top_features(v.counts, 50))
+    return C.keep_features(v.stored_counts, C.top_features(v.stored_counts, 50))
 
 
 @query("t2_top_groups", check("""SELECT "Phylum", sum("count") AS total FROM v_counts JOIN v_tax USING (feature_id) WHERE "Phylum" IS NOT NULL
