@@ -8,12 +8,14 @@ the cells costs no more than another.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.compat import join_on
+from ..session import cut_lineage
 from .order_stats import positions
 
 CELL = ["feature_id", "sample_id", "count"]
@@ -183,26 +185,25 @@ def filter_top_fraction(
     """Features among the top ``p`` of a sample's features in at least ``min_samples`` samples (default half).
 
     A sample's cut is its ceil(features * p)-th largest count, where absent features count as zero and
-    values equal to the cut are in.
+    values equal to the cut are in. Features of the table are those with a cell in it.
     """
     if total_features is None:
         total_features = counts.agg(F.count_distinct("feature_id")).first()[0]
     n = n_samples(counts) if total_samples is None else total_samples
     need = n / 2 if min_samples is None else min_samples
+    k = math.ceil(total_features * p - 1e-9)
     present = counts.filter(F.col("count") > 0)
-    return keep_features(counts, _in_top(present, p, total_features).groupBy("feature_id").agg(
-        F.count(F.lit(1)).alias("k")).filter(F.col("k") >= need))
-
-
-def _in_top(present: DataFrame, p: float, total_features: int) -> DataFrame:
-    # position from the top of the first cell of each distinct value
+    # position from the top of the last cell of each distinct value
     pos = positions(present, "count", ["sample_id"]).withColumn("from_top", F.col("n") - F.col("lo") - F.col("cnt") + 2)
-    k = F.ceil(F.lit(total_features * p) - 1e-9)
-    # cells whose value is at or above the k-th largest; with fewer than k present cells the cut is zero
-    top = pos.filter(F.col("from_top") <= k).select(
-        F.col("sample_id").alias("__s"), F.col("count").alias("__c"))
-    cut = top.groupBy("__s").agg(F.min("__c").alias("__cut"))
-    return present.join(cut, (F.col("sample_id") == F.col("__s")) & (F.col("count") >= F.col("__cut")))
+    reached = pos.filter((F.col("n") >= k) & (F.col("from_top") <= k))
+    cut = cut_lineage(reached.groupBy(F.col("sample_id").alias("__s")).agg(F.min("count").alias("__cut")))
+    # a sample with fewer than k present features has a cut of zero, which every feature meets
+    at_zero = n - cut.count()
+    if at_zero >= need:
+        return counts.select(*CELL)
+    inside = present.join(cut, (F.col("sample_id") == F.col("__s")) & (F.col("count") >= F.col("__cut")))
+    hits = inside.groupBy("feature_id").agg(F.count(F.lit(1)).alias("hits"))
+    return keep_features(counts, hits.filter(F.col("hits") + at_zero >= need))
 
 
 def rank_in_sample(counts: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.compat import clamp_low, complete_cases, join_on, not_in, num, r_div, r_ln, replace_value, strict_avg
+from ..functions.compat import (
+    clamp_low, complete_cases, is_present, join_on, num, r_div, r_ln, replace_value, strict_avg,
+)
 from .tables import mean_by, select_first
 
 # The concentration assumed for a mean of zero, and the hours a rate constant is given for.
@@ -107,31 +109,45 @@ def spike_recovery(means: DataFrame, spike: DataFrame, digits: int = 6) -> DataF
     )
 
 
+def _slopes(rows: DataFrame, windows) -> DataFrame:
+    """Both slopes per lake for every window, in one pass over the replicate means."""
+    fixed = rows.withColumn("ln_198", replace_value("ln_198", float("-inf"), LOG_FLOOR))
+    aggs = []
+    for w in windows:
+        # the 24-hour window leaves the 48-hour samples out
+        pick = (lambda c: F.when(F.col("time") != 48, F.col(c))) if w == 24 else F.col
+        aggs += [
+            F.regr_slope(pick("X199_corrected_fixed_Conc"), F.col("time")).alias(f"methylation_{w}"),
+            F.regr_slope(pick("ln_198"), F.col("time")).alias(f"demethylation_{w}"),
+        ]
+    return fixed.groupBy("lake_name").agg(*aggs)
+
+
 def rates(means: DataFrame, window: int = 24) -> DataFrame:
     """Slope of concentration and of log concentration on time, per lake.
 
-    The 24-hour window leaves the 48-hour samples out. NULL when a lake has fewer than two times.
+    NULL when a lake has fewer than two times in the window.
     """
     kept = means.filter(F.col("time") != 48) if window == 24 else means
-    fixed = kept.withColumn("ln_198", replace_value("ln_198", float("-inf"), LOG_FLOOR))
-    return fixed.groupBy("lake_name").agg(
-        F.regr_slope("X199_corrected_fixed_Conc", "time").alias("methylation"),
-        F.regr_slope("ln_198", "time").alias("demethylation"),
-    )
+    slopes = _slopes(kept, [window])
+    return slopes.withColumnsRenamed({f"methylation_{window}": "methylation", f"demethylation_{window}": "demethylation"})
+
+
+def _constants(window: int) -> list:
+    """The four columns of one window, from its slopes and ``spike``."""
+    up, down = F.col(f"methylation_{window}"), F.col(f"demethylation_{window}")
+    return [
+        up.alias(f"methylation_{window}"),
+        F.when(down >= 0, 0.0).otherwise(down).alias(f"demethylation_{window}"),
+        (r_div(up, "spike") * HOURS).alias(f"km_{window}"),
+        F.when(down >= 0, 0.0).otherwise(down * -HOURS).alias(f"kd_{window}"),
+    ]
 
 
 def rate_constants(rate: DataFrame, spike: DataFrame, window: int = 24) -> DataFrame:
     """Methylation and demethylation constants per lake; every lake of either table is kept."""
-    w = str(window)
-    both = join_on(complete_cases(rate), spike, ["lake_name"], "full")
-    slope = F.col("demethylation")
-    return both.select(
-        "lake_name",
-        F.col("methylation").alias(f"methylation_{w}"),
-        F.when(slope >= 0, 0.0).otherwise(slope).alias(f"demethylation_{w}"),
-        (r_div("methylation", "spike") * HOURS).alias(f"km_{w}"),
-        F.when(slope >= 0, 0.0).otherwise(slope * -HOURS).alias(f"kd_{w}"),
-    )
+    complete = complete_cases(rate).withColumnsRenamed({c: f"{c}_{window}" for c in ("methylation", "demethylation")})
+    return join_on(complete, spike, ["lake_name"], "full").select("lake_name", *_constants(window))
 
 
 def rate_table(rates_24: DataFrame, rates_48: DataFrame) -> DataFrame:
@@ -139,7 +155,13 @@ def rate_table(rates_24: DataFrame, rates_48: DataFrame) -> DataFrame:
 
 
 def incubation_rate_table(means: DataFrame, spike: DataFrame) -> DataFrame:
-    """Both windows from one pass over the replicate means."""
-    return rate_table(
-        rate_constants(rates(means, 24), spike, 24), rate_constants(rates(means, 48), spike, 48)
-    )
+    """What joining both windows' constants gives, from one aggregate and one join."""
+    windows = (24, 48)
+    slopes = _slopes(means, windows)
+    complete = {w: is_present(f"methylation_{w}") & is_present(f"demethylation_{w}") for w in windows}
+    # a window with a missing slope has no row, so both its slopes are missing
+    slopes = slopes.select("lake_name", *[
+        F.when(complete[w], F.col(f"{c}_{w}")).alias(f"{c}_{w}") for w in windows for c in ("methylation", "demethylation")])
+    some = slopes.filter(F.col("methylation_24").isNotNull() | F.col("methylation_48").isNotNull())
+    both = join_on(some, spike, ["lake_name"], "full")
+    return both.select("lake_name", *[c for w in windows for c in _constants(w)])

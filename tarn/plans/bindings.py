@@ -198,7 +198,7 @@ class Views:
 
     @cached_property
     def wunifrac(self) -> DataFrame:
-        return unifrac(self.shares)
+        return cut_lineage(unifrac(self.shares))
 
 
 # The same views in SQL; a view may use those above it.

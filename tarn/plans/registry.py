@@ -32,6 +32,8 @@ def query(name: str, sql: str | None = None, digits: int = DIGITS):
             return tidy(fn(Views(spark, sf_dir)), digits)
 
         run.__name__, run.__doc__ = name, fn.__doc__
+        # for callers that share one set of views between queries
+        run.on_views = lambda views: tidy(fn(views), digits)
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = run
