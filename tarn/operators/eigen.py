@@ -31,8 +31,8 @@ def mix(columns: list[str], weights: np.ndarray) -> list:
     return [F.expr(" + ".join(terms(k)) or "0.0D") for k in range(weights.shape[1])]
 
 
-def symmetric_apply(upper: DataFrame, diagonal: DataFrame | None = None, rows: int = 0) -> Callable[[DataFrame, list[str]], DataFrame]:
-    """``V -> A V`` for a symmetric matrix in upper-triangle form ``(i, j, g)``, diagonal ``(id, g)`` apart.
+def symmetric_apply(upper: DataFrame, rows: int) -> Callable[[DataFrame, list[str]], DataFrame]:
+    """``V -> A V`` for a symmetric matrix with zero diagonal in upper-triangle form ``(i, j, g)``.
 
     The vectors are joined to the pairs (broadcast while they are small) and summed per item with a
     partial sum before the shuffle.
@@ -45,14 +45,23 @@ def symmetric_apply(upper: DataFrame, diagonal: DataFrame | None = None, rows: i
             F.struct(F.col("i").alias("id"), *[(F.col("g") * F.col(f"j_{c}")).alias(c) for c in cols]),
             F.struct(F.col("j").alias("id"), *[(F.col("g") * F.col(f"i_{c}")).alias(c) for c in cols]),
         )).alias("e")).select("e.*")
-        if diagonal is not None:
-            own = diagonal.join(per_item(v, rows), "id").select("id", *[(F.col("g") * F.col(c)).alias(c) for c in cols])
-            parts = parts.unionByName(own)
         return parts.groupBy("id").agg(*[F.sum(c).alias(c) for c in cols])
 
     return apply
 
 
+def stored_apply(upper: DataFrame, rows: int) -> Callable[[DataFrame, list[str]], DataFrame]:
+    """``V -> A V`` for many applications: both triangles are stored once, so each is one join and one grouped sum."""
+    both = F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("p")
+    full = cut_lineage(upper.select("g", both).select(F.col("p.i").alias("id"), F.col("p.j").alias("__j"), "g"))
+
+    def apply(v: DataFrame, cols: list[str]) -> DataFrame:
+        joined = full.join(per_item(v.select(F.col("id").alias("__j"), *cols), rows), "__j")
+        return joined.groupBy("id").agg(*[F.expr(f"sum(g * `{c}`)").alias(c) for c in cols])
+
+    return apply
+
+
 def _orthonormal(m: np.ndarray, floor: float) -> np.ndarray:
     """Weights that make vectors with inner products ``m`` orthonormal; directions below ``floor`` vanish."""
     val, vec = np.linalg.eigh((m + m.T) / 2)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tails
 from ..functions.compat import is_present, join_on
+from ..session import cut_lineage
 from .order_stats import avg_rank, quantiles
 
 # Polynomials of Royston (1995), lowest power first, for weights, W transform and the range of n.
@@ -166,8 +167,9 @@ def rank_sum(df: DataFrame, value: str, group: str) -> DataFrame:
     """
     src = df.filter(is_present(value) & F.col(group).isNotNull()).select(
         F.col(value).cast("double").alias("v"), F.col(group).cast("string").alias("g"))
-    ranks = avg_rank(src, "v")
-    per = src.groupBy("v", "g").agg(F.count(F.lit(1)).alias("k")).join(ranks, "v")
+    counted = cut_lineage(src.groupBy("v", "g").agg(F.count(F.lit(1)).alias("k")))
+    ranks = cut_lineage(avg_rank(counted, "v", weight="k"))
+    per = counted.join(ranks, "v")
     sides = {r["g"]: r for r in per.groupBy("g").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("rank")).alias("r")).collect()}
     if len(sides) != 2:
         raise ValueError("the rank-sum test compares two groups")

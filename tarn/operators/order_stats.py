@@ -8,6 +8,8 @@ bucket's distinct values of it.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,29 +17,31 @@ from pyspark.sql import functions as F
 from ..functions.compat import is_present
 from ..session import cut_lineage
 
-MAX_BUCKETS = 1000
+MAX_BUCKETS = 10_000
+VALUES_PER_BUCKET = 100_000
 
 
-def _bounds(df: DataFrame, value: str) -> list[float]:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    k = min(MAX_BUCKETS, max(2, 2 * parts))
-    probs = [i / k for i in range(1, k)]
-    row = df.agg(F.percentile_approx(value, probs, 10 * k).alias("b")).first()
-    cuts = sorted({b for b in (row["b"] or []) if abs(b) != float("inf")})
-    return [float("-inf"), *cuts, float("inf")]
+def _bounds(counted: DataFrame, value: str) -> list[float]:
+    """Ends of the buckets: as many as the counted values need, and a quantile sketch for where they lie."""
+    k = min(MAX_BUCKETS, math.ceil(counted.count() / VALUES_PER_BUCKET))
+    cuts = []
+    if k > 1:
+        probs = [i / k for i in range(1, k)]
+        cuts = counted.agg(F.percentile_approx(value, probs, 10 * k).alias("b")).first()["b"] or []
+    return [float("-inf"), *sorted({b for b in cuts if abs(b) != float("inf")}), float("inf")]
 
 
-def positions(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
+def positions(df: DataFrame, value: str, by: list[str] = (), weight: str | None = None) -> DataFrame:
     """Per group and distinct value: ``cnt`` rows, the 1-based rank ``lo`` of the first, the group's ``n``.
 
-    Missing values are left out.
+    Missing values are left out. ``weight`` names a column that already counts rows.
     """
     by = list(by)
     # stored once: the sketch, the bucket totals and the running counts all read it
     counted = cut_lineage(
         df.filter(is_present(value))
         .groupBy(*by, F.col(value).cast("double").alias("v"))
-        .agg(F.count(F.lit(1)).alias("cnt"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("cnt"))
     )
     splits = _bounds(counted, "v")
     if len(splits) > 2:
@@ -64,9 +68,9 @@ def positions(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     )
 
 
-def avg_rank(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
+def avg_rank(df: DataFrame, value: str, by: list[str] = (), weight: str | None = None) -> DataFrame:
     """Mid-rank of every distinct value: tied values share the mean of their positions."""
-    return positions(df, value, by).withColumn("rank", F.col("lo") + (F.col("cnt") - 1) / F.lit(2.0))
+    return positions(df, value, by, weight).withColumn("rank", F.col("lo") + (F.col("cnt") - 1) / F.lit(2.0))
 
 
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str] = ()) -> DataFrame:

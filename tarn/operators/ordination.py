@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.compat import as_col, is_present
 from ..functions.text import percent_label
 from ..session import cut_lineage
-from .eigen import mix, symmetric_apply, top_eigen
+from .eigen import mix, stored_apply, symmetric_apply, top_eigen
 from .blocks import block_cross
 from .gram import WIDE, Gram, Term, columns_of, gram
 from .linmod import adj_r2, independent
@@ -96,7 +96,7 @@ def pcoa(d: DataFrame, k: int = 2, sqrt_dist: bool = False) -> Ordination:
     n = ids.count()
     a = half_squares(d, sqrt_dist)
     # leaving the constant vector out is the centring
-    values, vectors = top_eigen(symmetric_apply(a, rows=n), ids.withColumn("deflate", F.lit(n**-0.5)), k)
+    values, vectors = top_eigen(stored_apply(a, n), ids.withColumn("deflate", F.lit(n**-0.5)), k)
     trace = -2 * (a.agg(F.sum("g")).first()[0] or 0.0) / n
     cols = [(F.col(f"v{i + 1}") * F.lit(float(np.sqrt(max(x, 0.0))))).alias(f"axis{i + 1}") for i, x in enumerate(values)]
     return Ordination(values, trace, vectors.select("id", *cols))
@@ -112,7 +112,7 @@ def dpcoa(d: DataFrame, weights: DataFrame, k: int = 2) -> Ordination:
     total = weights.agg(F.sum("w")).first()[0]
     w = cut_lineage(weights.select("id", (F.col("w") / total).alias("w")))
     n = w.count()
-    a = symmetric_apply(half_squares(d), rows=n)
+    a = stored_apply(half_squares(d), n)
     roots = per_item(w.select("id", F.sqrt("w").alias("__root")), n)
     scaled = lambda v, cols: v.join(roots, "id").select("id", *[(F.col(c) * F.col("__root")).alias(c) for c in cols])
 
@@ -143,15 +143,15 @@ def spatial_vector(truncated: DataFrame, k: int = 2) -> Ordination:
         F.sqrt((F.col("ss") - F.col("s") ** 2 / n) / (n - 1)).alias("sd")))
     if not stats.filter(F.coalesce(F.col("sd") <= 0, F.lit(True)) | F.isnan("sd")).isEmpty():
         raise ValueError("a site has the same distance to all sites")
-    a = symmetric_apply(t, rows=n)
+    a = stored_apply(t, n)
+    scaling = per_item(stats, n)
 
     def apply(v: DataFrame, cols: list[str]) -> DataFrame:
-        u = v.join(stats, "id").select("id", "mu", *[(F.col(c) / F.col("sd")).alias(c) for c in cols])
+        # Z'Z/(n-1) with Z the standardised columns; Zx sums to zero, so only its own shift needs a number
+        u = v.join(scaling, "id").select("id", "mu", *[(F.col(c) / F.col("sd")).alias(c) for c in cols])
         shift = u.agg(*[F.sum(F.col(c) * F.col("mu")).alias(c) for c in cols]).first()
-        w = cut_lineage(a(u.drop("mu"), cols).select("id", *[(F.col(c) - F.lit(float(shift[c]))).alias(c) for c in cols]))
-        total = w.agg(*[F.sum(c).alias(c) for c in cols]).first()
-        return a(w, cols).join(stats, "id").select("id", *[
-            ((F.col(c) - F.col("mu") * F.lit(float(total[c]))) / (F.col("sd") * (n - 1))).alias(c) for c in cols])
+        w = a(u.drop("mu"), cols).select("id", *[(F.col(c) - F.lit(float(shift[c]))).alias(c) for c in cols])
+        return a(w, cols).join(scaling, "id").select("id", *[(F.col(c) / (F.col("sd") * (n - 1))).alias(c) for c in cols])
 
     values, vectors = top_eigen(apply, stats.select("id"), k)
     return Ordination(values, float(n), vectors.select("id", *[F.col(f"v{i + 1}").alias(f"axis{i + 1}") for i in range(len(values))]))

@@ -189,8 +189,8 @@ def test_levene_dense(df):
 
 
 def test_order_statistics_against_numpy(df, monkeypatch):
-    for limit in (1000, 3):
-        monkeypatch.setattr(S, "MAX_BUCKETS", limit)
+    for size in (100_000, 7):
+        monkeypatch.setattr(S, "VALUES_PER_BUCKET", size)
         rounded = df.withColumn("v", F.round("x1", 1))
         rows = S.summary_by(rounded, "v", ["g"]).collect()
         for r in rows:
