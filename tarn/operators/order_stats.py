@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.compat import is_present
-from ..session import cut_lineage
+from ..session import store
 
 MAX_BUCKETS = 10_000
 VALUES_PER_BUCKET = 100_000
@@ -38,7 +38,7 @@ def positions(df: DataFrame, value: str, by: list[str] = (), weight: str | None
     """
     by = list(by)
     # stored once: the sketch, the bucket totals and the running counts all read it
-    counted = cut_lineage(
+    counted = store(
         df.filter(is_present(value))
         .groupBy(*by, F.col(value).cast("double").alias("v"))
         .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("cnt"))

@@ -17,12 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, store
 
 ITEMS_PER_BLOCK = 256
 CELLS_PER_TASK = 1_000_000
 SLAB = 4096
-BROADCAST_ROWS = 1_000_000
+BROADCAST_VALUES = 4_000_000
 
 
 def block_count(items: int) -> int:
@@ -34,8 +34,9 @@ def block_of(item: Column, blocks: int) -> Column:
 
 
 def per_item(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast hint for a table with one narrow row per item, below a row limit; beyond it Spark shuffles."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """Broadcast hint for a table of ``rows`` rows (one per item) while rows times columns is small; beyond it
+    Spark shuffles."""
+    return F.broadcast(df) if rows * len(df.columns) <= BROADCAST_VALUES else df
 
 
 def _min_sums(out, ri, rk, rv, right):
@@ -108,7 +109,7 @@ def pair_sums(cells: DataFrame, item: str, key: str, value: str, combine: str =
     ``totals`` adds both items' sums ``ti`` and ``tj``. Cells must be unique per item and key; they are
     stored once, since sizing, markers and copies each read them.
     """
-    src = cut_lineage(
+    src = store(
         cells.select(F.col(item).alias("item"), F.col(key).alias("key"), F.col(value).cast("double").alias("value")))
     sizes = cut_lineage(src.groupBy("item").agg(
         F.count(F.lit(1)).alias("cells"), F.min("key").alias("key"), F.sum("value").alias("total")))

@@ -27,12 +27,33 @@ from .pairs import per_item
 NUMBERS_PER_ROW = 20_000
 
 
-def permuted_design(design: DataFrame, names: list[str], n_perm: int, seed: int, per_batch: int | None = None) -> DataFrame:
+SAMPLES_PER_BUCKET = 100_000
+
+
+def _shuffled(numbered: DataFrame, buckets: int) -> DataFrame:
+    """``(id, perm, at)``: the place of every sample in every permutation, ordered by hash ``h``.
+
+    The hash is uniform, so equal ranges of it split a permutation into buckets of even size; a place is
+    the size of the lower buckets plus the place within its own.
+    """
+    share = F.col("h") / F.lit(2.0**64) + F.lit(0.5)
+    cut = numbered.withColumn("b", F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int"))
+    inside = cut.withColumn("at", F.row_number().over(Window.partitionBy("perm", "b").orderBy("h", "id")))
+    if buckets == 1:
+        return inside.select("id", "perm", "at")
+    lower = Window.partitionBy("perm").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy("perm", "b").agg(F.count(F.lit(1)).alias("k"))
+    before = sizes.select("perm", "b", F.coalesce(F.sum("k").over(lower), F.lit(0)).alias("before"))
+    return inside.join(before, ["perm", "b"]).select("id", "perm", (F.col("at") + F.col("before")).cast("int").alias("at"))
+
+
+def permuted_design(
+    design: DataFrame, names: list[str], n: int, n_perm: int, seed: int, per_batch: int | None = None
+) -> DataFrame:
     """``(id, batch, xs)``: per sample the rows of the design that permutations 0..n_perm give it; 0 is the data."""
     per_batch = per_batch or n_perm + 1
     numbered = design.select("id", F.explode(F.sequence(F.lit(0), F.lit(n_perm))).alias("perm"))
-    order = Window.partitionBy("perm").orderBy(F.xxhash64(F.lit(seed), "perm", "id"), "id")
-    place = numbered.withColumn("at", F.row_number().over(order))
+    place = _shuffled(numbered.withColumn("h", F.xxhash64(F.lit(seed), "perm", "id")), math.ceil(n / SAMPLES_PER_BUCKET))
     base = place.filter("perm = 0").select("id", "at")
     values = design.join(base, "id").select("at", F.array(*[F.col(f"`{n}`") for n in names]).alias("x"))
     given = place.join(values, "at").select("id", "perm", "x", F.floor(F.col("perm") / per_batch).cast("int").alias("batch"))
@@ -44,7 +65,7 @@ def permuted_cross(pairs: DataFrame, design: DataFrame, names: list[str], n: int
     """``(perm, t)``: the flattened p x p matrix X'AX of every permutation, for pairs with i <= j."""
     per_batch = min(n_perm + 1, max(1, NUMBERS_PER_ROW // len(names)))
     batches = math.ceil((n_perm + 1) / per_batch)
-    rows = permuted_design(design, names, n_perm, seed, per_batch)
+    rows = permuted_design(design, names, n, n_perm, seed, per_batch)
     return block_cross(pairs, rows, len(names), n, per_batch, batches)
 
 

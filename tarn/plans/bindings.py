@@ -15,7 +15,7 @@ from ..functions.compat import clamp_low, r_ln
 from ..operators.community import Community
 from ..operators.distance import unifrac
 from ..operators.tree import branch_proportions, tree_closure
-from ..session import cut_lineage
+from ..session import store
 
 URGENT = "1-URGENT"
 
@@ -75,7 +75,7 @@ class Views:
         u, rep = F.col("user_id"), F.col("event_id") % 3
         kind = F.when(F.col("event_type") == "error", F.lit(" USP")).otherwise(F.lit(" SP"))
         content = F.when((u + F.col("day")) % 19 == 0, F.lit("wet")).otherwise(((u * 7 + F.col("day") + rep) % 60).cast("string"))
-        return self.events.filter(u % 17 != 0).select(
+        return self.events.filter(F.col("event_type") != "signup").select(
             F.concat("lake_name", kind).alias("Sample_Name"), F.col("day").cast("string").alias("Day"),
             F.month("ts").cast("string").alias("Month"), F.year("ts").cast("string").alias("Year"),
             rep.cast("string").alias("Rep"), content.alias("Moisture_Content")).distinct()
@@ -84,10 +84,10 @@ class Views:
     def raw_spike(self) -> DataFrame:
         u = F.col("user_id")
         return (
-            self.events.filter((F.col("event_type") == "purchase") & (u % 11 != 0)).groupBy("user_id", "lake_name")
+            self.events.filter((F.col("event_type") == "purchase") & (F.col("value") > 100)).groupBy("user_id", "lake_name")
             .agg(F.avg("value").alias("Spike_MA"), F.max("value").alias("m"))
             .select("lake_name", (1 + u % 4).cast("double").alias("Volume"), (u % 5).cast("double").alias("Mass"), "Spike_MA",
-                    F.when(u % 7 != 0, F.col("m")).alias("Spike_ICP")))
+                    F.when(F.col("m") > 150, F.col("m")).alias("Spike_ICP")))
 
     @cached_property
     def spike(self) -> DataFrame:
@@ -107,7 +107,7 @@ class Views:
 
     @cached_property
     def suva(self) -> DataFrame:
-        return self.table("customer").filter(F.col("c_custkey") % 9 != 0).select(
+        return self.table("customer").filter(F.col("c_acctbal") >= 0).select(
             F.concat(F.lit("L"), F.col("c_custkey").cast("string")).alias("lake_name"), (F.col("c_acctbal") / 1000).alias("SUVA"))
 
     @cached_property
@@ -141,7 +141,7 @@ class Views:
     @cached_property
     def stored_counts(self) -> DataFrame:
         """The counts written once, for queries that read them more than once."""
-        return cut_lineage(self.counts)
+        return store(self.counts)
 
     @cached_property
     def sparse_counts(self) -> DataFrame:
@@ -198,7 +198,7 @@ class Views:
 
     @cached_property
     def wunifrac(self) -> DataFrame:
-        return cut_lineage(unifrac(self.shares))
+        return store(unifrac(self.shares))
 
 
 # The same views in SQL; a view may use those above it.
@@ -222,14 +222,14 @@ SQL_VIEWS: dict[str, str] = {
     "v_moist": """SELECT DISTINCT lake_name, CASE WHEN event_type = 'error' THEN 'USP' ELSE 'SP' END AS treatment,
         CAST(ts AS DATE) AS date, CAST(event_id % 3 AS VARCHAR) AS rep,
         CASE WHEN (user_id + day) % 19 = 0 THEN NULL ELSE CAST((user_id * 7 + day + event_id % 3) % 60 AS DOUBLE) END AS moisture
-        FROM v_events WHERE user_id % 17 <> 0""",
+        FROM v_events WHERE event_type <> 'signup'""",
     "v_corr": """SELECT c.*, (100 - m.moisture) / 100 AS factor, (100 - m.moisture) / 100 * (value - 1) AS x198,
         (100 - m.moisture) / 100 * value AS x199, (100 - m.moisture) / 100 * hg202 AS x202
         FROM v_clean c LEFT JOIN v_moist m ON c.lake_name = m.lake_name AND c.treatment = m.treatment
         AND c.date IS NOT DISTINCT FROM m.date AND c.rep = m.rep""",
     "v_rspike": """SELECT user_id, lake_name, CAST(1 + user_id % 4 AS DOUBLE) AS volume, CAST(user_id % 5 AS DOUBLE) AS mass,
-        avg(value) AS ma, CASE WHEN user_id % 7 <> 0 THEN max(value) END AS icp
-        FROM v_events WHERE event_type = 'purchase' AND user_id % 11 <> 0 GROUP BY user_id, lake_name""",
+        avg(value) AS ma, CASE WHEN max(value) > 150 THEN max(value) END AS icp
+        FROM v_events WHERE event_type = 'purchase' AND value > 100 GROUP BY user_id, lake_name""",
     "v_spike": "SELECT lake_name, CASE WHEN icp IS NULL THEN 0.0 ELSE ma END AS spike FROM v_rspike",
     "v_means": """SELECT lake_name, time, avg(c199) AS c199, avg(c198) AS c198,
         CASE WHEN bool_or(c198 = 0) THEN CAST('-Infinity' AS DOUBLE) ELSE avg(CASE WHEN c198 > 0 THEN ln198 END) END AS ln198
@@ -239,7 +239,7 @@ SQL_VIEWS: dict[str, str] = {
         avg(o_totalprice) / 9973 AS "DOC", CAST(count(*) AS DOUBLE) AS "Sulphate", 4.0 + (o_custkey % 40) / 10.0 AS "pH"
         FROM orders GROUP BY o_custkey, year(o_orderdate)""",
     "v_years": """SELECT lake_name, min("Year") AS "Year" FROM v_chem GROUP BY lake_name""",
-    "v_suva": "SELECT 'L' || CAST(c_custkey AS VARCHAR) AS lake_name, c_acctbal / 1000 AS \"SUVA\" FROM customer WHERE c_custkey % 9 <> 0",
+    "v_suva": "SELECT 'L' || CAST(c_custkey AS VARCHAR) AS lake_name, c_acctbal / 1000 AS \"SUVA\" FROM customer WHERE c_acctbal >= 0",
     "v_master": f"""SELECT c_custkey AS k, c_acctbal / 1000 AS balance, c_mktsegment AS segment, n_name AS nation, r_name AS region,
         price, qty, disc FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
         LEFT JOIN (SELECT o_custkey, avg(o_totalprice) / 997 AS price FROM orders WHERE o_orderpriority = '{URGENT}'

@@ -173,12 +173,15 @@ def test_permutation_tests(space, spark):
     assert np.isclose(row["f"], part.f) and 0 < row["p"] <= 1
 
 
-def test_permutation_distribution_is_uniform_under_null(spark):
+def test_permutation_distribution_is_uniform_under_null(spark, monkeypatch):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(30, 1))
     rows = [(f"n{i:02d}", float(x[i, 0])) for i in range(30)]
     design = spark.createDataFrame(rows, "id string, x double")
-    got = P.permuted_design(design, ["x"], 400, 9).collect()
+    got = P.permuted_design(design, ["x"], 30, 400, 9).collect()
+    monkeypatch.setattr(P, "SAMPLES_PER_BUCKET", 7)
+    split = P.permuted_design(design, ["x"], 30, 400, 9).collect()
+    assert sorted(map(tuple, split)) == sorted(map(tuple, got))
     m = np.array([r["xs"] for r in got])
     assert m.shape == (30, 401)
     assert np.allclose(np.sort(m, axis=0), np.sort(m[:, :1], axis=0))
@@ -236,3 +239,13 @@ def test_many_blocks_and_slices_give_the_same(spark, monkeypatch):
         keys = {k for _, k, _ in rows}
         for (i, j), s in one.items():
             assert abs(s - sum(f(d.get((i, k), 0.0), d.get((j, k), 0.0)) for k in keys)) < 1e-9
+
+
+def test_batches_and_wide_designs_give_the_same(space, spark, monkeypatch):
+    m = O.dbrda(space, ["x", "y", "z"])
+    one = P.permutation_test(m, spark, 49).collect()
+    monkeypatch.setattr(P, "NUMBERS_PER_ROW", 40)
+    many = P.permutation_test(m, spark, 49).collect()
+    assert np.isclose(one[0]["f"], many[0]["f"]) and one[0]["p"] == many[0]["p"]
+    monkeypatch.setattr(O, "WIDE", 2)
+    assert np.allclose(O.cross_gower(space.pairs, space.design, space.names, space.n), space.t)
