@@ -411,7 +411,7 @@ def _(v):
 
 
 @query("x8_split_lineage", """SELECT 'P' || CAST(p_partkey AS VARCHAR) AS feature_id, p_type AS "Kingdom", p_brand AS "Phylum",
-    CASE WHEN p_size % 10 <> 0 THEN p_name END AS "Class", NULL AS "Order" FROM part""")
+    CASE WHEN p_size % 10 <> 0 THEN p_name END AS "Class", CAST(NULL AS VARCHAR) AS "Order" FROM part""")
 def _(v):
     return X.split_lineage(v.lineages, "lineage").select("feature_id", "Kingdom", "Phylum", "Class", "Order")
 

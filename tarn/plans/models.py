@@ -79,8 +79,8 @@ def _(v):
     return S.avg_rank(v.table("lineitem"), "l_extendedprice").select("l_extendedprice", "cnt", "rank")
 
 
-@query("w4_order_statistics", check("""SELECT l_returnflag, l_quantity, count(*) AS cnt, sum(count(*)) OVER (PARTITION BY l_returnflag ORDER BY l_quantity) - count(*) + 1 AS lo,
-    sum(count(*)) OVER (PARTITION BY l_returnflag) AS n FROM lineitem GROUP BY 1, 2""", "l_quantity", "l_returnflag cnt lo n"))
+@query("w4_order_statistics", check("""SELECT l_returnflag, l_quantity, count(*) AS cnt, CAST(sum(count(*)) OVER (PARTITION BY l_returnflag ORDER BY l_quantity) - count(*) + 1 AS BIGINT) AS lo,
+    CAST(sum(count(*)) OVER (PARTITION BY l_returnflag) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2""", "l_quantity", "l_returnflag cnt lo n"))
 def _(v):
     return S.positions(v.table("lineitem"), "l_quantity", ["l_returnflag"])
 

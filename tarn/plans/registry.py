@@ -60,5 +60,5 @@ def check(body: str, doubles: str = "", keep: str = "", digits: int = DIGITS) ->
 
     need(body)
     ctes = ", ".join(f"{v} AS ({SQL_VIEWS[v]})" for v in needed)
-    cols = ", ".join([*keep.split(), *[f"round({d}, {digits}) + 0.0 AS {d}" for d in doubles.split()]]) or "*"
+    cols = ", ".join([*keep.split(), *[f"round(CAST({d} AS DOUBLE), {digits}) + 0.0::DOUBLE AS {d}" for d in doubles.split()]]) or "*"
     return f"WITH {ctes + ', ' if ctes else ''}answer AS ({body}) SELECT {cols} FROM answer"
