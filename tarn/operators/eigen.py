@@ -10,13 +10,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .pairs import per_item
 
-MAX_BASIS = 240
+MAX_BASIS = 160
+MAX_STEPS = 400
 
 
 def inner_products(df: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
@@ -69,69 +71,105 @@ def _orthonormal(m: np.ndarray, floor: float) -> np.ndarray:
     return vec[:, keep] / np.sqrt(val[keep])
 
 
-def _project(table: DataFrame, fixed: list[str], new: list[str], h: np.ndarray, weights: np.ndarray, fresh: list[str]) -> DataFrame:
-    """Replace the new columns by ``(new - fixed h) weights``."""
-    combined = np.vstack([-h @ weights, weights])
-    return table.select("id", *fixed, *[e.alias(f) for e, f in zip(mix([*fixed, *new], combined), fresh)])
+def _matrix(arrays: pd.Series) -> np.ndarray:
+    return np.stack(arrays.to_numpy()).astype(float)
 
 
-def top_eigen(apply, ids: DataFrame, k: int, block: int = 8, tol: float = 1e-10):
+def _block_products(table: DataFrame, basis: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products of the basis ``q`` and of the block ``w`` with the block, summed from partial matrices."""
+
+    def partial(batches):
+        acc = np.zeros((basis + block, block))
+        for pdf in batches:
+            if len(pdf):
+                w = _matrix(pdf["w"])
+                acc += np.hstack([_matrix(pdf["q"]), w]).T @ w
+        yield pd.DataFrame({"pos": np.arange(acc.size), "s": acc.ravel()})
+
+    sums = table.select("q", "w").mapInPandas(partial, "pos int, s double").groupBy("pos").agg(F.sum("s").alias("s"))
+    out = np.zeros((basis + block) * block)
+    for r in sums.collect():
+        out[r["pos"]] = r["s"]
+    out = out.reshape(basis + block, block)
+    return out[:basis], out[basis:]
+
+
+def _combine(weights: np.ndarray):
+    """Column of linear combinations of a row's basis and block values."""
+
+    @F.pandas_udf("array<double>")
+    def run(q: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series(list(np.hstack([_matrix(q), _matrix(w)]) @ weights) if len(q) else [], dtype=object)
+
+    return run("q", "w")
+
+
+def top_eigen(apply, ids: DataFrame, k: int, block: int = 8, tol: float = 1e-9):
     """The ``k`` largest eigenvalues and a table ``(id, v1..vk)`` of unit eigenvectors.
 
     ``ids`` has a column ``id`` and may have a unit vector ``deflate``: the operator is then restricted
     to the vectors orthogonal to it. The sign is fixed: the loading of largest absolute value is positive
     (ties: the smallest id). A step is three jobs: the image of the last block and two rounds of inner
-    products.
+    products. A full basis is restarted from its best vectors.
     """
-    fixed = ["deflate"] if "deflate" in ids.columns else []
-    skip = len(fixed)
-    new = [f"w{c}" for c in range(block)]
-    seeds = [((F.xxhash64("id", F.lit(101 + c)) % 1_000_003) / 1_000_003.0).alias(w) for c, w in enumerate(new)]
-    table = cut_lineage(ids.select("id", *fixed, *seeds))
+    skip = int("deflate" in ids.columns)
+    first = F.array("deflate") if skip else F.array().cast("array<double>")
+    seeds = F.array(*[(F.xxhash64("id", F.lit(101 + c)) % 1_000_003) / 1_000_003.0 for c in range(block)])
+    table = cut_lineage(ids.select("id", first.alias("q"), seeds.alias("w")))
     t = np.zeros((0, 0))
-    while True:
-        products = inner_products(table, fixed + new, new)
-        h, own = products[: len(fixed)], products[len(fixed):]
-        size = len(fixed) - skip
+    width, size = block, 0
+    for _ in range(MAX_STEPS):
+        # q holds [deflate,] and `size` basis vectors, w the image of the last `width` of them
+        h, own = _block_products(table, skip + size, width)
         if size:
-            # the raw block is the image of the last basis block: its products are the new columns of Q'AQ
             grown = np.zeros((size, size))
-            grown[: t.shape[0], : t.shape[0]] = t
-            grown[:, size - len(new):] = h[skip:]
-            grown[size - len(new):, :] = h[skip:].T
+            grown[: len(t), : len(t)] = t
+            grown[:, size - width:] = h[skip:]
+            grown[size - width:, :] = h[skip:].T
             t = (grown + grown.T) / 2
         m = own - h.T @ h
         weights = _orthonormal(m, 1e-15 * max(np.trace(own), 1e-300))
-        coupling = weights.T @ m
-        fresh = [f"x{c}" for c in range(weights.shape[1])]
+        coupling, fresh = weights.T @ m, weights.shape[1]
         if fresh:
-            table = _project(table, fixed, new, h, weights, fresh)
-            products = inner_products(table, fixed + fresh, fresh)
-            h, own = products[: len(fixed)], products[len(fixed):]
+            table = table.select("id", "q", _combine(np.vstack([-h @ weights, weights])).alias("w"))
+            h, own = _block_products(table, skip + size, fresh)
             m = own - h.T @ h
             weights = _orthonormal(m, 1e-8)
-            coupling = weights.T @ m @ coupling
-            basis = [f"q{size + c}" for c in range(weights.shape[1])]
-            table = _project(table, fixed, fresh, h, weights, basis)
-        else:
-            basis = []
+            coupling, fresh = weights.T @ m @ coupling, weights.shape[1]
+            table = table.select("id", "q", _combine(np.vstack([-h @ weights, weights])).alias("w"))
         if size:
             val, vec = np.linalg.eigh(t)
             order = np.argsort(val)[::-1][:k]
-            residual = np.linalg.norm(coupling @ vec[size - len(new):, order], axis=0) if basis else np.zeros(1)
-            if not basis or (size >= k and residual.max() <= tol * np.abs(val).max()):
+            residual = np.linalg.norm(coupling @ vec[size - width:, order], axis=0) if fresh else np.zeros(1)
+            if not fresh or (size >= k and residual.max() <= tol * np.abs(val).max()):
                 break
-        if size + len(basis) > MAX_BASIS:
-            raise RuntimeError("the leading eigenvalues did not converge")
-        fixed = fixed + basis
-        new = [f"w{c}" for c in range(len(basis))]
-        image = apply(table.select("id", *basis), basis).select("id", *[F.col(c).alias(w) for c, w in zip(basis, new)])
-        table = cut_lineage(table.join(image, "id", "left").na.fill(0.0))
-    names = fixed[skip:]
-    vectors = cut_lineage(table.select("id", *[e.alias(f"v{i + 1}") for i, e in enumerate(mix(names, vec[:, order]))]))
+        elif not fresh:
+            raise ValueError("no vector is left to start from")
+        if size + fresh > MAX_BASIS:
+            best = np.argsort(val)[::-1][: max(2 * block, k + block)]
+            keep = np.zeros((skip + size + fresh, skip + len(best)))
+            keep[:skip, :skip] = np.eye(skip)
+            keep[skip: skip + size, skip:] = vec[:, best]
+            table = table.select("id", _combine(keep).alias("q"), "w")
+            t, size = np.diag(val[best]), len(best)
+        names = [f"x{c}" for c in range(fresh)]
+        vectors = table.select("id", *[F.get("w", F.lit(c)).alias(x) for c, x in enumerate(names)])
+        image = apply(vectors, names).select("id", F.array(*names).alias("__w"))
+        grown_q = table.select("id", F.concat("q", "w").alias("q"))
+        zeros = F.array(*[F.lit(0.0)] * fresh)
+        table = cut_lineage(grown_q.join(image, "id", "left").select("id", "q", F.coalesce("__w", zeros).alias("w")))
+        width, size = fresh, size + fresh
+    else:
+        raise RuntimeError("the leading eigenvalues did not converge")
     k = len(order)
-    heads = vectors.agg(*[
+    final = np.zeros((skip + size + fresh, k))
+    final[skip: skip + size] = vec[:, order]
+    if not fresh:
+        table = table.select("id", "q", F.array().cast("array<double>").alias("w"))
+    out = cut_lineage(table.select("id", _combine(final).alias("v")))
+    out = out.select("id", *[F.get("v", F.lit(i)).alias(f"v{i + 1}") for i in range(k)])
+    heads = out.agg(*[
         F.min_by(f"v{i + 1}", F.struct(-F.round(F.abs(f"v{i + 1}"), 9), "id")).alias(f"v{i + 1}") for i in range(k)
     ]).first()
     signs = [-1.0 if heads[f"v{i + 1}"] < 0 else 1.0 for i in range(k)]
-    return val[order], vectors.select("id", *[(F.col(f"v{i + 1}") * s).alias(f"v{i + 1}") for i, s in enumerate(signs)])
+    return val[order], out.select("id", *[(F.col(f"v{i + 1}") * s).alias(f"v{i + 1}") for i, s in enumerate(signs)])

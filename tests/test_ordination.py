@@ -249,3 +249,20 @@ def test_batches_and_wide_designs_give_the_same(space, spark, monkeypatch):
     assert np.isclose(one[0]["f"], many[0]["f"]) and one[0]["p"] == many[0]["p"]
     monkeypatch.setattr(O, "WIDE", 2)
     assert np.allclose(O.cross_gower(space.pairs, space.design, space.names, space.n), space.t)
+
+
+def test_restarts_reach_the_same_axes(spark, monkeypatch):
+    from tarn.operators import eigen
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(90, 60))
+    ids = [f"r{i:03d}" for i in range(90)]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    rows = [(ids[i], ids[j], float(d[i, j])) for i in range(90) for j in range(i + 1, 90)]
+    long = spark.createDataFrame(rows, "i string, j string, d double")
+    monkeypatch.setattr(eigen, "MAX_BASIS", 40)
+    o = O.pcoa(long, 2)
+    val, vec = np.linalg.eigh(gower(d))
+    assert np.allclose(o.eigenvalues, val[::-1][:2])
+    got = {r["id"]: r["axis1"] for r in o.scores.collect()}
+    assert np.allclose(np.abs([got[k] for k in ids]), np.abs(vec[:, -1]) * np.sqrt(val[-1]), atol=1e-6)
