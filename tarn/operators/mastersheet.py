@@ -23,19 +23,18 @@ def mastersheet(
 
 def env_table(
     metadata: DataFrame, rate_table: DataFrame, years: DataFrame, suva: DataFrame, columns: list[str],
-    renames: dict[str, str] = {}, exclude=(), require_rate: str | None = None,
+    renames: dict[str, str] | None = None, exclude=(), require_rate: str | None = None,
 ) -> DataFrame:
     """One row per sequenced sample with chemistry, rates and SUVA.
 
     ``renames`` replaces a piece of a lake name wherever it occurs in the rate table.
     """
     dated = join_on(rate_table, years, ["lake_name"], "full")
-    for old, new in renames.items():
+    for old, new in (renames or {}).items():
         dated = dated.withColumn("lake_name", F.replace(F.col("lake_name"), F.lit(old), F.lit(new)))
     out = join_on(metadata, dated, ["lake_name", "Year"], "left")
     out = join_on(out, suva, ["lake_name"], "left").select(*columns)
     if exclude:
-        # a plain comparison drops rows without a name, the list test keeps them
         out = out.filter(not_in("lake_name", exclude))
     return out.na.drop(subset=[require_rate]) if require_rate else out
 

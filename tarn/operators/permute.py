@@ -239,8 +239,8 @@ def ordistep(
 ):
     """Forward and backward selection of terms by permutation p, starting from no term.
 
-    One job tests all candidates of a step: they are blocks of the same permuted matrices. Returns the
-    chosen terms and a table of steps ``(step, action, term, f, p)``.
+    A step drops the worst term above ``p_out``, or else adds the best one up to ``p_in``. One job tests all
+    candidates to add: they are blocks of the same permuted matrices. Returns the chosen terms and a table of steps ``(step, action, term, f, p)``.
     """
     terms = [t for t in space.terms if scope is None or t.name in scope]
     current: list[str] = []
@@ -266,10 +266,8 @@ def ordistep(
             s.name in names for s in terms if s.parts < t.parts)]
         z = space.columns(current)
         free = [t for t in free if len(space.columns([*current, t.name])) > len(z)]
-        if log and dropped:
-            free = [t for t in free if t.name != log[-1][2]]
         added = False
-        if free:
+        if free and not dropped:
             tested = _marginal_tests(space, current, [t.name for t in free], n, seed + 2 * step + 1)
             f, p, name = max(((f, p, t.name) for (f, p), t in zip(tested, free)), key=lambda e: (-e[1], e[0]))
             if p <= p_in:
