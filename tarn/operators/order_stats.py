@@ -44,13 +44,17 @@ def positions(df: DataFrame, value: str, by: list[str] = (), weight: str | None
         .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("cnt"))
     )
     splits = _bounds(counted, "v")
-    if len(splits) > 2:
-        bucketed = Bucketizer(splits=splits, inputCol="v", outputCol="__b").transform(counted)
-    else:
-        bucketed = counted.withColumn("__b", F.lit(0.0))
+    before = Window.unboundedPreceding
+    if len(splits) == 2:
+        # no more values than one bucket holds: the group itself is the bucket
+        up_to = Window.partitionBy(*by).orderBy("v").rowsBetween(before, -1)
+        lo = F.coalesce(F.sum("cnt").over(up_to), F.lit(0)) + 1
+        n = F.sum("cnt").over(Window.partitionBy(*by))
+        return counted.select(*by, F.col("v").alias(value), "cnt", lo.alias("lo"), n.alias("n"))
+    bucketed = Bucketizer(splits=splits, inputCol="v", outputCol="__b").transform(counted)
     per_bucket = bucketed.groupBy(*by, "__b").agg(F.sum("cnt").alias("__t"))
     # one row per (group, bucket): at most MAX_BUCKETS rows per group enter this window
-    lower = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    lower = Window.partitionBy(*by).orderBy("__b").rowsBetween(before, -1)
     whole = Window.partitionBy(*by)
     offsets = per_bucket.select(
         *[F.col(c).alias(f"__o_{c}") for c in by],
@@ -58,7 +62,7 @@ def positions(df: DataFrame, value: str, by: list[str] = (), weight: str | None
         F.coalesce(F.sum("__t").over(lower), F.lit(0)).alias("__before"),
         F.sum("__t").over(whole).alias("n"),
     )
-    inside = Window.partitionBy(*by, "__b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by, "__b").orderBy("v").rowsBetween(before, -1)
     ranked = bucketed.withColumn("__in", F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
     cond = F.col("__b") == F.col("__o_b")
     for c in by:
