@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_groups
+from .fingerprint import edited_fingerprints
+from .language import identify
 from .mixing import mix
+from .packing import pack
 from .url_filter import judge, judge_sql
 from .warc import round_trip
 
@@ -43,6 +46,16 @@ def op1(spark, sf_dir):
     return exact_groups(documents(spark, sf_dir))
 
 
+@query("op3_fingerprints")
+def op3(spark, sf_dir):
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
+@query("op4_best_fit_packing")
+def op4(spark, sf_dir):
+    return pack(documents(spark, sf_dir))
+
+
 @query("op5_source_mix")
 def op5(spark, sf_dir):
     return mix(documents(spark, sf_dir))
@@ -53,6 +66,11 @@ def op7(spark, sf_dir):
     return round_trip(pages(spark, sf_dir))
 
 
+@query("op8_language_id")
+def op8(spark, sf_dir):
+    return identify(documents(spark, sf_dir))
+
+
 @query("op10_url_filter", judge_sql())
 def op10(spark, sf_dir):
     return judge(pages(spark, sf_dir)).select("page_id", "host", "path", "rule", "verdict")
