@@ -10,6 +10,7 @@ from .exact_dedup import exact_groups
 from .fingerprint import edited_fingerprints
 from .language import identify
 from .mixing import mix
+from .near_dedup import near_groups
 from .packing import pack
 from .url_filter import judge, judge_sql
 from .warc import round_trip
@@ -71,6 +72,11 @@ def op8(spark, sf_dir):
     return identify(documents(spark, sf_dir))
 
 
+@query("op9_near_dedup")
+def op9(spark, sf_dir):
+    return near_groups(documents(spark, sf_dir))
+
+
 @query("op10_url_filter", judge_sql())
 def op10(spark, sf_dir):
     return judge(pages(spark, sf_dir)).select("page_id", "host", "path", "rule", "verdict")
