@@ -12,6 +12,7 @@ from .language import identify
 from .mixing import mix
 from .near_dedup import near_groups
 from .packing import pack
+from .suffix_dedup import remove_repeats
 from .url_filter import judge, judge_sql
 from .warc import round_trip
 
@@ -47,6 +48,11 @@ def op1(spark, sf_dir):
     return exact_groups(documents(spark, sf_dir))
 
 
+@query("op2_suffix_dedup")
+def op2(spark, sf_dir):
+    return remove_repeats(documents(spark, sf_dir), keep_text=False).drop("kept")
+
+
 @query("op3_fingerprints")
 def op3(spark, sf_dir):
     return edited_fingerprints(documents(spark, sf_dir))
