@@ -1,10 +1,66 @@
-"""A corpus from raw documents: language ID, exact dedup, near-dedup, source mix, packing."""
+"""A corpus from raw documents: language ID, exact dedup, near-dedup, source mix, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's ``docs``.
+All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarn.llm import exact_dedup, language, mixing, near_dedup, packing
+from tarn.session import store
+
+#: Least posterior of the predicted language.
+CONFIDENCE = 0.5
+
+
+def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a recognised language: texts without a letter, or with no language more likely than all others together, go.
+
+    Rows without an id can't be told apart and stay.
+    """
+    found = language.identify(docs)
+    gone = found.filter((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < CONFIDENCE)).select(F.col("doc_id").alias("gone_"))
+    return docs.join(gone, docs["doc_id"] == gone["gone_"], "left_anti")
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest id."""
+    return exact_dedup.keep_one(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, the row with the smallest id."""
+    return near_dedup.keep_one(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; rows without an id or without words are not taken."""
+    taken = mixing.mix(docs).filter("copies > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("taken_"), "copies")
+    # rows that share an id share their copies
+    taken = store(taken.groupBy("taken_").agg(F.max("copies").alias("copies_")))
+    chosen = docs.join(taken, docs["doc_id"] == taken["taken_"])
+    return chosen.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies_")))).select(*[f"`{c}`" for c in docs.columns])
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes: see ``tarn.llm.packing.pack``."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", in_a_language), ("exact_dedup", without_copies), ("near_dedup", without_near_copies),
+    ("source_mix", mixed), ("best_fit_packing", packed),
+]
+#: SQL can't express the classifier, the near-duplicates' order of work or the packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("the stages are not there yet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written and read again, on ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_groups
 from .fingerprint import edited_fingerprints
 from .language import identify
+from .licences import scan, scan_sql
 from .mixing import mix
 from .near_dedup import near_groups
 from .packing import pack
@@ -68,6 +69,11 @@ def op5(spark, sf_dir):
     return mix(documents(spark, sf_dir))
 
 
+@query("op6_license_scan", scan_sql())
+def op6(spark, sf_dir):
+    return scan(documents(spark, sf_dir)).select("doc_id", "canonical_sha256", "licence", "notices")
+
+
 @query("op7_warc_round_trip")
 def op7(spark, sf_dir):
     return round_trip(pages(spark, sf_dir))
