@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ def positions(df: DataFrame, *order: Column) -> DataFrame:
     A range sort places the rows; only one count per partition reaches the driver, so no task sees more than its range.
     Rows equal in all of ``order`` take neighbouring places in any order.
     """
+    df = store(df)  # the range bounds are sampled first: without this, the rows would be worked out twice
     placed = store(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
     part = F.shiftright("at", 33)
     start, starts = 0, []
@@ -35,3 +37,16 @@ def positions(df: DataFrame, *order: Column) -> DataFrame:
     shift = df.sparkSession.createDataFrame(starts, "part_ int, shift_ long")
     return (placed.withColumn("part_", part.cast("int")).join(F.broadcast(shift), "part_")
             .withColumn("at", F.col("at") + F.col("shift_")).drop("part_", "shift_"))
+
+
+def block_edges(rows: DataFrame, block_bytes: int) -> np.ndarray:
+    """Ids that cut ``rows`` (doc_id, text) into ranges of about ``block_bytes``; only these reach the driver.
+
+    Ids below the first edge are range 0; an edge belongs to the range that it begins.
+    """
+    total = rows.agg(F.sum(F.octet_length("text") + 100).alias("b")).first().b or 0
+    n = int(total // block_bytes) + 1
+    if n == 1:
+        return np.zeros(0, dtype=np.int64)
+    cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20 * n).alias("q")).first().q
+    return np.array(sorted(set(cuts or [])), dtype=np.int64)

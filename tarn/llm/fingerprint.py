@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import block_edges
+
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 SMALLEST, LONGEST, AIM = 3, 64, 48  # smallest block size; characters of a signature at most, and aimed at
 COMMON = 4  # characters in a row that two signatures must share to count as alike at all
@@ -127,12 +129,8 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
     """
     import pyarrow as pa
 
-    total = rows.agg(F.sum(F.octet_length("text") + 100).alias("b")).first().b or 0
-    n = int(total // BLOCK_BYTES) + 1
-    bounds = []
-    if n > 1:
-        bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20 * n).alias("q")).first().q or []))
-    edges = np.array(bounds, dtype=np.int64)
+    edges = block_edges(rows, BLOCK_BYTES)
+    n = len(edges) + 1
 
     def block(ids):  # 0 has the largest ids; null ids come after the smallest
         import pyarrow.compute as pc

@@ -25,6 +25,8 @@ HELD_BACK = 200_000  # words whose likelihoods a worker keeps; more are worked o
 _LETTER = re.compile(r"[^\W\d_]")
 _LONG = 48  # longer words are scaled as they go
 _WORKER: dict = {}
+_BASE, _ODD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+_SLOTS, _SHIFTS = np.uint64((1 << 20) - 1), (44, 20, 10, 32, 4)
 
 
 def vocabulary() -> str:
@@ -38,6 +40,13 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def _hashed(s: str) -> int:
+    h = 0
+    for c in s:
+        h = (h * int(_BASE) + ord(c)) & 0xFFFFFFFFFFFFFFFF
+    return h
+
+
 class Vocabulary:
     """The pieces that a word can be cut into, and a segmenter for counting them."""
 
@@ -62,11 +71,23 @@ class Scorer:
     """Log likelihoods of words in each language."""
 
     def __init__(self, vocab: Vocabulary, probs: np.ndarray) -> None:
-        self.vocab, self.langs = vocab, probs.shape[1]
-        self.probs = np.vstack([probs, np.zeros((1, self.langs))])  # the last row is for strings that are no piece
+        self.vocab, self.langs, self.probs = vocab, probs.shape[1], probs
         self.rare: dict[str, np.ndarray] = {}
         self.known: dict[str, int] = {}
-        self.rows = np.zeros((0, self.langs))
+        self.rows = np.zeros((HELD_BACK, self.langs))
+        # pieces by the hash of their characters, in two tables: the second has those whose place in the first is taken
+        keys = np.zeros(len(vocab.ids), dtype=np.uint64)
+        for i, piece in enumerate(vocab.ids):
+            keys[i] = _hashed(piece)
+        ids, self.tables = np.array(list(vocab.ids.values()), dtype=np.int32), []
+        while len(keys):
+            shift = _SHIFTS[len(self.tables)]
+            slot = ((keys * _ODD) >> np.uint64(shift)) & _SLOTS
+            _, first = np.unique(slot, return_index=True)
+            key, value = np.zeros(int(_SLOTS) + 1, dtype=np.uint64), np.full(int(_SLOTS) + 1, -1, dtype=np.int32)
+            key[slot[first]], value[slot[first]] = keys[first], ids[first]
+            self.tables.append((shift, key, value))
+            keys, ids = np.delete(keys, first), np.delete(ids, first)
 
     def _char(self, c: str) -> np.ndarray:
         if c not in self.rare:
@@ -75,16 +96,6 @@ class Scorer:
             self.rare[c] = np.prod([self.probs[self.vocab.bytes[b]] for b in c.encode("utf-8", "surrogatepass")], axis=0)
         return self.rare[c]
 
-    def _cut(self, word: str) -> tuple[list[list[int]], dict[int, np.ndarray]]:
-        """Piece ids by start and length, and the probabilities of single characters that are no piece."""
-        ids, get, n, most = [], self.vocab.ids.get, len(word), self.vocab.longest
-        odd = {}
-        for i in range(n):
-            ids.append([get(word[i:j], -1) for j in range(i + 1, min(n, i + most) + 1)])
-            if ids[-1][0] < 0:
-                odd[i] = self._char(word[i])
-        return ids, odd
-
     def _long(self, word: str) -> np.ndarray:
         get, most = self.vocab.ids.get, self.vocab.longest
         window, total = [np.ones(self.langs)], np.zeros(self.langs)  # the last ``most`` sums, all on the scale of ``total``
@@ -96,56 +107,83 @@ class Scorer:
                     now += window[-k] * self.probs[p]
                 elif k == 1:
                     now += window[-1] * self._char(word[j - 1])
-            window = [*window[-most + 1:], now] if most > 1 else [now]
-            window = [w / now for w in window]
+            window = [w / now for w in [*window[-most + 1:], now]]
             total += np.log(now)
         return total
 
+    def _lookup(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), -1, dtype=np.int32)
+        mixed = keys * _ODD
+        for shift, key, value in self.tables:
+            slot = (mixed >> np.uint64(shift)) & _SLOTS
+            hit = key[slot] == keys
+            out[hit] = value[slot[hit]]
+        return out
+
+    def _short(self, words: list[str]) -> np.ndarray:
+        """The forward sums of words of at most ``_LONG`` characters, longest first, for all words together."""
+        code = np.frombuffer(("▁" + "▁".join(words)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        size = np.array([len(w) + 1 for w in words])
+        start = np.cumsum(size) - size
+        room = np.repeat(start + size, size) - np.arange(len(code))  # characters from here to the word's end
+        probs, ids, at, key = self.probs, [], np.arange(len(code)), np.zeros(len(code), dtype=np.uint64)
+        for k in range(1, min(self.vocab.longest, int(size[0])) + 1):
+            live = room[at] >= k
+            at, key = at[live], key[live]
+            key = key * _BASE + code[at + k - 1]
+            found = np.full(len(code), -1, dtype=np.int32)
+            found[at] = self._lookup(key)
+            if k == 1 and (odd := np.flatnonzero(found < 0)).size:
+                chars, which = np.unique(code[odd], return_inverse=True)
+                found[odd] = len(probs) + which
+                probs = np.vstack([probs, [self._char(chr(c)) for c in chars.tolist()]])
+            ids.append(found)
+        sums, out = [np.ones((len(words), self.langs))], np.zeros((len(words), self.langs))
+        for j in range(1, int(size[0]) + 1):
+            n = int(np.searchsorted(-size, -j, side="right"))  # words with at least j characters come first
+            now = np.zeros((n, self.langs))
+            for k in range(1, min(j, len(ids)) + 1):
+                p = ids[k - 1][start[:n] + j - k]
+                some = np.flatnonzero(p >= 0)
+                if some.size:
+                    now[some] += sums[j - k][some] * probs[p[some]]
+            sums.append(now)
+            ended = slice(int(np.searchsorted(-size, -j, side="left")), n)
+            out[ended] = np.log(now[ended])
+        return out
+
     def words(self, words: list[str]) -> np.ndarray:
         """(words, languages): log of the sum over all segmentations."""
         out = np.zeros((len(words), self.langs))
-        by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_length.setdefault(len(w) + 1, []).append(i)
-        most = self.vocab.longest
-        for n, where in by_length.items():
-            if n > _LONG:
-                for i in where:
-                    out[i] = self._long("▁" + words[i])
-                continue
-            ids = np.full((len(where), n, min(n, most)), -1, dtype=np.int32)
-            odd = np.zeros((len(where), n, self.langs))
-            for r, i in enumerate(where):
-                cut, rare = self._cut("▁" + words[i])
-                for a, row in enumerate(cut):
-                    ids[r, a, :len(row)] = row
-                for a, p in rare.items():
-                    odd[r, a] = p
-            sums = [np.ones((len(where), self.langs))]
-            for j in range(1, n + 1):
-                now = sums[j - 1] * odd[:, j - 1]
-                for k in range(1, min(j, most) + 1):
-                    now = now + sums[j - k] * self.probs[ids[:, j - k, k - 1]]
-                sums.append(now)
-            out[where] = np.log(sums[n])
+        order = sorted(range(len(words)), key=lambda i: -len(words[i]))
+        cut = next((k for k, i in enumerate(order) if len(words[i]) < _LONG), len(order))
+        for i in order[:cut]:
+            out[i] = self._long("▁" + words[i])
+        for a in range(cut, len(order), 50_000):
+            part = order[a:a + 50_000]
+            out[part] = self._short([words[i] for i in part])
         return out
 
     def texts(self, texts: list[str]) -> np.ndarray:
         """(texts, languages): sums over the words of each text."""
-        out = np.zeros((len(texts), self.langs))
-        for t, text in enumerate(texts):
-            words = text.lower().split()
-            if len(self.known) > HELD_BACK:
-                self.known, self.rows = {}, self.rows[:0]
-            new = [w for w in dict.fromkeys(words) if w not in self.known]
+        out, a = np.zeros((len(texts), self.langs)), 0
+        while a < len(texts):
+            cut, words = [], 0  # as many texts as have some 100,000 words
+            while a + len(cut) < len(texts) and (not cut or words < 100_000):
+                cut.append(texts[a + len(cut)].lower().split())
+                words += len(cut[-1])
+            new = [w for w in {w for c in cut for w in c} if w not in self.known]
+            if len(self.known) + len(new) > HELD_BACK:
+                self.known, new = {}, list({w for c in cut for w in c})
+                self.rows = self.rows if len(new) <= len(self.rows) else np.zeros((len(new), self.langs))
             if new:
-                start = len(self.known)
-                self.known.update(zip(new, range(start, start + len(new)), strict=True))
-                if len(self.known) > len(self.rows):
-                    self.rows = np.concatenate([self.rows[:start], np.zeros((max(len(new), start, 1024), self.langs))])
-                self.rows[start:start + len(new)] = self.words(new)
-            if words:
-                out[t] = self.rows[np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0)
+                first = len(self.known)
+                self.known.update(zip(new, range(first, first + len(new)), strict=True))
+                self.rows[first:first + len(new)] = self.words(new)
+            for t, c in enumerate(cut, a):
+                if c:
+                    out[t] = self.rows[np.fromiter(map(self.known.__getitem__, c), dtype=np.int64, count=len(c))].sum(axis=0)
+            a += len(cut)
         return out
 
 
