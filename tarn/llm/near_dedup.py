@@ -6,9 +6,11 @@ and the ten bits after them. Texts that agree in a band of four registers are ca
 Candidates whose estimated similarity, corrected for registers that agree by chance, is far below the limit are dropped (six
 standard errors); the rest is decided on the full sets.
 
-Equal sets are one node. In each band bucket, all nodes are compared with the smallest one first. Once the links found join nodes
-to components, only pairs of a bucket that lie in different components remain to be compared; buckets with
-many such components are split by a second band first, which a pair above the limit shares all but surely (2e-9).
+Equal sets are one node. In some rounds, the nodes of every band bucket are compared with one of them, another one each
+round and bucket, which joins nearly all that belong together at a cost in proportion to the buckets' members. What remains are
+pairs of a bucket that lie in different components. These are compared by their registers inside the tasks, block by block, and only
+pairs that may be links leave them. Buckets with very many members are split by a second band first, which a pair
+above the limit shares all but surely (2e-9).
 """
 
 from __future__ import annotations
@@ -27,8 +29,11 @@ from .shingles import arrow_bytes, mix, shingle_sets
 BUCKETS, ROWS, MANTISSA = 128, 4, 10
 EMPTY = 0xFFFF
 NUMERATOR, DENOMINATOR = 85, 100
-CROWDED = 200  # components in a bucket beyond which a second band splits it
-SIGMAS = 6
+ROUNDS = 3
+BLOCK = 1000  # nodes that a task compares with each other or with another block
+CROWDED = 5000  # members of a bucket beyond which a second band splits it
+SIGMAS = 5
+NAMED = 500_000  # rows of (node, digest, id) that are broadcast; more are joined by shuffling
 
 
 def registers(hashes: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
@@ -94,23 +99,58 @@ def _bands(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "n", "regs").mapInArrow(work, "key long, node long, n long")
 
 
+def _close(near: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Whether an estimate isn't far below the limit; registers are a sample, so errors are at most those of a binomial."""
+    limit, used = NUMERATOR / DENOMINATOR, np.maximum(used, 1)
+    return near >= limit - SIGMAS * np.sqrt(limit * (1 - limit) / used) - 1 / used
+
+
+def _fits(n: str, m: str):
+    """Sets of these sizes can be as similar as asked."""
+    return F.least(n, m) * DENOMINATOR >= F.greatest(n, m) * NUMERATOR
+
+
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose estimated similarity isn't far below the limit."""
     import pyarrow as pa
 
     def work(batches):
-        limit = NUMERATOR / DENOMINATOR
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint16).reshape(b.num_rows, -1) for c in ("ra", "rb"))
-            near, used = estimate(x, y, b.column("na").to_numpy(), b.column("nb").to_numpy())
-            # a sample of the set without replacement: errors are at most those of a binomial
-            keep = near >= limit - SIGMAS * np.sqrt(limit * (1 - limit) / np.maximum(used, 1)) - 1 / np.maximum(used, 1)
+            keep = _close(*estimate(x, y, b.column("na").to_numpy(), b.column("nb").to_numpy()))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     one = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
     two = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
-    fits = pairs.join(one, "a").join(two, "b").filter((F.least("na", "nb") * DENOMINATOR) >= (F.greatest("na", "nb") * NUMERATOR))
-    return fits.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(work, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(work, "a long, b long")
+
+
+def _across(members: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
+    """Pairs (a, b) of a bucket's members (key, node, label, members) with different labels that may be links."""
+    import pyarrow as pa
+
+    def compare(table):
+        node, n, label, part = (table[c].to_numpy() for c in ("node", "n", "label", "part"))
+        regs = np.frombuffer(b"".join(table["regs"].to_pylist()), dtype=np.uint16).reshape(len(node), -1)
+        cross = table["low"][0].as_py() != table["high"][0].as_py()
+        order = np.argsort(n, kind="stable")
+        node, n, label, part, regs = node[order], n[order], label[order], part[order], regs[order]
+        stop = np.searchsorted(n * NUMERATOR, n * DENOMINATOR, side="right")
+        found = [np.zeros((2, 0), dtype=np.int64)]
+        for i in range(len(node)):
+            j = np.arange(i + 1, stop[i])
+            j = j[(label[j] != label[i]) & (node[j] != node[i]) & ((part[j] != part[i]) | (not cross))]
+            if j.size:
+                j = j[_close(*estimate(regs[i][None, :], regs[j], n[i], n[j]))]
+                found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]))
+        a, b = np.concatenate(found, axis=1)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    blocks = F.ceil(F.col("members") / block).cast("int")
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "label")
+    return (dealt.join(nodes.select("node", "n", "regs"), "node").groupBy("key", "low", "high")
+            .applyInArrow(compare, "a long, b long").distinct())
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -135,7 +175,9 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    named = nodes.join(asked, "node").select("node", "set_id", F.col("first_id").alias("id_"))
+    named = store(nodes.join(asked, "node").select("node", "set_id", F.col("first_id").alias("id_")))
+    if named.count() <= NAMED:
+        named = F.broadcast(named)
     # an id may name more than one text: the digest tells which row is meant
     texts = docs.join(named, F.col("doc_id").eqNullSafe(F.col("id_"))).select("node", "set_id", "text")
     sets = store(texts.mapInArrow(members, "node long, members binary").dropDuplicates(["node"]))
@@ -164,7 +206,7 @@ def components(links: DataFrame) -> DataFrame:
     return stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct())
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, block: int = BLOCK, crowded: int = CROWDED) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) of every row.
 
     Words are runs of other characters than ASCII white space, A-Z lower-cased; a set has the different runs of five words, or
@@ -180,33 +222,35 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = store(positions(classes, F.col("first_id").asc_nulls_last(), F.col("set_id")).withColumnRenamed("at", "node"))
 
     bands = store(_bands(nodes))
-    shared = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).filter("members > 1")
+    shared = bands.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     # only buckets of two and more matter from here on
     bucketed = store(bands.join(store(shared), "key"))
-    pairs = store(_likely(bucketed.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes))
-    links = store(_linked(pairs, nodes, rows))
-    labels = store(components(links))
-
-    labelled = bucketed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("key", "node", "n", "label")
-    labelled = store(labelled)
-    apart = store(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.approx_count_distinct("label").alias("parts"))
-                  .filter("low < high").select("key", "parts"))
-    open_ = store(labelled.join(apart, "key"))
-    narrow = open_.filter(F.col("parts") <= crowded).select("key", "node", "n", "label")
-    wide = open_.filter(F.col("parts") > crowded).select("key", "node", "n", "label")
+
+    links = labels = None
+    labelled = bucketed.withColumn("label", F.col("node"))
+    for k in range(rounds):
+        each = F.struct(F.xxhash64("node", "key", F.lit(k)), "node", "n", "label")
+        pivots = labelled.groupBy("key").agg(F.min(each).alias("p"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+        pivots = store(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("m"), F.col("p.label").alias("other")))
+        pairs = labelled.join(pivots, "key").filter((F.col("label") != F.col("other")) & _fits("n", "m"))
+        pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        more = store(_linked(store(_likely(pairs, nodes)), nodes, rows))
+        if more.isEmpty():
+            break
+        links = more if links is None else links.unionByName(more)
+        labels = store(components(links))
+        labelled = store(bucketed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    apart = store(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key"))
+    open_ = store(labelled.join(apart, "key").select("key", "node", "label", "members"))
     # the members of a crowded bucket meet only where they share another bucket as well
     other = bucketed.select(F.col("key").alias("key2"), "node")
-    split = wide.join(other, "node").filter("key <> key2").select(
-        F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("key"), "node", "n", "label").distinct()
-    meeting = store(narrow.unionByName(split))
-    left = meeting.select("key", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("label").alias("l1"))
-    right = meeting.select("key", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("label").alias("l2"))
-    near = (F.col("a") < F.col("b")) & (F.col("l1") != F.col("l2")) & (F.least("n1", "n2") * DENOMINATOR >= F.greatest("n1", "n2") * NUMERATOR)
-    crossing = left.join(right, "key").filter(near).select("a", "b").distinct()
-    crossing = store(_likely(crossing.join(pairs, ["a", "b"], "left_anti"), nodes))
-    more = store(_linked(crossing, nodes, rows))
-    if not more.isEmpty():
-        labels = store(components(links.unionByName(more)))
+    split = open_.filter(F.col("members") > crowded).join(other, "node").filter("key <> key2").select(
+        F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("key"), "node", "label").distinct()
+    counts = split.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    meeting = open_.filter(F.col("members") <= crowded).unionByName(split.join(counts, "key"))
+    more = store(_linked(store(_across(meeting, nodes, block)), nodes, rows))
+    if labels is None or not more.isEmpty():
+        labels = store(components(more if links is None else links.unionByName(more)))
 
     smallest = nodes.select(F.col("node").alias("label"), F.col("first_id").alias("component_id"))
     grouped = (nodes.join(labels, "node", "left").filter("label IS NOT NULL OR rows > 1")
