@@ -3,15 +3,16 @@
 Documents are dealt to ranges of ids. A range cuts its texts into segments: runs of 50-byte strings that share their
 least 16-byte hash, which is the segments' key. Equal strings share it, so each string is looked at under one key only.
 
-1. Every range sends each of its keys once, with a digest of the key's segment. A key that has the same segment everywhere
-   is settled by that: the first range that has it owns it.
-2. Keys with different segments send these, once per range. The segments of a group of keys are indexed by the runs of their
-   Burrows-Wheeler transform (see ``rindex``), whose matching statistics tell which of their strings are equal,
-   and so the least document that has each. A key in very many ranges sends its strings one by one instead, dealt out by
+1. Every range sends each of its segments once, by key and digest, with short hashes of the 17 bytes on either side of the key's
+   place. Segments of one key have a 50-byte string in common only if one of these agrees. A segment without such a
+   relative is settled by its digest: the first range that has it owns it.
+2. Related segments are sent, once per range. Those of a group of keys are indexed by the runs of their Burrows-Wheeler
+   transform (see ``rindex``), whose matching statistics tell which of their strings are equal, and so the least document
+   that has each. If very many ranges have relatives of a segment, its strings are sent one by one instead, dealt out by
    their own hashes, so that no task gets all texts around a frequent phrase.
 3. The ranges mark the bytes.
 
-A range never sends a key, a segment or a string twice, however often its documents repeat it. The texts are shuffled once
+A range never sends a segment or a string twice, however often its documents repeat it. The texts are shuffled once
 and read in the three steps.
 """
 
@@ -31,17 +32,19 @@ from .shingles import _powers, mix
 LENGTH, GRAM = 50, 16
 RANGE_BYTES = 8 << 20
 GROUP_BYTES = 32 << 20  # of text per group of keys
-SCATTER = 1000  # ranges that share a key, beyond which its strings are dealt out one by one
+PART_BYTES = 4 << 20  # of segments indexed at a time
+SCATTER = 1000  # related segments of a key, beyond which their strings are dealt out one by one
+SIDE = (LENGTH - GRAM) // 2  # a string that holds the key's bytes has as many more on one side at least
 CHUNK = 1 << 20
 STRIDE = 4096  # segments end at multiples of this place in their text
 NO_ID = np.iinfo(np.int64).max
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-DIFFERENT_DOCS, DIFFERENT = np.uint64(0), np.uint64(1)  # in place of a digest: several segments, in several documents or in one
+NONE, ANY = 0, 0xFFFF  # in place of a side's hash: too few bytes there; the key's place isn't unique
 EARLIER, OPEN, SCATTERED = 1, 2, 3
 
 
 class Chunk:
-    """Segments of some whole texts, or of a slice of a long one: key, digest, document, first byte, end.
+    """Segments of some whole texts, or of a slice of a long one: key, name (from key and content), sides, document, first byte, end.
 
     ``starts``: the number of positions of the slice at which a string may begin.
     """
@@ -52,14 +55,15 @@ class Chunk:
         self._sums, self._down = np.zeros(len(data) + 1, dtype=np.uint64), down
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self._sums[1:])
         empty = np.zeros(0, dtype=np.int64)
-        self.key = self.digest = empty.astype(np.uint64)
+        self.key = self.name = empty.astype(np.uint64)
+        self.left = self.right = empty.astype(np.uint16)
         self.first = self.end = self.doc = empty
         if n <= 0:
             return
         p = data.astype(np.uint64)
         for width in (1, 2, 4):
             p = p[:-width] | p[width:] << np.uint64(8 * width)
-        least = mix(p[:-8] * _K1 ^ mix(p[8:] + _K2))  # of 16 bytes
+        grams = least = mix(p[:-8] * _K1 ^ mix(p[8:] + _K2))  # of 16 bytes
         for width in (1, 2, 4, 8, 16):
             least = np.minimum(least[:-width], least[width:])
         least = np.minimum(least[:n], least[LENGTH - GRAM - 31:][:n])  # of the 35 that start in 50 bytes
@@ -76,7 +80,24 @@ class Chunk:
         self.first, self.end, self.doc = first, stop + LENGTH, docs[text[first]]
         # spread evenly, as least hashes are small
         self.key = mix(least[first] ^ _K2)
-        self.digest = np.maximum(self.hash(first, self.end), np.uint64(2))
+        self.name = mix(self.key ^ self.hash(first, self.end))
+        # the key's first and last place in the segment
+        places = []
+        for from_, steps in ((first, range(LENGTH - GRAM + 1)), (stop, range(LENGTH - GRAM, -1, -1))):
+            place, todo = np.zeros(len(first), dtype=np.int64), np.arange(len(first))
+            for k in steps:
+                hit = grams[from_[todo] + k] == least[first[todo]]
+                place[todo[hit]] = from_[todo[hit]] + k
+                todo = todo[~hit]
+                if not todo.size:
+                    break
+            places.append(place)
+        place, unsure = places[0], places[0] != places[1]
+        for side, a in (("left", place - SIDE), ("right", place + GRAM)):
+            there = (a >= first) & (a + SIDE <= self.end)
+            a = np.where(there, a, 0)
+            short = (self.hash(a, a + SIDE) % np.uint64(ANY - 1)).astype(np.uint16) + np.uint16(1)
+            setattr(self, side, np.where(unsure, ANY, np.where(there, short, NONE)).astype(np.uint16))
 
     def hash(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self._sums[end] - self._sums[first]) * self._down[first] + (end - first).astype(np.uint64))
@@ -141,66 +162,62 @@ def _row_slices(bucket: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(bucket[a]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def _keys_of_range(buckets: int):
-    """Step 1: every key of a range once, with its digest."""
+def _segments_of_range(buckets: int):
+    """Step 1: every segment of a range once."""
     import pyarrow as pa
 
     def work(table):
-        keys, digests, docs = [], [], []
-        for _, _, c in _chunks(*_texts(table)):
-            keys.append(c.key)
-            digests.append(c.digest)
-            docs.append(c.doc)
-        key, digest, doc = (np.concatenate(x) if x else np.zeros(0, dtype=np.uint64) for x in (keys, digests, docs))
-        order = np.argsort(key, kind="stable")
-        key, digest, doc = key[order], digest[order], doc[order]
-        first = np.flatnonzero(_fresh(key))
-        if len(first):
-            one = np.minimum.reduceat(digest, first) == np.maximum.reduceat(digest, first)
-            alone = np.minimum.reduceat(doc, first) == np.maximum.reduceat(doc, first)
-            key, digest = key[first], np.where(one, digest[first], np.where(alone, DIFFERENT, DIFFERENT_DOCS))
-        bucket = (key % np.uint64(buckets)).astype(np.int64)
+        found = [(c.key, c.name, c.left, c.right) for _, _, c in _chunks(*_texts(table))]
+        key, name, left, right = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, dtype=t) for t in (np.uint64, np.uint64, np.uint16, np.uint16))
+        pick = np.unique(name, return_index=True)[1]
+        bucket = (key[pick] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        key, digest, rows = key[order], digest[order], _row_slices(bucket[order])
+        pick, rows = pick[order], _row_slices(bucket[order])
         block = table["block"][0].as_py() if table.num_rows else 0
-        return pa.table({
-            "bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()),
-            "keys": pa.array([key[a:b].tobytes() for _, a, b in rows], pa.binary()), "digests": pa.array([digest[a:b].tobytes() for _, a, b in rows], pa.binary())})
+        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()),
+                         **{c: pa.array([v[pick[a:b]].tobytes() for _, a, b in rows], pa.binary()) for c, v in (("keys", key), ("names", name), ("lefts", left), ("rights", right))}})
 
     return work
 
 
 def _settle(scatter: int):
-    """Step 1, per group of keys: tell the ranges which of their keys are owned by an earlier range or are open."""
+    """Step 1, per group of keys: tell the ranges which of their segments are owned by an earlier range or have relatives."""
     import pyarrow as pa
 
     def work(table):
         key, sizes = _joined(table["keys"], np.uint64)
-        digest, _ = _joined(table["digests"], np.uint64)
+        name, left, right = (_joined(table[c], t)[0] for c, t in (("names", np.uint64), ("lefts", np.uint16), ("rights", np.uint16)))
         block = np.repeat(table["block"].to_numpy(), sizes)
-        order = _sorted_by(key, block)  # a range has a key once
-        key, digest, block = key[order], digest[order], block[order]
-        first = np.flatnonzero(_fresh(key))
-        if not len(first):
-            return pa.table({"block": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "says": pa.array([], pa.binary())})
-        many = np.diff(np.append(first, len(key)))
-        low, high = np.minimum.reduceat(digest, first), np.maximum.reduceat(digest, first)
-        same = (low == high) & (low > DIFFERENT)
-        is_open = np.where(many > 1, ~same, low == DIFFERENT_DOCS)
-        per_key = np.where(is_open, np.where(many > scatter, SCATTERED, OPEN), np.where(many > 1, EARLIER, 0)).astype(np.uint8)
-        says = np.repeat(per_key, many)
-        says[first[per_key == EARLIER]] = 0
+        order = _sorted_by(key, name, block)
+        key, name, left, right, block = key[order], name[order], left[order], right[order], block[order]
+        fresh = _fresh(name)
+        first = np.flatnonzero(fresh)  # of each different segment
+        many = np.diff(np.append(first, len(name)))
+        number = np.cumsum(_fresh(key[first])) - 1  # of its key
+        related = np.zeros(len(first), dtype=bool)
+        for side in (left[first], right[first]):
+            by = _sorted_by(number, side)
+            twin = (number[by][1:] == number[by][:-1]) & (side[by][1:] == side[by][:-1]) & (side[by][1:] != NONE)
+            related[by[1:][twin]] = related[by[:-1][twin]] = True
+        keys = int(number[-1]) + 1 if len(number) else 0
+        unsure = np.bincount(number, weights=left[first] == ANY, minlength=keys) > 0
+        several = np.bincount(number, minlength=keys) > 1
+        related |= (unsure & several)[number]
+        crowd = np.bincount(number, weights=related * many, minlength=keys)[number] if keys else np.zeros(0)
+        per = np.where(related, np.where(crowd > scatter, SCATTERED, OPEN), np.where(many > 1, EARLIER, 0)).astype(np.uint8)
+        says = np.repeat(per, many)
+        says[first[per == EARLIER]] = 0
         told = np.flatnonzero(says)
         told = told[np.argsort(block[told], kind="stable")]
         rows = _row_slices(block[told])
-        return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "keys": pa.array([key[told[a:b]].tobytes() for _, a, b in rows], pa.binary()),
+        return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "keys": pa.array([name[told[a:b]].tobytes() for _, a, b in rows], pa.binary()),
                          "says": pa.array([says[told[a:b]].tobytes() for _, a, b in rows], pa.binary())})
 
     return work
 
 
 def _told(table) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, sorted, and what was said of each."""
+    """Names, sorted, and what was said of each."""
     keys, _ = _joined(table["keys"], np.uint64)
     says, _ = _joined(table["says"], np.uint8)
     order = np.argsort(keys)
@@ -217,19 +234,19 @@ def _find(values: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
 
 def _open_parts(c: Chunk, keys: np.ndarray, says: np.ndarray):
     """Name, key of the group, document, first byte and size of what a chunk must ask about; and the segment it belongs to."""
-    at = _find(c.key, keys)
+    at = _find(c.name, keys)
     said = np.where(at >= 0, says[np.maximum(at, 0)] if len(says) else 0, 0)
     whole, apart = np.flatnonzero(said == OPEN), np.flatnonzero(said == SCATTERED)
     count = c.end[apart] - c.first[apart] - LENGTH + 1
     segment = np.repeat(apart, count)
     first = np.repeat(c.first[apart] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
     own = c.hash(first, first + LENGTH)
-    return (np.concatenate([mix(c.key[whole] ^ c.digest[whole]), own]), np.concatenate([c.key[whole], own]), np.concatenate([c.doc[whole], c.doc[segment]]),
+    return (np.concatenate([c.name[whole], own]), np.concatenate([c.key[whole], own]), np.concatenate([c.doc[whole], c.doc[segment]]),
             np.concatenate([c.first[whole], first]), np.concatenate([c.end[whole] - c.first[whole], np.full(len(first), LENGTH)]), said)
 
 
 def _open_segments(buckets: int):
-    """Step 2: the segments of open keys, each once, with the least document that has it."""
+    """Step 2: the segments with relatives, each once, with the least document that has it."""
     import pyarrow as pa
 
     def work(key, texts, replies):
@@ -247,7 +264,7 @@ def _open_segments(buckets: int):
                 sizes.append(size[pick])
                 parts.append(c.bytes(first[pick], size[pick]))
         if not sum(map(len, names)):
-            rows, name, doc, size = [], None, None, None
+            rows = []
         else:
             name, group, doc, size, data = (np.concatenate(x) for x in (names, groups, docs, sizes, parts))
             begin = np.cumsum(size) - size
@@ -256,13 +273,13 @@ def _open_segments(buckets: int):
             bucket = (group[pick] % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             pick, rows = pick[by], _row_slices(bucket[by])
-            name, doc, size, begin = name[pick], doc[pick], size[pick], begin[pick]
+            name, group, doc, size, begin = name[pick], group[pick], doc[pick], size[pick], begin[pick]
             data = data[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
             ends = np.concatenate([[0], np.cumsum(size)])
         block = key[0].as_py()
         return pa.table({
             "bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()),
-            "names": pa.array([name[a:b].tobytes() for _, a, b in rows], pa.binary()), "docs": pa.array([doc[a:b].astype(np.int64).tobytes() for _, a, b in rows], pa.binary()),
+            "names": pa.array([name[a:b].tobytes() for _, a, b in rows], pa.binary()), "groups": pa.array([group[a:b].tobytes() for _, a, b in rows], pa.binary()), "docs": pa.array([doc[a:b].astype(np.int64).tobytes() for _, a, b in rows], pa.binary()),
             "sizes": pa.array([size[a:b].astype(np.int64).tobytes() for _, a, b in rows], pa.binary()), "data": pa.array([data[ends[a]:ends[b]].tobytes() for _, a, b in rows], pa.binary())})
 
     return work
@@ -273,6 +290,7 @@ def _resolve(table):
     import pyarrow as pa
 
     name, counts = _joined(table["names"], np.uint64)
+    group, _ = _joined(table["groups"], np.uint64)
     doc, _ = _joined(table["docs"], np.int64)
     size, _ = _joined(table["sizes"], np.int64)
     data, _ = _joined(table["data"], np.uint8)
@@ -281,21 +299,27 @@ def _resolve(table):
     if not len(name):
         return pa.table({k: pa.array([], t) for k, t in schema.items()})
     # equal segments of several ranges are indexed once, for their least document
-    order = _sorted_by(name, doc)
+    order = _sorted_by(group, name, doc)
     fresh = _fresh(name[order])
     one, which = order[fresh], np.empty(len(name), dtype=np.int64)
     which[order] = np.cumsum(fresh) - 1
-    begin = np.cumsum(size) - size
-    some = size[one]
-    text = data[np.repeat(begin[one] - (np.cumsum(some) - some), some) + np.arange(int(some.sum()))]
-    owner = first_owners(text, some, doc[one], LENGTH)
-    string = np.repeat(np.arange(len(one)), some)
-    full = owner != NO_ID
-    cut = full & np.concatenate([[True], (owner[1:] != owner[:-1]) | (string[1:] != string[:-1])])
-    start = np.flatnonzero(cut)
-    stop = np.flatnonzero(full & np.append((owner[1:] != owner[:-1]) | (string[1:] != string[:-1]), True)) + 1
+    begin, some = np.cumsum(size) - size, size[one]
     base = np.cumsum(some) - some
-    of = string[start]
+    # some keys at a time, as many as have PART_BYTES
+    new = np.flatnonzero(_fresh(group[one]))
+    edges = new[_fresh(base[new] // PART_BYTES)]
+    spans, of = [], []
+    for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(one)], strict=True):
+        part, n = one[lo:hi], some[lo:hi]
+        at = np.cumsum(n) - n
+        owner = first_owners(data[np.repeat(begin[part] - at, n) + np.arange(int(n.sum()))], n, doc[part], LENGTH)
+        string = np.repeat(np.arange(len(part)), n)
+        change = (owner[1:] != owner[:-1]) | (string[1:] != string[:-1])
+        full = np.repeat(at + n, n) - np.arange(len(owner)) >= LENGTH
+        start, stop = np.flatnonzero(full & np.append(True, change)), np.flatnonzero(full & np.append(change | ~full[1:], True)) + 1
+        spans.append(np.stack([start - at[string[start]], stop - at[string[start]], owner[start]], axis=1))
+        of.append(string[start] + lo)
+    spans, of = np.concatenate(spans), np.concatenate(of)
     runs = np.bincount(of, minlength=len(one))
     first_run = np.cumsum(runs) - runs
     # every asker gets the runs of its segment
@@ -303,9 +327,8 @@ def _resolve(table):
     many = runs[which[by]]
     asked = np.repeat(by, many)
     run = np.repeat(first_run[which[by]] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-    keep = owner[start[run]] != doc[asked]  # else the asker knows the owner
-    asked, run = asked[keep], run[keep]
-    spans = np.stack([start[run] - base[of[run]], stop[run] - base[of[run]], owner[start[run]]], axis=1)
+    keep = spans[run, 2] != doc[asked]  # else the asker knows the owner
+    asked, spans = asked[keep], spans[run[keep]]
     rows = _row_slices(block[asked])
     return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "names": pa.array([name[asked[a:b]].tobytes() for _, a, b in rows], pa.binary()),
                      "spans": pa.array([np.ascontiguousarray(spans[a:b]).tobytes() for _, a, b in rows], pa.binary())})
@@ -325,7 +348,7 @@ def _mark(keep_text: bool):
         data, offsets, ids = _texts(texts)
         chunks = lambda: _chunks(data, offsets, ids)
         # the least document of the range that has each segment
-        seen = [(np.concatenate([p[0], mix(c.key[p[5] == 0] ^ c.digest[p[5] == 0])]), np.concatenate([p[2], c.doc[p[5] == 0]])) for _, _, c in chunks() for p in [_open_parts(c, keys, says)]]
+        seen = [(np.concatenate([p[0], c.name[p[5] == 0]]), np.concatenate([p[2], c.doc[p[5] == 0]])) for _, _, c in chunks() for p in [_open_parts(c, keys, says)]]
         segment, doc = (np.concatenate([s[k] for s in seen]) if seen else np.zeros(0, dtype=np.int64) for k in (0, 1))
         order = _sorted_by(segment, doc)
         segment, doc = segment[order], doc[order]
@@ -342,7 +365,7 @@ def _mark(keep_text: bool):
             name_, _, doc_, first_, size_, said = _open_parts(c, keys, says)
             gone = said == EARLIER
             local = np.flatnonzero(said == 0)
-            gone[local] = c.doc[local] > least[_find(mix(c.key[local] ^ c.digest[local]), segment)]
+            gone[local] = c.doc[local] > least[_find(c.name[local], segment)]
             remove(c.first[gone], c.end[gone])
             # strings without a span are owned by the range's least document that has them
             at = np.searchsorted(name, name_) if len(name) else np.zeros(len(name_), dtype=np.int64)
@@ -391,10 +414,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(edges, ids, side="right"), pa.int32()), *b.columns], ["block", "doc_id", "text"])
 
     texts = rows.mapInArrow(deal, "block int, doc_id long, text string").repartition(n, "block")
-    sent = texts.groupBy("block").applyInArrow(_keys_of_range(buckets), "bucket int, block int, keys binary, digests binary")
+    sent = texts.groupBy("block").applyInArrow(
+        _segments_of_range(buckets), "bucket int, block int, keys binary, names binary, lefts binary, rights binary")
     settled = sent.groupBy("bucket").applyInArrow(_settle(scatter), "block int, keys binary, says binary")
     asked = texts.groupBy("block").cogroup(settled.groupBy("block")).applyInArrow(
-        _open_segments(buckets), "bucket int, block int, names binary, docs binary, sizes binary, data binary")
+        _open_segments(buckets), "bucket int, block int, names binary, groups binary, docs binary, sizes binary, data binary")
     owners = asked.groupBy("bucket").applyInArrow(_resolve, "block int, names binary, spans binary")
     none = F.lit(None).cast("binary")
     replies = settled.select("block", "keys", "says", none.alias("names"), none.alias("spans")).unionByName(
