@@ -23,12 +23,14 @@ def suffix_order(data: np.ndarray, size: np.ndarray) -> np.ndarray:
         rank = rank << 9 | c
     depth, most = 7, int(size.max(initial=0))
     while True:
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         first = np.concatenate([[True], rank[order[1:]] != rank[order[:-1]]]) if len(order) else np.zeros(0, dtype=bool)
         dense = np.empty(len(order), dtype=np.int64)
         dense[order] = np.cumsum(first)
-        if depth >= most or first.all():
+        if first.all():
             return order
+        if depth >= most:
+            return np.argsort(dense * (len(order) + 1) + np.arange(len(order)))
         rest = np.zeros(len(order), dtype=np.int64)
         live = np.flatnonzero(room > depth)
         rest[live] = dense[live + depth]

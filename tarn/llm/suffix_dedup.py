@@ -32,10 +32,10 @@ from .shingles import _powers, mix
 LENGTH, GRAM = 50, 16
 RANGE_BYTES = 8 << 20
 GROUP_BYTES = 32 << 20  # of text per group of keys
-PART_BYTES = 4 << 20  # of segments indexed at a time
+PART_BYTES = 1 << 18  # of segments indexed at a time
 SCATTER = 1000  # related segments of a key, beyond which their strings are dealt out one by one
 SIDE = (LENGTH - GRAM) // 2  # a string that holds the key's bytes has as many more on one side at least
-CHUNK = 1 << 20
+CHUNK = 1 << 17  # its arrays stay in the processor's cache; a multiple of STRIDE
 STRIDE = 4096  # segments end at multiples of this place in their text
 NO_ID = np.iinfo(np.int64).max
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -49,7 +49,7 @@ class Chunk:
     ``starts``: the number of positions of the slice at which a string may begin.
     """
 
-    def __init__(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray, docs: np.ndarray, places: np.ndarray, starts: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray, docs: np.ndarray, places: np.ndarray, starts: np.ndarray, sides: bool = False) -> None:
         self.data, n = data, len(data) - LENGTH + 1
         up, down = _powers(len(data) + 1)
         self._sums, self._down = np.zeros(len(data) + 1, dtype=np.uint64), down
@@ -81,17 +81,22 @@ class Chunk:
         # spread evenly, as least hashes are small
         self.key = mix(least[first] ^ _K2)
         self.name = mix(self.key ^ self.hash(first, self.end))
-        # the key's first and last place in the segment
-        places = []
-        for from_, steps in ((first, range(LENGTH - GRAM + 1)), (stop, range(LENGTH - GRAM, -1, -1))):
-            place, todo = np.zeros(len(first), dtype=np.int64), np.arange(len(first))
-            for k in steps:
-                hit = grams[from_[todo] + k] == least[first[todo]]
-                place[todo[hit]] = from_[todo[hit]] + k
-                todo = todo[~hit]
-                if not todo.size:
-                    break
-            places.append(place)
+        if not sides:
+            return
+        # the key's first and last place in the segment, among the places whose hash is the least of some string
+        most, reach = least, LENGTH - GRAM
+        for width in (1, 2, 4, 8, 16):
+            most = np.maximum(most[:-width], most[width:]) if len(most) > width else most[:0]
+        most = np.maximum(most[:-(reach - 31)], most[reach - 31:]) if len(most) > reach - 31 else most[:0]
+        peak = np.zeros(len(grams), dtype=bool)
+        peak[reach:reach + len(most)] = grams[reach:reach + len(most)] == most
+        peak[:reach] = peak[reach + len(most):] = True  # the ends have fewer strings
+        peak, value, places = np.flatnonzero(peak), least[first], []
+        for at, step in ((np.searchsorted(peak, first), 1), (np.searchsorted(peak, stop + reach, side="right") - 1, -1)):
+            todo = np.arange(len(first))
+            while (todo := todo[grams[peak[at[todo]]] != value[todo]]).size:
+                at[todo] += step
+            places.append(peak[at])
         place, unsure = places[0], places[0] != places[1]
         for side, a in (("left", place - SIDE), ("right", place + GRAM)):
             there = (a >= first) & (a + SIDE <= self.end)
@@ -107,7 +112,7 @@ class Chunk:
         return self.data[at]
 
 
-def _chunks(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> Iterator[tuple[list[int], int, Chunk]]:
+def _chunks(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, sides: bool = False) -> Iterator[tuple[list[int], int, Chunk]]:
     """(texts, place of the first byte in its text, chunk); only a slice of a long text has another place than 0."""
     a, n = 0, len(ids)
     while a < n:
@@ -115,13 +120,13 @@ def _chunks(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> Iterator[
         if size > CHUNK:
             for place in range(0, size, CHUNK):
                 stop = min(size, place + CHUNK + LENGTH - 1)
-                yield [a], place, Chunk(data[offsets[a] + place:offsets[a] + stop], np.array([0]), np.array([stop - place]), ids[a:a + 1], np.array([place]), np.array([CHUNK]))
+                yield [a], place, Chunk(data[offsets[a] + place:offsets[a] + stop], np.array([0]), np.array([stop - place]), ids[a:a + 1], np.array([place]), np.array([CHUNK]), sides)
             a += 1
             continue
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK, side="right")) - 1)
         b = a + 1 + next((k for k in range(b - a - 1) if offsets[a + 2 + k] - offsets[a + 1 + k] > CHUNK), b - a - 1)
         begins, ends = offsets[a:b] - offsets[a], offsets[a + 1:b + 1] - offsets[a]
-        yield list(range(a, b)), 0, Chunk(data[offsets[a]:offsets[b]], begins, ends, ids[a:b], np.zeros(b - a, dtype=np.int64), ends - begins)
+        yield list(range(a, b)), 0, Chunk(data[offsets[a]:offsets[b]], begins, ends, ids[a:b], np.zeros(b - a, dtype=np.int64), ends - begins, sides)
         a = b
 
 
@@ -167,7 +172,7 @@ def _segments_of_range(buckets: int):
     import pyarrow as pa
 
     def work(table):
-        found = [(c.key, c.name, c.left, c.right) for _, _, c in _chunks(*_texts(table))]
+        found = [(c.key, c.name, c.left, c.right) for _, _, c in _chunks(*_texts(table), sides=True)]
         key, name, left, right = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, dtype=t) for t in (np.uint64, np.uint64, np.uint16, np.uint16))
         pick = np.unique(name, return_index=True)[1]
         bucket = (key[pick] % np.uint64(buckets)).astype(np.int64)
@@ -346,35 +351,35 @@ def _mark(keep_text: bool):
         order = np.argsort(name, kind="stable")
         name, spans = name[order], spans[order]
         data, offsets, ids = _texts(texts)
-        chunks = lambda: _chunks(data, offsets, ids)
-        # the least document of the range that has each segment
-        seen = [(np.concatenate([p[0], c.name[p[5] == 0]]), np.concatenate([p[2], c.doc[p[5] == 0]])) for _, _, c in chunks() for p in [_open_parts(c, keys, says)]]
-        segment, doc = (np.concatenate([s[k] for s in seen]) if seen else np.zeros(0, dtype=np.int64) for k in (0, 1))
+        found = []  # of each chunk: first byte, what it asked about, its other segments
+        for some, place, c in _chunks(data, offsets, ids):
+            *parts, said = _open_parts(c, keys, says)
+            own = np.flatnonzero(said <= EARLIER)
+            found.append((int(offsets[some[0]]) + place, parts, c.name[own], c.doc[own], c.first[own], c.end[own], said[own]))
+        # the least document of the range that has each segment or string
+        segment = np.concatenate([x for f in found for x in (f[1][0], f[2])]) if found else np.zeros(0, dtype=np.uint64)
+        doc = np.concatenate([x for f in found for x in (f[1][2], f[3])]) if found else np.zeros(0, dtype=np.int64)
         order = _sorted_by(segment, doc)
         segment, doc = segment[order], doc[order]
         new = _fresh(segment)
         segment, least = segment[new], doc[new]
         ends = np.zeros(len(data) + 1, dtype=np.int32)
-        for some, place, c in chunks():
-            base = int(offsets[some[0]]) + place
+        for base, (name_, _, doc_, first_, size_), own, own_doc, own_first, own_end, said in found:
 
             def remove(first, last, base=base):
                 np.add.at(ends, base + first, 1)
                 np.add.at(ends, base + last, -1)
 
-            name_, _, doc_, first_, size_, said = _open_parts(c, keys, says)
-            gone = said == EARLIER
-            local = np.flatnonzero(said == 0)
-            gone[local] = c.doc[local] > least[_find(c.name[local], segment)]
-            remove(c.first[gone], c.end[gone])
+            gone = (said == EARLIER) | (own_doc > least[_find(own, segment)] if len(own) else False)
+            remove(own_first[gone], own_end[gone])
             # strings without a span are owned by the range's least document that has them
-            at = np.searchsorted(name, name_) if len(name) else np.zeros(len(name_), dtype=np.int64)
-            many = (np.searchsorted(name, name_, side="right") - at) if len(name) else np.zeros(len(name_), dtype=np.int64)
+            at = np.searchsorted(name, name_)
+            many = np.searchsorted(name, name_, side="right") - at
             later = np.flatnonzero(doc_ > least[_find(name_, segment)]) if len(name_) else np.zeros(0, dtype=np.int64)
             remove(first_[later], first_[later] + size_[later])
             of = np.repeat(np.arange(len(name_)), many)
             k = np.repeat(at - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-            hit = spans[k, 2] < doc_[of] if len(k) else np.zeros(0, dtype=bool)
+            hit = spans[k, 2] < doc_[of]
             remove(first_[of[hit]] + spans[k[hit], 0], first_[of[hit]] + spans[k[hit], 1] + LENGTH - 1)
         gone = np.cumsum(ends[:-1]) > 0
         out = []
