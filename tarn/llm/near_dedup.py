@@ -8,8 +8,8 @@ standard errors); the rest is decided on the full sets.
 
 Equal sets are one node. In some rounds, the nodes of every band bucket are compared with one of them, another one each
 round and bucket, which joins nearly all that belong together at a cost in proportion to the buckets' members. What remains are
-pairs of a bucket that lie in different components. These are compared by their registers inside the tasks, block by block, and only
-pairs that may be links leave them. Buckets with very many members are split by a second band first, which a pair
+pairs of a bucket that lie in different components. These are compared inside the tasks, block by block, each in the first
+bucket that the pair shares: by their registers first, then on the full sets; only links leave the tasks. Buckets with very many members are split by a second band first, which a pair
 above the limit shares all but surely (2e-9).
 """
 
@@ -30,7 +30,7 @@ BUCKETS, ROWS, MANTISSA = 128, 4, 10
 EMPTY = 0xFFFF
 NUMERATOR, DENOMINATOR = 85, 100
 ROUNDS = 3
-BLOCK = 1000  # nodes that a task compares with each other or with another block
+BLOCK = 500_000  # shingles of the nodes that a task compares with each other or with another block
 CROWDED = 5000  # members of a bucket beyond which a second band splits it
 SIGMAS = 5
 NAMED = 500_000  # rows of (node, digest, id) that are broadcast; more are joined by shuffling
@@ -83,7 +83,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
-    """(key, node, n): a row for each band of a node that isn't all empty."""
+    """(key, band, node, n): a row for each band of a node that isn't all empty."""
     import pyarrow as pa
 
     def work(batches):
@@ -94,15 +94,17 @@ def _bands(nodes: DataFrame) -> DataFrame:
             for r in range(ROWS):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + regs[:, :, r].astype(np.uint64))
             row, band = np.nonzero((regs != EMPTY).any(axis=2))
-            yield pa.RecordBatch.from_arrays([pa.array(key[row, band].view(np.int64)), pa.array(node[row]), pa.array(n[row])], ["key", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[row, band].view(np.int64)), pa.array(band, pa.int32()), pa.array(node[row]), pa.array(n[row])], ["key", "band", "node", "n"])
 
-    return nodes.select("node", "n", "regs").mapInArrow(work, "key long, node long, n long")
+    return nodes.select("node", "n", "regs").mapInArrow(work, "key long, band int, node long, n long")
 
 
-def _close(near: np.ndarray, used: np.ndarray) -> np.ndarray:
-    """Whether an estimate isn't far below the limit; registers are a sample, so errors are at most those of a binomial."""
+def _close(near: np.ndarray, used: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether an estimate isn't far below the limit. Registers sample the union without replacement, so their errors are those of
+    a binomial, less the share of the union that is sampled."""
     limit, used = NUMERATOR / DENOMINATOR, np.maximum(used, 1)
-    return near >= limit - SIGMAS * np.sqrt(limit * (1 - limit) / used) - 1 / used
+    rest = np.clip(1 - used * (1 + limit) / np.maximum(n + m, 1), 0, 1)
+    return near >= limit - SIGMAS * np.sqrt(limit * (1 - limit) / used * rest) - 1.5 / used
 
 
 def _fits(n: str, m: str):
@@ -117,7 +119,8 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     def work(batches):
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint16).reshape(b.num_rows, -1) for c in ("ra", "rb"))
-            keep = _close(*estimate(x, y, b.column("na").to_numpy(), b.column("nb").to_numpy()))
+            sizes = b.column("na").to_numpy(), b.column("nb").to_numpy()
+            keep = _close(*estimate(x, y, *sizes), *sizes)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     one = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
@@ -125,36 +128,49 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(work, "a long, b long")
 
 
-def _across(members: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
-    """Pairs (a, b) of a bucket's members (key, node, label, members) with different labels that may be links."""
+def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """Links (a, b) between a bucket's members (key, band, node, label, shingles) that have different labels.
+
+    ``shingles``: of all members together. ``band`` is null in buckets made by two bands.
+    """
     import pyarrow as pa
 
     def compare(table):
         node, n, label, part = (table[c].to_numpy() for c in ("node", "n", "label", "part"))
-        regs = np.frombuffer(b"".join(table["regs"].to_pylist()), dtype=np.uint16).reshape(len(node), -1)
+        band = table["band"][0].as_py()
         cross = table["low"][0].as_py() != table["high"][0].as_py()
         order = np.argsort(n, kind="stable")
-        node, n, label, part, regs = node[order], n[order], label[order], part[order], regs[order]
+        regs = np.frombuffer(b"".join(table["regs"].to_pylist()), dtype=np.uint16).reshape(len(node), -1)[order]
+        full = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in table["members"]]
+        node, n, label, part = node[order], n[order], label[order], part[order]
         stop = np.searchsorted(n * NUMERATOR, n * DENOMINATOR, side="right")
-        found = [np.zeros((2, 0), dtype=np.int64)]
+        found = []
         for i in range(len(node)):
             j = np.arange(i + 1, stop[i])
             j = j[(label[j] != label[i]) & (node[j] != node[i]) & ((part[j] != part[i]) | (not cross))]
             if j.size:
-                j = j[_close(*estimate(regs[i][None, :], regs[j], n[i], n[j]))]
-                found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]))
-        a, b = np.concatenate(found, axis=1)
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
-
-    blocks = F.ceil(F.col("members") / block).cast("int")
+                j = j[_close(*estimate(regs[i][None, :], regs[j], n[i], n[j]), n[i], n[j])]
+            if j.size and band is not None:  # a pair belongs to the first bucket that it shares
+                same = regs[i].reshape(1, -1, ROWS) == regs[j].reshape(len(j), -1, ROWS)
+                shared = same.all(axis=2) & (regs[i].reshape(1, -1, ROWS) != EMPTY).any(axis=2)
+                j = j[shared.argmax(axis=1) == band]
+            found += [(min(node[i], node[k]), max(node[i], node[k])) for k in j.tolist() if _alike(full[order[i]], full[order[k]])]
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    blocks = F.ceil(F.col("shingles") / block).cast("int")
     dealt = members.withColumn("part", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "label")
-    return (dealt.join(nodes.select("node", "n", "regs"), "node").groupBy("key", "low", "high")
+    dealt = dealt.select("key", "band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "label")
+    return (dealt.join(nodes.select("node", "n", "regs").join(sets, "node"), "node").groupBy("key", "low", "high")
             .applyInArrow(compare, "a long, b long").distinct())
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full sets are as similar as asked."""
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+    return DENOMINATOR * common >= NUMERATOR * (len(x) + len(y) - common)
+
+
+def _sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, members) of the nodes asked for, worked out from the texts again."""
     import pyarrow as pa
 
     def members(batches):
@@ -163,24 +179,26 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 b = whole.slice(at, 512)
                 sets = list(shingle_sets(*arrow_bytes(ascii_lower(b.column("text")))))
                 own = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() == i for s, i in zip(sets, b.column("set_id").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "members"]).filter(pa.array(own))
-
-    def decide(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("ma"), b.column("mb"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep.append(DENOMINATOR * common >= NUMERATOR * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "members"]).filter(pa.array(own, pa.bool_()))
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     named = store(nodes.join(asked, "node").select("node", "set_id", F.col("first_id").alias("id_")))
     if named.count() <= NAMED:
         named = F.broadcast(named)
     # an id may name more than one text: the digest tells which row is meant
     texts = docs.join(named, F.col("doc_id").eqNullSafe(F.col("id_"))).select("node", "set_id", "text")
-    sets = store(texts.mapInArrow(members, "node long, members binary").dropDuplicates(["node"]))
+    return store(texts.mapInArrow(members, "node long, members binary").dropDuplicates(["node"]))
+
+
+def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs whose full sets are as similar as asked."""
+    import pyarrow as pa
+
+    def decide(batches):
+        for b in batches:
+            keep = [_alike(*(np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in xy)) for xy in zip(b.column("ma"), b.column("mb"), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    sets = _sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), nodes, docs)
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b"))
     return both.select("a", "b", "ma", "mb").mapInArrow(decide, "a long, b long")
@@ -222,7 +240,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = store(positions(classes, F.col("first_id").asc_nulls_last(), F.col("set_id")).withColumnRenamed("at", "node"))
 
     bands = store(_bands(nodes))
-    shared = bands.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    shared = bands.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).filter("members > 1")
     # only buckets of two and more matter from here on
     bucketed = store(bands.join(store(shared), "key"))
 
@@ -241,14 +259,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         labels = store(components(links))
         labelled = store(bucketed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     apart = store(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key"))
-    open_ = store(labelled.join(apart, "key").select("key", "node", "label", "members"))
+    open_ = store(labelled.join(apart, "key").select("key", "band", "node", "n", "label", "members", "shingles"))
     # the members of a crowded bucket meet only where they share another bucket as well
     other = bucketed.select(F.col("key").alias("key2"), "node")
     split = open_.filter(F.col("members") > crowded).join(other, "node").filter("key <> key2").select(
-        F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("key"), "node", "label").distinct()
-    counts = split.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    meeting = open_.filter(F.col("members") <= crowded).unionByName(split.join(counts, "key"))
-    more = store(_linked(store(_across(meeting, nodes, block)), nodes, rows))
+        F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("key"), F.lit(None).cast("int").alias("band"), "node", "n", "label").distinct()
+    counts = split.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).filter("members > 1").drop("members")
+    meeting = store(open_.filter(F.col("members") <= crowded).select("key", "band", "node", "label", "shingles").unionByName(
+        split.join(counts, "key").select("key", "band", "node", "label", "shingles")))
+    more = store(_across(meeting, nodes, _sets(meeting.select("node").distinct(), nodes, rows), block))
     if labels is None or not more.isEmpty():
         labels = store(components(more if links is None else links.unionByName(more)))
 

@@ -78,7 +78,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS):
     hashes, before = word_hashes(data, offsets)
     many = mix(np.full(len(hashes), words, dtype=np.uint64))[:max(0, len(hashes) - words + 1)]
     for k in range(words):
-        many = mix(many * np.uint64(_BASE) + hashes[k:len(hashes) - words + 1 + k])
+        many = mix(many * np.uint64(_BASE) + hashes[k:k + len(many)])
     for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
         if b - a >= words:
             yield np.unique(many[a:b - words + 1])
