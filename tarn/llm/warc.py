@@ -20,6 +20,7 @@ from tarn.session import scratch_path, store
 END = b"\r\n\r\n"
 VERSION, MEMBER = b"WARC/1.", b"\x1f\x8b\x08"
 FILE_BYTES = 8 << 20
+BROADCAST = 500_000  # repeated payloads (some 100 bytes each) whose digests are broadcast
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {}\r\n\r\n"
 RECORD = "kind string, file string, start long, stop long, reason string, record_id string, type string, uri string, refers_to string, payload_bytes long, payload_digest string, payload binary"
 NO_DATE = "1970-01-01T00:00:00Z"
@@ -69,6 +70,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     total = groups.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("bytes")).first()
     each = max(1, int(file_bytes * (total.n or 1) / max(1, (total.bytes or 0) + 600 * (total.n or 0))))
     shared = groups.filter((F.col("n") > 1) & (F.col("size") >= min_bytes)).select("sha", "first")
+    shared = store(shared)
+    if shared.count() <= BROADCAST:  # else by shuffling the pages
+        shared = F.broadcast(shared)
     known = rows.join(shared, "sha", "left").select("page_id", "url", "html", F.when(F.col("first") != F.col("page_id"), F.col("first"))
                                                     .when(F.col("page_id").isNull(), F.col("first")).alias("first"))
 
