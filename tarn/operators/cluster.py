@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from .gram import columns_of, design, gram, var
 
 
-def kmeans(df: DataFrame, cols: list[str], k: int, seed: int = 25, order_by: str | None = None) -> DataFrame:
+def kmeans(df: DataFrame, cols: list[str], k: int, seed: int = 25, order_by: str | None = None, steps: int = 1000) -> DataFrame:
     """Cluster the complete cases on unscaled columns; ``cluster`` is 1..k by rising centre of ``order_by``."""
     src = df.na.drop(subset=cols)
     features = VectorAssembler(inputCols=cols, outputCol="__f").transform(src)
-    model = KMeans(k=k, seed=seed, featuresCol="__f", predictionCol="__c", maxIter=100, tol=1e-6).fit(features)
+    model = KMeans(k=k, seed=seed, featuresCol="__f", predictionCol="__c", maxIter=steps, tol=1e-6).fit(features)
+    if model.summary.numIter >= steps:
+        raise RuntimeError(f"the clusters have not settled after {steps} steps")
     at = cols.index(order_by or cols[0])
     order = np.argsort([c[at] for c in model.clusterCenters()], kind="stable")
     label = F.create_map(*[F.lit(int(v)) for pair in ((old, new + 1) for new, old in enumerate(order)) for v in pair])

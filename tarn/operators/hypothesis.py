@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tails
 from ..functions.compat import is_present, join_on
 from ..session import cut_lineage
-from .order_stats import avg_rank, quantiles
+from .order_stats import avg_rank, positions, quantiles
 
 # Polynomials of Royston (1995), lowest power first, for weights, W transform and the range of n.
 SW_C1 = [0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056]
@@ -22,6 +22,7 @@ SW_LARGE_MEAN = [-1.5861, -0.31082, -0.083751, 0.0038915]
 SW_LARGE_SD = [-0.4803, -0.082676, 0.0030302]
 SW_GAMMA = [-2.273, 0.459]
 SW_MIN, SW_MAX = 3, 5000
+RANKS = 10_000  # ranks of equal values that are made at a time
 
 
 def _poly(coefs, x):
@@ -32,24 +33,28 @@ def _poly(coefs, x):
 
 
 def shapiro_wilk(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
-    """W and its p-value per group, for groups of 3 to 5000 values.
+    """W and its p-value per group, for groups of 3 and more values; NULL is a group like any other.
 
-    Without groups a size outside the range is an error; with groups it gives a NULL result. Groups
-    are sized before any of them is sorted, so no window exceeds 5000 rows.
+    Fewer values are an error without groups and give a NULL result with groups. The p-value's approximation was
+    published for up to 5000 values: ``p_in_range`` tells larger groups. Ranks come from counted values; the ranks that equal
+    values share are made some at a time, so no window or row grows with a group.
     """
     by = list(by)
     src = df.filter(is_present(value)).select(*by, F.col(value).cast("double").alias("x"))
     sizes = src.groupBy(*by).agg(F.count("x").alias("n"), F.avg("x").alias("mean"))
     if not by:
         n = sizes.first()["n"]
-        if not SW_MIN <= n <= SW_MAX:
-            raise ValueError(f"Shapiro-Wilk needs {SW_MIN} to {SW_MAX} values, got {n}")
+        if n < SW_MIN:
+            raise ValueError(f"Shapiro-Wilk needs {SW_MIN} values and more, got {n}")
         key = ["__one"]
         src, sizes = src.withColumn("__one", F.lit(1)), sizes.withColumn("__one", F.lit(1))
     else:
         key = by
-    fits = sizes.filter(F.col("n").between(SW_MIN, SW_MAX))
-    ranked = src.join(fits, key).withColumn("i", F.row_number().over(Window.partitionBy(*key).orderBy("x")))
+    some = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("cnt") - 1) / RANKS)))
+    first = F.col("lo") + F.col("some") * RANKS
+    each = F.explode(F.sequence(first, F.least(first + (RANKS - 1), F.col("lo") + F.col("cnt") - 1)))
+    placed = positions(src, "x", key).filter(F.col("n") >= SW_MIN).withColumn("some", some).select(*key, "x", "n", each.alias("i"))
+    ranked = join_on(placed, sizes.drop("n"), key)
     ranked = ranked.withColumn("m", tails.normal_quantile((F.col("i") - 0.375) / (F.col("n") + 0.25)))
     at = lambda c, k: F.max(F.when(F.col("i") == k, F.col(c)))
     inner = lambda edge: F.sum(F.when((F.col("i") > edge) & (F.col("i") <= F.col("n") - edge), F.col("m") * F.col("x")))
@@ -84,7 +89,8 @@ def shapiro_wilk(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
         .otherwise((gap - _poly(SW_LARGE_MEAN, ln_n)) / F.exp(_poly(SW_LARGE_SD, ln_n)))
     )
     exact3 = F.greatest(F.lit(6 / math.pi) * (F.asin(F.sqrt("W")) - math.asin(math.sqrt(0.75))), F.lit(0.0))
-    out = stat.withColumn("p", F.when(n == 3, exact3).otherwise(tails.p_column("normal", z))).select(*key, "n", "W", "p")
+    out = stat.withColumn("p", F.when(n == 3, exact3).otherwise(tails.p_column("normal", z)))
+    out = out.select(*key, "n", "W", "p", (n <= SW_MAX).alias("p_in_range"))
     if not by:
         return out.drop("__one")
     return join_on(sizes.drop("mean"), out.drop("n"), by)

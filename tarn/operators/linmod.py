@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tails
-from ..functions.compat import as_col, is_present
+from ..functions.compat import as_col, is_present, join_on
 from .gram import Gram, Term, columns_of, design, gram, gram_rows, unpack
 from .order_stats import avg_rank, quantiles
 
@@ -179,11 +179,11 @@ def _droppable(term: Term, current: list[Term]) -> bool:
 def step_aic(model: Model, scope: list[Term] | None = None, direction: str = "both", limit: int = 1000):
     """Stepwise search by AIC that keeps the hierarchy of interactions.
 
-    Returns the chosen model and the list of steps ``(action, term, aic)``.
+    Returns the chosen model and the list of steps ``(action, term, aic)``; a search that needs more than ``limit`` steps is an error.
     """
     upper = list(scope if scope is not None else model.terms)
     current, path = model, [("start", "", model.fit.aic)]
-    for _ in range(limit):
+    while True:
         moves = [("", "", current)]
         if direction in ("both", "backward"):
             moves += [("-", t.name, refit(model, [c for c in current.terms if c.name != t.name]))
@@ -194,10 +194,11 @@ def step_aic(model: Model, scope: list[Term] | None = None, direction: str = "bo
                       for t in upper if t.name not in have and _addable(t, current.terms, upper)]
         best = min(moves, key=lambda m: m[2].fit.aic)
         if not best[0] or best[2].fit.aic >= current.fit.aic - 1e-7:
-            break
+            return current, path
+        if len(path) > limit:
+            raise RuntimeError(f"the search has not ended after {limit} steps")
         current = best[2]
         path.append((best[0], best[1], current.fit.aic))
-    return current, path
 
 
 def anova_nested(small: Model, large: Model) -> dict[str, float]:
@@ -232,7 +233,8 @@ def reset_test(model: Model, df: DataFrame, powers=(2, 3)) -> dict[str, float]:
 def model_rows(rows: DataFrame, y: str, terms: list[Term], by: list[str], stepwise: bool = False) -> DataFrame:
     """Coefficients and fit statistics of one model per group, from one Gram row per group.
 
-    The terms' names and marginality decide the search; no column of the data is read.
+    The terms' names and marginality decide the search; no column of the data is read. A group with an infinite
+    value has its rows too, with NULL for all but ``n``.
     """
     names = [y] + [n for t in terms for n in t.column_names]
     plain = [Term(t.name, tuple((n, None) for n in t.column_names), t.parts) for t in terms]
@@ -240,11 +242,12 @@ def model_rows(rows: DataFrame, y: str, terms: list[Term], by: list[str], stepwi
 
     def solve(batches):
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                g = unpack(names, r.n, r.mean, r.m)
-                keys = [getattr(r, b) for b in by]
+            out, at = [], {c: i for i, c in enumerate(pdf.columns)}
+            for r in pdf.itertuples(index=False, name=None):
+                g = unpack(names, r[at["n"]], r[at["mean"]], r[at["m"]])
+                keys = [r[at[b]] for b in by]
                 if not np.all(np.isfinite(g.m)):
+                    out += [(*keys, r[at["n"]], term, *[None] * 10) for term in ["(Intercept)", *names[1:]]]
                     continue
                 model = Model(response, plain, g, fit_gram(g, y, names[1:]))
                 if stepwise:
@@ -255,7 +258,7 @@ def model_rows(rows: DataFrame, y: str, terms: list[Term], by: list[str], stepwi
 
     tail = ["n long", "term string", "estimate double", "std_error double", "t double", "p double", "r2 double",
             "adj_r2 double", "sigma double", "f double", "rss double", "df_residual int"]
-    keys = [f"{b} {rows.schema[b].dataType.simpleString()}" for b in by]
+    keys = [f"`{b}` {rows.schema[b].dataType.simpleString()}" for b in by]
     return rows.mapInPandas(solve, ", ".join(keys + tail))
 
 
@@ -266,12 +269,13 @@ def model_per_group(df: DataFrame, y: Term, terms: list[Term], by: list[str], st
 
 
 def group_residuals(df: DataFrame, y: Term, terms: list[Term], by: list[str], coefs: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """Fitted values and residuals of :func:`model_per_group` models (a term a group left out counts as zero)."""
+    """Fitted values and residuals of :func:`model_per_group` models: a term that a group left out counts as zero, and both
+    are NULL in a group without a fit. NULL is a group like any other."""
     names = [n for t in terms for n in t.column_names]
     wide = coefs.groupBy(*by).agg(
-        *[F.coalesce(F.max(F.when(F.col("term") == n, F.col("estimate"))), F.lit(0.0)).alias(f"__b{i}")
-          for i, n in enumerate(["(Intercept)", *names])])
-    src = design(df, {**columns_of([y]), **columns_of(terms)}, [*by, *keep]).join(wide, by)
+        F.max(F.when(F.col("term") == "(Intercept)", F.col("estimate"))).alias("__b0"),
+        *[F.coalesce(F.max(F.when(F.col("term") == n, F.col("estimate"))), F.lit(0.0)).alias(f"__b{i + 1}") for i, n in enumerate(names)])
+    src = join_on(design(df, {**columns_of([y]), **columns_of(terms)}, [*by, *keep]), wide, by, "inner")
     fitted = F.col("__b0")
     for i, n in enumerate(names):
         fitted = fitted + F.col(f"__b{i + 1}") * F.col(f"`{n}`")
@@ -294,12 +298,15 @@ def corr_matrix(df: DataFrame, terms: list[Term]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "x string, y string, r double, slope double")
 
 
-def glm_log_link(df: DataFrame, y, x):
+def glm_log_link(df: DataFrame, y, x, steps: int = 100):
     """Gaussian model of a positive y with logarithmic link on one covariate; the fitted ``ml`` model."""
     src = df.select(as_col(y).cast("double").alias("label"), as_col(x).cast("double").alias("x"))
     src = src.filter(is_present("label") & is_present("x") & (F.abs("x") < float("inf")))
     data = VectorAssembler(inputCols=["x"], outputCol="features").transform(src)
-    return GeneralizedLinearRegression(family="gaussian", link="log", maxIter=100, tol=1e-10).fit(data)
+    model = GeneralizedLinearRegression(family="gaussian", link="log", maxIter=steps, tol=1e-10).fit(data)
+    if model.summary.numIterations >= steps:
+        raise RuntimeError(f"the fit has not converged after {steps} steps")
+    return model
 
 
 def predict(model: Model, df: DataFrame, keep: list[str], level: float = 0.95) -> DataFrame:

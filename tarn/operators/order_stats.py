@@ -77,6 +77,11 @@ def avg_rank(df: DataFrame, value: str, by: list[str] = (), weight: str | None =
     return positions(df, value, by, weight).withColumn("rank", F.col("lo") + (F.col("cnt") - 1) / F.lit(2.0))
 
 
+def _between(low, high, weight):
+    """Between two order statistics; an infinite one is not moved towards itself."""
+    return F.when((weight > 0) & (low != high), low * (1 - weight) + high * weight).otherwise(low)
+
+
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str] = ()) -> DataFrame:
     """Exact quantiles per group, linear between the two closest order statistics."""
     pos = positions(df, value, by)
@@ -91,7 +96,7 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str]
         *by,
         "n",
         *[
-            (F.col(f"__lo_{q}") + F.col(f"__w_{q}") * (F.col(f"__hi_{q}") - F.col(f"__lo_{q}"))).alias(q)
+            _between(F.col(f"__lo_{q}"), F.col(f"__hi_{q}"), F.col(f"__w_{q}")).alias(q)
             for q in probs
         ],
     )
@@ -105,6 +110,6 @@ def summary_by(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     for name, p in probs.items():
         h = (F.col("n") - 1) * F.lit(p) + 1
         at = lambda k: F.max(F.when((F.col("lo") <= k) & (k < F.col("lo") + F.col("cnt")), F.col("__v")))
-        aggs.append((at(F.floor(h)) + F.max(h - F.floor(h)) * (at(F.ceil(h)) - at(F.floor(h)))).alias(name))
+        aggs.append(_between(at(F.floor(h)), at(F.ceil(h)), F.max(h - F.floor(h))).alias(name))
     mean = (F.sum(F.col("__v") * F.col("cnt")) / F.sum("cnt")).alias("mean")
     return pos.groupBy(*by).agg(F.max("n").alias("n"), *aggs, mean)

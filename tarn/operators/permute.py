@@ -240,7 +240,8 @@ def ordistep(
     """Forward and backward selection of terms by permutation p, starting from no term.
 
     A step drops the worst term above ``p_out``, or else adds the best one up to ``p_in``. One job tests all
-    candidates to add: they are blocks of the same permuted matrices. Returns the chosen terms and a table of steps ``(step, action, term, f, p)``.
+    candidates to add: they are blocks of the same permuted matrices. Returns the chosen terms and a table of steps ``(step, action, term, f, p)``;
+    a search that needs more than ``limit`` steps is an error.
     """
     terms = [t for t in space.terms if scope is None or t.name in scope]
     current: list[str] = []
@@ -276,6 +277,8 @@ def ordistep(
                 added = True
         if not dropped and not added:
             break
+    else:
+        raise RuntimeError(f"the search has not ended after {limit} steps")
     table = spark.createDataFrame(log, "step int, action string, term string, f double, p double")
     return current, table
 

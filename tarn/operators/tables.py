@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,12 +52,14 @@ def freq_table(df: DataFrame, c: str, keep_null: bool = True) -> DataFrame:
 
 
 def histogram(df: DataFrame, c: str, bins: int) -> DataFrame:
-    """Counts and density of ``bins`` equal ranges between the minimum and the maximum."""
+    """Counts and density of ``bins`` equal ranges between the minimum and the maximum; infinite values are an error."""
     x = F.col(c).cast("double")
     src = df.filter(is_present(c)).select(x.alias("x"))
     lo, hi, n = src.agg(F.min("x"), F.max("x"), F.count("x")).first()
     if not n:
         raise ValueError(f"{c} holds no number")
+    if math.isinf(lo) or math.isinf(hi):
+        raise ValueError(f"{c} holds infinite values, which no range of equal width covers")
     width = (hi - lo) / bins
     which = F.least(F.floor((F.col("x") - lo) / width), F.lit(bins - 1)) if width > 0 else F.lit(0)
     return (

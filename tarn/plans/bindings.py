@@ -17,8 +17,6 @@ from ..operators.distance import unifrac
 from ..operators.tree import branch_proportions, tree_closure
 from ..session import store
 
-URGENT = "1-URGENT"
-
 
 class Views:
     """The tables of one folder and the views over them."""
@@ -75,7 +73,7 @@ class Views:
         u, rep = F.col("user_id"), F.col("event_id") % 3
         kind = F.when(F.col("event_type") == "error", F.lit(" USP")).otherwise(F.lit(" SP"))
         content = F.when((u + F.col("day")) % 19 == 0, F.lit("wet")).otherwise(((u * 7 + F.col("day") + rep) % 60).cast("string"))
-        return self.events.filter(F.col("event_type") != "signup").select(
+        return self.events.select(
             F.concat("lake_name", kind).alias("Sample_Name"), F.col("day").cast("string").alias("Day"),
             F.month("ts").cast("string").alias("Month"), F.year("ts").cast("string").alias("Year"),
             rep.cast("string").alias("Rep"), content.alias("Moisture_Content")).distinct()
@@ -84,10 +82,10 @@ class Views:
     def raw_spike(self) -> DataFrame:
         u = F.col("user_id")
         return (
-            self.events.filter((F.col("event_type") == "purchase") & (F.col("value") > 100)).groupBy("user_id", "lake_name")
-            .agg(F.avg("value").alias("Spike_MA"), F.max("value").alias("m"))
+            self.events.groupBy("user_id", "lake_name").agg(F.avg("value").alias("Spike_MA"), F.max("value").alias("m"))
+            .filter(u % 6 != 0)  # lakes without a spike row, for the outer joins
             .select("lake_name", (1 + u % 4).cast("double").alias("Volume"), (u % 5).cast("double").alias("Mass"), "Spike_MA",
-                    F.when(F.col("m") > 150, F.col("m")).alias("Spike_ICP")))
+                    F.when(u % 7 != 3, F.col("m")).alias("Spike_ICP")))
 
     @cached_property
     def spike(self) -> DataFrame:
@@ -107,18 +105,20 @@ class Views:
 
     @cached_property
     def suva(self) -> DataFrame:
-        return self.table("customer").filter(F.col("c_acctbal") >= 0).select(
-            F.concat(F.lit("L"), F.col("c_custkey").cast("string")).alias("lake_name"), (F.col("c_acctbal") / 1000).alias("SUVA"))
+        return self.table("customer").select(
+            F.concat(F.lit("L"), F.col("c_custkey").cast("string")).alias("lake_name"),
+            F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal") / 1000).alias("SUVA"))
 
     @cached_property
     def master(self) -> DataFrame:
-        """One row per customer: balance and the means of its urgent orders, NULL without any."""
-        urgent = self.table("orders").filter(F.col("o_orderpriority") == URGENT)
+        """One row per customer: balance and the means of its orders; every seventh customer misses the price."""
+        orders = self.table("orders")
         lines = self.table("lineitem").select("l_orderkey", "l_quantity", "l_discount")
-        per_order = lines.join(urgent.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+        per_order = lines.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         items = per_order.groupBy(F.col("o_custkey").alias("k")).agg(
             F.avg("l_quantity").alias("qty"), (F.avg("l_discount") * 100).alias("disc"))
-        money = urgent.groupBy(F.col("o_custkey").alias("k")).agg((F.avg("o_totalprice") / 997).alias("price"))
+        money = orders.groupBy(F.col("o_custkey").alias("k")).agg((F.avg("o_totalprice") / 997).alias("price"))
+        money = money.withColumn("price", F.when(F.col("k") % 7 != 0, F.col("price")))
         nation = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         nation = nation.select("n_nationkey", F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
         cust = self.table("customer").select(
@@ -222,14 +222,14 @@ SQL_VIEWS: dict[str, str] = {
     "v_moist": """SELECT DISTINCT lake_name, CASE WHEN event_type = 'error' THEN 'USP' ELSE 'SP' END AS treatment,
         CAST(ts AS DATE) AS date, CAST(event_id % 3 AS VARCHAR) AS rep,
         CASE WHEN (user_id + day) % 19 = 0 THEN NULL ELSE CAST((user_id * 7 + day + event_id % 3) % 60 AS DOUBLE) END AS moisture
-        FROM v_events WHERE event_type <> 'signup'""",
+        FROM v_events""",
     "v_corr": """SELECT c.*, (100 - m.moisture) / 100 AS factor, (100 - m.moisture) / 100 * (value - 1) AS x198,
         (100 - m.moisture) / 100 * value AS x199, (100 - m.moisture) / 100 * hg202 AS x202
         FROM v_clean c LEFT JOIN v_moist m ON c.lake_name = m.lake_name AND c.treatment = m.treatment
         AND c.date IS NOT DISTINCT FROM m.date AND c.rep = m.rep""",
     "v_rspike": """SELECT user_id, lake_name, CAST(1 + user_id % 4 AS DOUBLE) AS volume, CAST(user_id % 5 AS DOUBLE) AS mass,
-        avg(value) AS ma, CASE WHEN max(value) > 150 THEN max(value) END AS icp
-        FROM v_events WHERE event_type = 'purchase' AND value > 100 GROUP BY user_id, lake_name""",
+        avg(value) AS ma, CASE WHEN user_id % 7 <> 3 THEN max(value) END AS icp
+        FROM v_events GROUP BY user_id, lake_name HAVING user_id % 6 <> 0""",
     "v_spike": "SELECT lake_name, CASE WHEN icp IS NULL THEN 0.0 ELSE ma END AS spike FROM v_rspike",
     "v_means": """SELECT lake_name, time, avg(c199) AS c199, avg(c198) AS c198,
         CASE WHEN bool_or(c198 = 0) THEN CAST('-Infinity' AS DOUBLE) ELSE avg(CASE WHEN c198 > 0 THEN ln198 END) END AS ln198
@@ -239,13 +239,12 @@ SQL_VIEWS: dict[str, str] = {
         avg(o_totalprice) / 9973 AS "DOC", CAST(count(*) AS DOUBLE) AS "Sulphate", 4.0 + (o_custkey % 40) / 10.0 AS "pH"
         FROM orders GROUP BY o_custkey, year(o_orderdate)""",
     "v_years": """SELECT lake_name, min("Year") AS "Year" FROM v_chem GROUP BY lake_name""",
-    "v_suva": "SELECT 'L' || CAST(c_custkey AS VARCHAR) AS lake_name, c_acctbal / 1000 AS \"SUVA\" FROM customer WHERE c_acctbal >= 0",
-    "v_master": f"""SELECT c_custkey AS k, c_acctbal / 1000 AS balance, c_mktsegment AS segment, n_name AS nation, r_name AS region,
+    "v_suva": "SELECT 'L' || CAST(c_custkey AS VARCHAR) AS lake_name, CASE WHEN c_acctbal >= 0 THEN c_acctbal / 1000 END AS \"SUVA\" FROM customer",
+    "v_master": """SELECT c_custkey AS k, c_acctbal / 1000 AS balance, c_mktsegment AS segment, n_name AS nation, r_name AS region,
         price, qty, disc FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-        LEFT JOIN (SELECT o_custkey, avg(o_totalprice) / 997 AS price FROM orders WHERE o_orderpriority = '{URGENT}'
-          GROUP BY o_custkey) a ON a.o_custkey = c_custkey
+        LEFT JOIN (SELECT o_custkey, CASE WHEN o_custkey % 7 <> 0 THEN avg(o_totalprice) / 997 END AS price FROM orders GROUP BY o_custkey) a ON a.o_custkey = c_custkey
         LEFT JOIN (SELECT o_custkey, avg(l_quantity) AS qty, avg(l_discount) * 100 AS disc FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-          WHERE o_orderpriority = '{URGENT}' GROUP BY o_custkey) b ON b.o_custkey = c_custkey""",
+          GROUP BY o_custkey) b ON b.o_custkey = c_custkey""",
     "v_full": "SELECT * FROM v_master WHERE price IS NOT NULL AND qty IS NOT NULL",
     "v_counts": """SELECT 'P' || CAST(l_partkey AS VARCHAR) AS feature_id, n_name AS sample_id, sum(l_quantity) AS "count"
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey

@@ -476,8 +476,8 @@ def _(v):
     return clean_incubations(v.raw_with_id).select("event_id", "spiked_con")
 
 
-@query("x21_bin_labels", check("""SELECT band, count(*) AS n FROM (SELECT CASE WHEN price > 0 AND price <= 100 THEN 'Young100' WHEN price > 100 AND price <= 200 THEN 'Mid100to200'
-    WHEN price > 200 AND price <= 400 THEN 'Old200' END AS band FROM v_master) GROUP BY 1""", "", "band n"))
+@query("x21_bin_labels", check("""SELECT band, count(*) AS n FROM (SELECT CASE WHEN price > 0 AND price <= 75 THEN 'cheap' WHEN price > 75 AND price <= 150 THEN 'middling'
+    WHEN price > 150 AND price <= 275 THEN 'dear' END AS band FROM v_master) GROUP BY 1""", "", "band n"))
 def _(v):
-    band = X.bin_label("price", [0, 100, 200, 400], ["Young100", "Mid100to200", "Old200"])
+    band = X.bin_label("price", [0, 75, 150, 275], ["cheap", "middling", "dear"])
     return v.master.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"))

@@ -1,4 +1,5 @@
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -261,3 +262,49 @@ def test_kmeans_and_pca(spark, df):
     assert np.allclose(p.eigenvalues, val) and np.isclose(p.share.sum(), 1)
     sc = p.scores(df, ["k"], 2).collect()
     assert np.isclose(np.var([r["pc1"] for r in sc], ddof=1), val[0])
+
+
+def test_step_limits_raise(df):
+    with pytest.raises(RuntimeError):
+        L.step_aic(refit_to_none(df), scope=TERMS, limit=0)
+
+
+def refit_to_none(df):
+    return L.refit(L.ols(df, G.var("y"), TERMS), [])
+
+
+def test_models_keep_null_and_infinite_groups(spark):
+    rows = [(None, float(i), 2.0 * i + i % 3) for i in range(8)] + [("b", float(i), 1.0 - i + i % 2) for i in range(8)]
+    rows += [("c", 1.0, 2.0), ("c", 2.0, float("inf")), ("c", 3.0, 1.0)]
+    data = spark.createDataFrame(rows, "`a b` string, x double, y double")
+    fits = L.model_per_group(data, G.var("y"), [G.var("x")], ["a b"])
+    got = {(r["a b"], r.term): r.estimate for r in fits.collect()}
+    assert {k for k, _ in got} == {None, "b", "c"}
+    assert got[("c", "x")] is None and got[(None, "x")] == pytest.approx(np.polyfit(range(8), [2.0 * i + i % 3 for i in range(8)], 1)[0])
+    left = L.group_residuals(data, G.var("y"), [G.var("x")], ["a b"], fits)
+    assert {r["a b"]: r["count"] for r in left.filter("residual IS NOT NULL").groupBy("a b").count().collect()} == {None: 8, "b": 8}
+    assert left.count() == 19
+
+
+def test_shapiro_wilk_of_any_size_and_of_the_null_group(spark):
+    values = [0.3, 1.2, 1.9, 2.2, 2.8, 3.9, 5.1, 9.0]
+    data = spark.createDataFrame([(k, v) for k in (None, "a") for v in values] + [("few", 1.0)], "g string, v double")
+    by = {r.g: r for r in H.shapiro_wilk(data, "v", ["g"]).collect()}
+    assert by[None].W == pytest.approx(by["a"].W) and by["few"].W is None
+    # 30,000 values in four heaps: more ranks of one value than are made at a time
+    many = spark.range(30_000).selectExpr("cast(CASE WHEN id < 15000 THEN 0 ELSE id % 4 END AS double) AS v")
+    r = H.shapiro_wilk(many, "v").first()
+    x = np.sort([0.0 if i < 15_000 else float(i % 4) for i in range(30_000)])
+    m = np.array([NormalDist().inv_cdf((i - 0.375) / (30_000.25)) for i in range(1, 30_001)])
+    # at this size the weights are the normal scores themselves but for the ends
+    rough = (m @ x) ** 2 / (m @ m) / ((x - x.mean()) ** 2).sum()
+    assert r.n == 30_000 and not r.p_in_range and r.W == pytest.approx(rough, abs=2e-3)
+
+
+def test_infinite_values_in_quantiles_and_histograms(spark):
+    inf = float("inf")
+    data = spark.createDataFrame([(v,) for v in (-inf, 1.0, 2.0, inf)], "v double")
+    r = S.summary_by(data, "v").first()
+    assert (r["min"], r["q1"], r["median"], r["q3"], r["max"]) == (-inf, -inf, 1.5, inf, inf)
+    with pytest.raises(ValueError):
+        T.histogram(data, "v", 3)
