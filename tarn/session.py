@@ -7,6 +7,9 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,9 +85,36 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def store(df: DataFrame) -> DataFrame:
-    """Write a large table once to the shared folder and read it back: like a checkpoint, but columnar,
-    with column pruning and with sizes the planner knows."""
+#: Paths of the tables stored inside the innermost ``temporary`` block.
+_STORED: ContextVar[list[str] | None] = ContextVar("stored", default=None)
+
+
+def _written(df: DataFrame, paths: list[str] | None) -> DataFrame:
     path = scratch_path(df.sparkSession, "stored")
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write a large table once to the shared folder and read it back: like a checkpoint, but columnar,
+    with column pruning and with sizes the planner knows."""
+    return _written(df, _STORED.get())
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A block whose stored tables are deleted at its end.
+
+    It gives a function that stores a table for longer: until the end of the block around this one, or for good if there is none.
+    Whatever leaves the block must rest on tables stored so.
+    """
+    outer, paths = _STORED.get(), []
+    token = _STORED.set(paths)
+    try:
+        yield lambda df: _written(df, outer)
+    finally:
+        _STORED.reset(token)
+        for path in map(spark._jvm.org.apache.hadoop.fs.Path, paths):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
