@@ -9,8 +9,9 @@ standard errors); the rest is decided on the full sets.
 Equal sets are one node. In some rounds, the nodes of every band bucket are compared with one of them, another one each
 round and bucket, which joins nearly all that belong together at a cost in proportion to the buckets' members. What remains are
 pairs of a bucket that lie in different components. These are compared inside the tasks, block by block, each in the first
-bucket that the pair shares: by their registers first, then on the full sets; only links leave the tasks. Buckets with very many members are split by a second band first, which a pair
-above the limit shares all but surely (2e-9).
+bucket that the pair shares: by their registers first, then by the sets cut to a few bits a shingle, which can only overstate
+what two sets have in common. The few pairs left leave the tasks and are decided on the full sets. Buckets with very many
+members are split by a second band first, which a pair above the limit shares all but surely (2e-9).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.session import store
+from tarn.session import store, temporary
 
 from .common import ascii_lower, positions
 from .shingles import arrow_bytes, mix, shingle_sets
@@ -29,10 +30,11 @@ from .shingles import arrow_bytes, mix, shingle_sets
 BUCKETS, ROWS, MANTISSA = 128, 4, 10
 EMPTY = 0xFFFF
 NUMERATOR, DENOMINATOR = 85, 100
-ROUNDS = 3
+ROUNDS = 2
 BLOCK = 500_000  # shingles of the nodes that a task compares with each other or with another block
 CROWDED = 5000  # members of a bucket beyond which a second band splits it
 SIGMAS = 5
+NARROW = 1024  # shingles up to which a cut set has 16 bits a shingle; larger ones have 32
 NAMED = 500_000  # rows of (node, digest, id) that are broadcast; more are joined by shuffling
 
 
@@ -129,9 +131,10 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, block: int) -> DataFrame:
-    """Links (a, b) between a bucket's members (key, band, node, label, shingles) that have different labels.
+    """Pairs (a, b) of a bucket's members (key, band, node, label, shingles) that have different labels and may be linked.
 
-    ``shingles``: of all members together. ``band`` is null in buckets made by two bands.
+    All links are among them, and hardly anything else. ``shingles``: of all members together. ``band`` is null in buckets
+    made by two bands. ``sets``: (node, members) with cut sets.
     """
     import pyarrow as pa
 
@@ -141,7 +144,7 @@ def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, block: int) -
         cross = table["low"][0].as_py() != table["high"][0].as_py()
         order = np.argsort(n, kind="stable")
         regs = np.frombuffer(b"".join(table["regs"].to_pylist()), dtype=np.uint16).reshape(len(node), -1)[order]
-        full = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in table["members"]]
+        cut = [np.frombuffer(v.as_buffer(), dtype=_width(s)) for v, s in zip(table["members"], n.tolist(), strict=True)]
         node, n, label, part = node[order], n[order], label[order], part[order]
         stop = np.searchsorted(n * NUMERATOR, n * DENOMINATOR, side="right")
         found = []
@@ -154,7 +157,7 @@ def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, block: int) -
                 same = regs[i].reshape(1, -1, ROWS) == regs[j].reshape(len(j), -1, ROWS)
                 shared = same.all(axis=2) & (regs[i].reshape(1, -1, ROWS) != EMPTY).any(axis=2)
                 j = j[shared.argmax(axis=1) == band]
-            found += [(min(node[i], node[k]), max(node[i], node[k])) for k in j.tolist() if _alike(full[order[i]], full[order[k]])]
+            found += [(min(node[i], node[k]), max(node[i], node[k])) for k in j.tolist() if _enough(_most_common(cut[order[i]], cut[order[k]], n[i], n[k]), n[i], n[k])]
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     blocks = F.ceil(F.col("shingles") / block).cast("int")
@@ -164,13 +167,37 @@ def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, block: int) -
             .applyInArrow(compare, "a long, b long").distinct())
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    return len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+
+
+def _enough(common: int, n: int, m: int) -> bool:
+    return DENOMINATOR * common >= NUMERATOR * (n + m - common)
+
+
 def _alike(x: np.ndarray, y: np.ndarray) -> bool:
-    common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-    return DENOMINATOR * common >= NUMERATOR * (len(x) + len(y) - common)
+    return _enough(_common(x, y), len(x), len(y))
+
+
+def _width(n: int) -> type:
+    return np.uint16 if n <= NARROW else np.uint32
+
 
+def _cut(s: np.ndarray) -> np.ndarray:
+    """A set with the low bits of its hashes only."""
+    return np.unique(s.astype(_width(len(s))))
 
-def _sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, members) of the nodes asked for, worked out from the texts again."""
+
+def _most_common(x: np.ndarray, y: np.ndarray, n: int, m: int) -> int:
+    """What sets of n and m members have in common at most, from their cut sets: members of both that fell together when cut
+    did so in either set."""
+    if x.dtype != y.dtype:
+        x, y = (np.unique(z.astype(np.uint16)) for z in (x, y))
+    return _common(x, y) + min(n - len(x), m - len(y))
+
+
+def _sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame, form=lambda s: s) -> DataFrame:
+    """(node, members) of the nodes asked for, worked out from the texts again; ``form`` makes the members of a full set."""
     import pyarrow as pa
 
     def members(batches):
@@ -179,7 +206,7 @@ def _sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 b = whole.slice(at, 512)
                 sets = list(shingle_sets(*arrow_bytes(ascii_lower(b.column("text")))))
                 own = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() == i for s, i in zip(sets, b.column("set_id").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "members"]).filter(pa.array(own, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([form(s).tobytes() for s in sets], pa.binary())], ["node", "members"]).filter(pa.array(own, pa.bool_()))
 
     named = store(nodes.join(asked, "node").select("node", "set_id", F.col("first_id").alias("id_")))
     if named.count() <= NAMED:
@@ -205,23 +232,47 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node reachable, for every node that has a link, by alternating stars."""
-    edges = store(links.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-    mark = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = store(both.filter("v > u").join(least, "u").select(F.col("v"), F.col("m")).filter("v <> m").distinct())
-        down = large.select(F.col("v").alias("u"), F.col("m").alias("v"))  # v < u
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        edges = store(down.join(least, "u").select(F.col("v"), F.col("m")).filter("v <> m").unionByName(least.select(F.col("u").alias("v"), "m"))
-                      .select(F.col("m").alias("u"), "v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    stars = edges.select(F.col("v").alias("node"), F.col("u").alias("label"))
-    return stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct())
+    """(node, label), stored: the smallest node reachable, for every node that has a link, by alternating stars."""
+    with temporary(links.sparkSession) as keep:
+        edges = store(links.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        mark = None
+        while True:
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+            large = store(both.filter("v > u").join(least, "u").select(F.col("v"), F.col("m")).filter("v <> m").distinct())
+            down = large.select(F.col("v").alias("u"), F.col("m").alias("v"))  # v < u
+            least = down.groupBy("u").agg(F.min("v").alias("m"))
+            edges = store(down.join(least, "u").select(F.col("v"), F.col("m")).filter("v <> m").unionByName(least.select(F.col("u").alias("v"), "m"))
+                          .select(F.col("m").alias("u"), "v").distinct())
+            now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if now == mark:
+                break
+            mark = now
+        stars = edges.select(F.col("v").alias("node"), F.col("u").alias("label"))
+        return keep(stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct()))
+
+
+def _to_pivots(labelled: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Links (a, b) between a bucket's members and the one of them that round ``k`` picks, where labels differ."""
+    each = F.struct(F.xxhash64("node", "key", F.lit(k)), "node", "n", "label")
+    pivots = labelled.groupBy("key").agg(F.min(each).alias("p"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    pivots = store(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("m"), F.col("p.label").alias("other")))
+    pairs = labelled.join(pivots, "key").filter((F.col("label") != F.col("other")) & _fits("n", "m"))
+    pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    return _linked(store(_likely(pairs, nodes)), nodes, docs)
+
+
+def _meeting(labelled: DataFrame, bucketed: DataFrame, crowded: int) -> DataFrame:
+    """Members (key, band, node, label, shingles) of the buckets that still have different labels, stored."""
+    apart = store(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key"))
+    open_ = store(labelled.join(apart, "key").select("key", "band", "node", "n", "label", "members", "shingles"))
+    # the members of a crowded bucket meet only where they share another bucket as well
+    other = bucketed.select(F.col("key").alias("key2"), "node")
+    split = open_.filter(F.col("members") > crowded).join(other, "node").filter("key <> key2").select(
+        F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("key"), F.lit(None).cast("int").alias("band"), "node", "n", "label").distinct()
+    counts = split.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).filter("members > 1").drop("members")
+    return store(open_.filter(F.col("members") <= crowded).select("key", "band", "node", "label", "shingles").unionByName(
+        split.join(counts, "key").select("key", "band", "node", "label", "shingles")))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, block: int = BLOCK, crowded: int = CROWDED) -> DataFrame:
@@ -234,47 +285,39 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a component with null ids only has the id null and keeps all its rows. Other columns are ignored; no rows give no rows.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    known = store(sketch(rows))
-    classes = known.filter("n_shingles > 0").groupBy("set_id").agg(
-        F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.max("regs").alias("regs"), F.count("*").alias("rows"))
-    nodes = store(positions(classes, F.col("first_id").asc_nulls_last(), F.col("set_id")).withColumnRenamed("at", "node"))
-
-    bands = store(_bands(nodes))
-    shared = bands.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).filter("members > 1")
-    # only buckets of two and more matter from here on
-    bucketed = store(bands.join(store(shared), "key"))
-
-    links = labels = None
-    labelled = bucketed.withColumn("label", F.col("node"))
-    for k in range(rounds):
-        each = F.struct(F.xxhash64("node", "key", F.lit(k)), "node", "n", "label")
-        pivots = labelled.groupBy("key").agg(F.min(each).alias("p"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-        pivots = store(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("m"), F.col("p.label").alias("other")))
-        pairs = labelled.join(pivots, "key").filter((F.col("label") != F.col("other")) & _fits("n", "m"))
-        pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        more = store(_linked(store(_likely(pairs, nodes)), nodes, rows))
-        if more.isEmpty():
-            break
-        links = more if links is None else links.unionByName(more)
-        labels = store(components(links))
-        labelled = store(bucketed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    apart = store(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key"))
-    open_ = store(labelled.join(apart, "key").select("key", "band", "node", "n", "label", "members", "shingles"))
-    # the members of a crowded bucket meet only where they share another bucket as well
-    other = bucketed.select(F.col("key").alias("key2"), "node")
-    split = open_.filter(F.col("members") > crowded).join(other, "node").filter("key <> key2").select(
-        F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("key"), F.lit(None).cast("int").alias("band"), "node", "n", "label").distinct()
-    counts = split.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).filter("members > 1").drop("members")
-    meeting = store(open_.filter(F.col("members") <= crowded).select("key", "band", "node", "label", "shingles").unionByName(
-        split.join(counts, "key").select("key", "band", "node", "label", "shingles")))
-    more = store(_across(meeting, nodes, _sets(meeting.select("node").distinct(), nodes, rows), block))
-    if labels is None or not more.isEmpty():
-        labels = store(components(more if links is None else links.unionByName(more)))
-
-    smallest = nodes.select(F.col("node").alias("label"), F.col("first_id").alias("component_id"))
-    grouped = (nodes.join(labels, "node", "left").filter("label IS NOT NULL OR rows > 1")
-               .select("set_id", F.coalesce("label", "node").alias("label")).join(smallest, "label").select("set_id", "component_id", F.lit(True).alias("in_group")))
-    found = known.select("doc_id", "n_shingles", "set_id").join(store(grouped), "set_id", "left")
+    with temporary(docs.sparkSession) as keep:
+        known = keep(sketch(rows))
+        classes = known.filter("n_shingles > 0").groupBy("set_id").agg(
+            F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.max("regs").alias("regs"), F.count("*").alias("rows"))
+        with temporary(docs.sparkSession) as hold:
+            nodes = hold(positions(classes, F.col("first_id").asc_nulls_last(), F.col("set_id")).withColumnRenamed("at", "node"))
+        with temporary(docs.sparkSession) as hold:
+            bands = store(_bands(nodes))
+            shared = bands.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).filter("members > 1")
+            # only buckets of two and more matter from here on
+            bucketed = hold(bands.join(store(shared), "key"))
+
+        links = labels = None
+        labelled = bucketed.withColumn("label", F.col("node"))
+        for k in range(rounds):
+            with temporary(docs.sparkSession) as hold:
+                more = hold(_to_pivots(labelled, nodes, rows, k))
+            if more.isEmpty():
+                break
+            links = more if links is None else links.unionByName(more)
+            labels = components(links)
+            labelled = store(bucketed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        with temporary(docs.sparkSession) as hold:
+            meeting = _meeting(labelled, bucketed, crowded)
+            pairs = store(_across(meeting, nodes, _sets(meeting.select("node").distinct(), nodes, rows, _cut), block))
+            more = hold(_linked(pairs, nodes, rows))
+        if labels is None or not more.isEmpty():
+            labels = components(more if links is None else links.unionByName(more))
+
+        smallest = nodes.select(F.col("node").alias("label"), F.col("first_id").alias("component_id"))
+        grouped = keep(nodes.join(labels, "node", "left").filter("label IS NOT NULL OR rows > 1")
+                       .select("set_id", F.coalesce("label", "node").alias("label")).join(smallest, "label").select("set_id", "component_id", F.lit(True).alias("in_group")))
+    found = known.select("doc_id", "n_shingles", "set_id").join(grouped, "set_id", "left")
     own = F.when(F.col("in_group"), F.col("component_id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 

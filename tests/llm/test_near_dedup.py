@@ -83,3 +83,27 @@ def test_estimates_are_near_the_truth():
             a, b = np.sort(all_[k:]), np.sort(all_[:len(all_) - k])
             got.append(estimate(registers(a)[None], registers(b)[None], np.array([len(a)]), np.array([len(b)]))[0][0])
         assert abs(np.mean(got) - (1000 - 2 * k) / 1000) < 0.03
+
+
+def test_cut_sets_never_understate_what_is_common():
+    from tarn.llm.near_dedup import NARROW, _common, _cut, _most_common
+
+    rng = np.random.default_rng(5)
+    for n, m in [(1, 1), (300, 280), (NARROW, NARROW + 1), (NARROW - 100, NARROW + 50), (20_000, 19_000)]:
+        pool = np.unique(rng.integers(0, 1 << 63, 3 * (n + m), dtype=np.uint64))
+        x, y = np.sort(pool[:n]), np.sort(pool[n // 10:n // 10 + m])
+        most = _most_common(_cut(x), _cut(y), n, m)
+        assert _common(x, y) <= most <= _common(x, y) + 0.05 * max(n, m)
+
+
+def test_intermediate_tables_are_deleted(spark):
+    from pathlib import Path
+
+    from tarn.session import shared_dir
+
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k % 3, 40))) for k in range(12)], "doc_id long, text string")
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.glob("stored-*"))
+    found = near_groups(docs)
+    assert len(set(folder.glob("stored-*")) - before) == 2
+    assert {r.component_id for r in found.collect()} == {0}
