@@ -6,7 +6,7 @@ and the ten bits after them. Texts that agree in a band of four registers are ca
 Candidates whose estimated similarity, corrected for registers that agree by chance, is far below the limit are dropped (six
 standard errors); the rest is decided on the full sets.
 
-Equal sets are one node. In some rounds, the nodes of every band bucket are compared with one of them, another one each
+Equal sets are one node. In a round (or more), the nodes of every band bucket are compared with one of them, another one each
 round and bucket, which joins nearly all that belong together at a cost in proportion to the buckets' members. What remains are
 pairs of a bucket that lie in different components. These are compared inside the tasks, block by block, each in the first
 bucket that the pair shares: by their registers first, then by the sets cut to a few bits a shingle, which can only overstate
@@ -30,7 +30,7 @@ from .shingles import arrow_bytes, mix, shingle_sets
 BUCKETS, ROWS, MANTISSA = 128, 4, 10
 EMPTY = 0xFFFF
 NUMERATOR, DENOMINATOR = 85, 100
-ROUNDS = 2
+ROUNDS = 1
 BLOCK = 500_000  # shingles of the nodes that a task compares with each other or with another block
 CROWDED = 5000  # members of a bucket beyond which a second band splits it
 SIGMAS = 5
@@ -235,7 +235,6 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label), stored: the smallest node reachable, for every node that has a link, by alternating stars."""
     with temporary(links.sparkSession) as keep:
         edges = store(links.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-        mark = None
         while True:
             both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
             least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -244,10 +243,10 @@ def components(links: DataFrame) -> DataFrame:
             least = down.groupBy("u").agg(F.min("v").alias("m"))
             edges = store(down.join(least, "u").select(F.col("v"), F.col("m")).filter("v <> m").unionByName(least.select(F.col("u").alias("v"), "m"))
                           .select(F.col("m").alias("u"), "v").distinct())
-            now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-            if now == mark:
+            # done when every node is either the centre of a star or has one edge, to a centre
+            places = edges.select(F.col("u").alias("node"), F.lit(0).alias("above")).unionByName(edges.select(F.col("v").alias("node"), F.lit(1).alias("above")))
+            if places.groupBy("node").agg(F.sum("above").alias("above"), F.count("*").alias("n")).filter("above > 0 AND n > 1").isEmpty():
                 break
-            mark = now
         stars = edges.select(F.col("v").alias("node"), F.col("u").alias("label"))
         return keep(stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct()))
 

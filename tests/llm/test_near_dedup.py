@@ -107,3 +107,14 @@ def test_intermediate_tables_are_deleted(spark):
     found = near_groups(docs)
     assert len(set(folder.glob("stored-*")) - before) == 2
     assert {r.component_id for r in found.collect()} == {0}
+
+
+def test_components_of_chains_and_stars(spark):
+    from tarn.llm.near_dedup import components
+
+    chain = [(k, k + 1) for k in range(10, 40)]
+    two_tops = [(101, 105), (103, 105), (103, 107)]
+    found = components(spark.createDataFrame([*chain, *two_tops, (201, 200), (300, 300)], "a long, b long")).collect()
+    want = {k: 10 for k in range(10, 41)} | {k: 101 for k in (101, 103, 105, 107)} | {200: 200, 201: 200}
+    assert {r.node: r.label for r in found} == want and len(found) == len(want)
+    assert components(spark.createDataFrame([], "a long, b long")).isEmpty()
