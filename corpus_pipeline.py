@@ -14,6 +14,8 @@ from tarn.session import store
 
 #: Least posterior of the predicted language.
 CONFIDENCE = 0.5
+#: Least Jaccard similarity of near-duplicates' sets of five-word runs.
+SIMILARITY = 0.8
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, the row with the smallest id."""
-    return near_dedup.keep_one(docs)
+    return near_dedup.keep_one(docs, similarity=SIMILARITY)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Near-duplicates by HyperMinHash: banded compressed registers, an estimate, then a check on the full sets.
 
 A text's shingle set is hashed into 128 buckets. The register of a bucket holds the number of leading zeros of its smallest hash
-and the ten bits after them. Texts that agree in a band of four registers are candidates; a pair of Jaccard similarity
-0.85 misses all 32 bands with a probability of about 5e-11, and small sets can't miss: fewer hashes differ than there are bands.
+and the ten bits after them. Texts that agree in a band of a few registers are candidates. Bands have four registers, or fewer if the
+similarity asked for is low: a pair at the limit misses all bands with a probability below 1e-7 (5e-11 at 0.85, 5e-8 at 0.8).
 Candidates whose estimated similarity, corrected for registers that agree by chance, is far below the limit are dropped (six
 standard errors); the rest is decided on the full sets.
 
@@ -11,12 +11,13 @@ round and bucket, which joins nearly all that belong together at a cost in propo
 pairs of a bucket that lie in different components. These are compared inside the tasks, block by block, each in the first
 bucket that the pair shares: by their registers first, then by the sets cut to a few bits a shingle, which can only overstate
 what two sets have in common. The few pairs left leave the tasks and are decided on the full sets. Buckets with very many
-members are split by a second band first, which a pair above the limit shares all but surely (2e-9).
+members are split by a second band first, which a pair above the limit shares all but surely (2e-9 at 0.85, 1e-6 at 0.8).
 """
 
 from __future__ import annotations
 
 import hashlib
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,9 +28,10 @@ from tarn.session import store, temporary
 from .common import ascii_lower, positions
 from .shingles import arrow_bytes, mix, shingle_sets
 
-BUCKETS, ROWS, MANTISSA = 128, 4, 10
+BUCKETS, MANTISSA = 128, 10
 EMPTY = 0xFFFF
-NUMERATOR, DENOMINATOR = 85, 100
+GROUPED, REMOVED = 0.85, 0.8  # similarities of near_groups and keep_one, unless told otherwise
+MISSED = 1e-7  # probability that a pair at the limit shares no band, at most
 ROUNDS = 1
 BLOCK = 500_000  # shingles of the nodes that a task compares with each other or with another block
 CROWDED = 5000  # members of a bucket beyond which a second band splits it
@@ -84,16 +86,24 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return rows.mapInArrow(work, "doc_id long, n_shingles long, set_id string, regs binary")
 
 
-def _bands(nodes: DataFrame) -> DataFrame:
+def band_rows(limit: Fraction) -> int:
+    """Registers of a band: the most that let hardly any pair at the limit miss all bands."""
+    for rows in (4, 2, 1):
+        if (1 - float(limit) ** rows) ** (BUCKETS // rows) <= MISSED:
+            return rows
+    raise ValueError(f"{BUCKETS} registers can't find pairs of similarity {float(limit)}")
+
+
+def _bands(nodes: DataFrame, width: int) -> DataFrame:
     """(key, band, node, n): a row for each band of a node that isn't all empty."""
     import pyarrow as pa
 
     def work(batches):
         for b in batches:
             node, n = b.column(0).to_numpy(), b.column(1).to_numpy()
-            regs = np.frombuffer(b"".join(b.column(2).to_pylist()), dtype=np.uint16).reshape(len(node), -1, ROWS)
+            regs = np.frombuffer(b"".join(b.column(2).to_pylist()), dtype=np.uint16).reshape(len(node), -1, width)
             key = mix(np.broadcast_to(np.arange(regs.shape[1], dtype=np.uint64) + np.uint64(1), regs.shape[:2]).copy())
-            for r in range(ROWS):
+            for r in range(width):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + regs[:, :, r].astype(np.uint64))
             row, band = np.nonzero((regs != EMPTY).any(axis=2))
             yield pa.RecordBatch.from_arrays([pa.array(key[row, band].view(np.int64)), pa.array(band, pa.int32()), pa.array(node[row]), pa.array(n[row])], ["key", "band", "node", "n"])
@@ -101,20 +111,20 @@ def _bands(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "n", "regs").mapInArrow(work, "key long, band int, node long, n long")
 
 
-def _close(near: np.ndarray, used: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+def _close(near: np.ndarray, used: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: Fraction) -> np.ndarray:
     """Whether an estimate isn't far below the limit. Registers sample the union without replacement, so their errors are those of
     a binomial, less the share of the union that is sampled."""
-    limit, used = NUMERATOR / DENOMINATOR, np.maximum(used, 1)
+    limit, used = float(similarity), np.maximum(used, 1)
     rest = np.clip(1 - used * (1 + limit) / np.maximum(n + m, 1), 0, 1)
     return near >= limit - SIGMAS * np.sqrt(limit * (1 - limit) / used * rest) - 1.5 / used
 
 
-def _fits(n: str, m: str):
+def _fits(n: str, m: str, limit: Fraction):
     """Sets of these sizes can be as similar as asked."""
-    return F.least(n, m) * DENOMINATOR >= F.greatest(n, m) * NUMERATOR
+    return F.least(n, m) * limit.denominator >= F.greatest(n, m) * limit.numerator
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, nodes: DataFrame, limit: Fraction) -> DataFrame:
     """The pairs (a, b) whose estimated similarity isn't far below the limit."""
     import pyarrow as pa
 
@@ -122,7 +132,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint16).reshape(b.num_rows, -1) for c in ("ra", "rb"))
             sizes = b.column("na").to_numpy(), b.column("nb").to_numpy()
-            keep = _close(*estimate(x, y, *sizes), *sizes)
+            keep = _close(*estimate(x, y, *sizes), *sizes, limit)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     one = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
@@ -130,7 +140,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(work, "a long, b long")
 
 
-def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, block: int, limit: Fraction) -> DataFrame:
     """Pairs (a, b) of a bucket's members (key, band, node, label, shingles) that have different labels and may be linked.
 
     All links are among them, and hardly anything else. ``shingles``: of all members together. ``band`` is null in buckets
@@ -138,6 +148,8 @@ def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, block: int) -
     """
     import pyarrow as pa
 
+    width = band_rows(limit)
+
     def compare(table):
         node, n, label, part = (table[c].to_numpy() for c in ("node", "n", "label", "part"))
         band = table["band"][0].as_py()
@@ -146,18 +158,18 @@ def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, block: int) -
         regs = np.frombuffer(b"".join(table["regs"].to_pylist()), dtype=np.uint16).reshape(len(node), -1)[order]
         cut = [np.frombuffer(v.as_buffer(), dtype=_width(s)) for v, s in zip(table["members"], n.tolist(), strict=True)]
         node, n, label, part = node[order], n[order], label[order], part[order]
-        stop = np.searchsorted(n * NUMERATOR, n * DENOMINATOR, side="right")
+        stop = np.searchsorted(n * limit.numerator, n * limit.denominator, side="right")
         found = []
         for i in range(len(node)):
             j = np.arange(i + 1, stop[i])
             j = j[(label[j] != label[i]) & (node[j] != node[i]) & ((part[j] != part[i]) | (not cross))]
             if j.size:
-                j = j[_close(*estimate(regs[i][None, :], regs[j], n[i], n[j]), n[i], n[j])]
+                j = j[_close(*estimate(regs[i][None, :], regs[j], n[i], n[j]), n[i], n[j], limit)]
             if j.size and band is not None:  # a pair belongs to the first bucket that it shares
-                same = regs[i].reshape(1, -1, ROWS) == regs[j].reshape(len(j), -1, ROWS)
-                shared = same.all(axis=2) & (regs[i].reshape(1, -1, ROWS) != EMPTY).any(axis=2)
+                same = regs[i].reshape(1, -1, width) == regs[j].reshape(len(j), -1, width)
+                shared = same.all(axis=2) & (regs[i].reshape(1, -1, width) != EMPTY).any(axis=2)
                 j = j[shared.argmax(axis=1) == band]
-            found += [(min(node[i], node[k]), max(node[i], node[k])) for k in j.tolist() if _enough(_most_common(cut[order[i]], cut[order[k]], n[i], n[k]), n[i], n[k])]
+            found += [(min(node[i], node[k]), max(node[i], node[k])) for k in j.tolist() if _enough(_most_common(cut[order[i]], cut[order[k]], n[i], n[k]), n[i], n[k], limit)]
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     blocks = F.ceil(F.col("shingles") / block).cast("int")
@@ -171,12 +183,12 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
 
 
-def _enough(common: int, n: int, m: int) -> bool:
-    return DENOMINATOR * common >= NUMERATOR * (n + m - common)
+def _enough(common: int, n: int, m: int, limit: Fraction) -> bool:
+    return limit.denominator * common >= limit.numerator * (n + m - common)
 
 
-def _alike(x: np.ndarray, y: np.ndarray) -> bool:
-    return _enough(_common(x, y), len(x), len(y))
+def _alike(x: np.ndarray, y: np.ndarray, limit: Fraction) -> bool:
+    return _enough(_common(x, y), len(x), len(y), limit)
 
 
 def _width(n: int) -> type:
@@ -216,13 +228,13 @@ def _sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame, form=lambda s: s)
     return store(texts.mapInArrow(members, "node long, members binary").dropDuplicates(["node"]))
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, limit: Fraction) -> DataFrame:
     """The pairs whose full sets are as similar as asked."""
     import pyarrow as pa
 
     def decide(batches):
         for b in batches:
-            keep = [_alike(*(np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in xy)) for xy in zip(b.column("ma"), b.column("mb"), strict=True)]
+            keep = [_alike(*(np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in xy), limit) for xy in zip(b.column("ma"), b.column("mb"), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     sets = _sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), nodes, docs)
@@ -251,14 +263,14 @@ def components(links: DataFrame) -> DataFrame:
         return keep(stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct()))
 
 
-def _to_pivots(labelled: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def _to_pivots(labelled: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, limit: Fraction) -> DataFrame:
     """Links (a, b) between a bucket's members and the one of them that round ``k`` picks, where labels differ."""
     each = F.struct(F.xxhash64("node", "key", F.lit(k)), "node", "n", "label")
     pivots = labelled.groupBy("key").agg(F.min(each).alias("p"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
     pivots = store(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("m"), F.col("p.label").alias("other")))
-    pairs = labelled.join(pivots, "key").filter((F.col("label") != F.col("other")) & _fits("n", "m"))
+    pairs = labelled.join(pivots, "key").filter((F.col("label") != F.col("other")) & _fits("n", "m", limit))
     pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    return _linked(store(_likely(pairs, nodes)), nodes, docs)
+    return _linked(store(_likely(pairs, nodes, limit)), nodes, docs, limit)
 
 
 def _meeting(labelled: DataFrame, bucketed: DataFrame, crowded: int) -> DataFrame:
@@ -274,15 +286,17 @@ def _meeting(labelled: DataFrame, bucketed: DataFrame, crowded: int) -> DataFram
         split.join(counts, "key").select("key", "band", "node", "label", "shingles")))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, block: int = BLOCK, crowded: int = CROWDED) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = GROUPED,
+                rounds: int = ROUNDS, block: int = BLOCK, crowded: int = CROWDED) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) of every row.
 
     Words are runs of other characters than ASCII white space, A-Z lower-cased; a set has the different runs of five words, or
-    all words as one if there are fewer. Two texts are linked if their sets' Jaccard similarity is at least 0.85. A text that is
+    all words as one if there are fewer. Two texts are linked if their sets' Jaccard similarity is at least ``similarity``. A text that is
     null or has no word has an empty set and is linked with nothing: it is its own component. A component's id is its
     smallest doc_id (an integer). Rows that repeat an id count each with their own text; null ids are larger than any other, and
     a component with null ids only has the id null and keeps all its rows. Other columns are ignored; no rows give no rows.
     """
+    limit = Fraction(str(similarity))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     with temporary(docs.sparkSession) as keep:
         known = keep(sketch(rows))
@@ -291,7 +305,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         with temporary(docs.sparkSession) as hold:
             nodes = hold(positions(classes, F.col("first_id").asc_nulls_last(), F.col("set_id")).withColumnRenamed("at", "node"))
         with temporary(docs.sparkSession) as hold:
-            bands = store(_bands(nodes))
+            bands = store(_bands(nodes, band_rows(limit)))
             shared = bands.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).filter("members > 1")
             # only buckets of two and more matter from here on
             bucketed = hold(bands.join(store(shared), "key"))
@@ -300,7 +314,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         labelled = bucketed.withColumn("label", F.col("node"))
         for k in range(rounds):
             with temporary(docs.sparkSession) as hold:
-                more = hold(_to_pivots(labelled, nodes, rows, k))
+                more = hold(_to_pivots(labelled, nodes, rows, k, limit))
             if more.isEmpty():
                 break
             links = more if links is None else links.unionByName(more)
@@ -308,8 +322,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             labelled = store(bucketed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
         with temporary(docs.sparkSession) as hold:
             meeting = _meeting(labelled, bucketed, crowded)
-            pairs = store(_across(meeting, nodes, _sets(meeting.select("node").distinct(), nodes, rows, _cut), block))
-            more = hold(_linked(pairs, nodes, rows))
+            pairs = store(_across(meeting, nodes, _sets(meeting.select("node").distinct(), nodes, rows, _cut), block, limit))
+            more = hold(_linked(pairs, nodes, rows, limit))
         if labels is None or not more.isEmpty():
             labels = components(more if links is None else links.unionByName(more))
 
@@ -321,7 +335,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = REMOVED) -> DataFrame:
     """One document of each component, with all its columns. Rows without an id can't be named and stay."""
-    gone = near_groups(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("gone_")).distinct()
+    gone = near_groups(docs, id_col, text_col, similarity).filter("NOT kept").select(F.col("doc_id").alias("gone_")).distinct()
     return docs.join(gone, docs[f"`{id_col}`"] == gone["gone_"], "left_anti")

@@ -86,7 +86,7 @@ def op8(spark, sf_dir):
 
 @query("op9_near_dedup")
 def op9(spark, sf_dir):
-    return near_groups(documents(spark, sf_dir))
+    return near_groups(documents(spark, sf_dir), similarity=0.85)
 
 
 @query("op10_url_filter", judge_sql())

@@ -2,11 +2,12 @@
 
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
 
-from tarn.llm.near_dedup import estimate, near_groups, registers
+from tarn.llm.near_dedup import band_rows, estimate, keep_one, near_groups, registers
 from tarn.llm.shingles import shingle_sets
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -61,6 +62,53 @@ def test_same_groups_as_brute_force(spark, how):
     assert sorted((tuple(r) for r in near_groups(df, **how).collect()), key=str) == brute(rows)
 
 
+def at_limit(rnd, n, edits):
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    other = list(words)
+    for k in range(edits):
+        other[10 + 10 * k] = f"edit{k}"
+    return " ".join(words), " ".join(other)
+
+
+def brute_labels(texts, limit):
+    sets = [{tuple(t.split()[k:k + 5]) for k in range(max(len(t.split()) - 4, 1))} for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= limit * len(sets[i] | sets[j]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("limit", [0.5, 0.8, 0.85, 0.95])
+def test_the_similarity_asked_for_decides(spark, limit):
+    rnd = random.Random(8)
+    texts = [t for n in (60, 200, 400) for edits in range(1, 6) for t in at_limit(rnd, n, edits)]
+    # 94 runs, two times five of them changed: 84 / 104 = 0.8077, between the pipeline's limit and that of op9_near_dedup
+    texts += at_limit(rnd, 98, 2)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.component_id for r in near_groups(df, similarity=limit).collect()}
+    assert [found[i] for i in range(len(texts))] == brute_labels(texts, limit)
+    kept = {r.doc_id for r in keep_one(df, similarity=limit).collect()}
+    assert kept == set(brute_labels(texts, limit))
+
+
+def test_stage_removes_pairs_between_the_limits(spark):
+    import corpus_pipeline
+
+    a, b = at_limit(random.Random(8), 98, 2)
+    df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.without_near_copies(spark, df, "").collect()] == [1]
+    assert {r.component_id for r in near_groups(df, similarity=0.85).collect()} == {1, 2}
+
+
+def test_bands_find_nearly_all_pairs_at_the_limit():
+    assert [band_rows(Fraction(x)) for x in ("0.95", "0.85", "0.8", "0.5", "0.2")] == [4, 4, 4, 2, 1]
+    with pytest.raises(ValueError):
+        band_rows(Fraction("0.05"))
+
+
 def test_no_rows(spark):
     assert near_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
