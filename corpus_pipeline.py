@@ -1,7 +1,8 @@
 """A corpus from raw documents: language ID, exact dedup, near-dedup, source mix, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's ``docs``.
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents``. Stages decide about rows, not ids: every row that they read gets a number
+of its own, so repeated ids and null ids are rows like any other.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import exact_dedup, language, mixing, near_dedup, packing
+from tarn.llm.common import keyed
 from tarn.session import store
 
 #: Least posterior of the predicted language.
@@ -19,32 +21,27 @@ SIMILARITY = 0.8
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language: texts without a letter, or with no language more likely than all others together, go.
-
-    Rows without an id can't be told apart and stay.
-    """
-    found = language.identify(docs)
-    gone = found.filter((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < CONFIDENCE)).select(F.col("doc_id").alias("gone_"))
-    return docs.join(gone, docs["doc_id"] == gone["gone_"], "left_anti")
+    """Documents with a recognised language: texts without a letter, or with no language more likely than all others together, go."""
+    rows, key = keyed(docs)
+    gone = language.identify(rows, key_col=key).filter((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < CONFIDENCE)).select(key)
+    return rows.join(gone, key, "left_anti").drop(key)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest id."""
+    """Of equal texts, the row with the largest id (null is the smallest)."""
     return exact_dedup.keep_one(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the row with the smallest id."""
+    """Of each group of near-duplicates, the row with the smallest id (null is the largest)."""
     return near_dedup.keep_one(docs, similarity=SIMILARITY)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; rows without an id or without words are not taken."""
-    taken = mixing.mix(docs).filter("copies > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("taken_"), "copies")
-    # rows that share an id share their copies
-    taken = store(taken.groupBy("taken_").agg(F.max("copies").alias("copies_")))
-    chosen = docs.join(taken, docs["doc_id"] == taken["taken_"])
-    return chosen.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies_")))).select(*[f"`{c}`" for c in docs.columns])
+    """Documents as often as the mix takes them; rows without words are not taken."""
+    rows, key = keyed(docs)
+    taken = mixing.mix(rows, key_col=key).filter("copies > 0").select(key, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return rows.join(store(taken.select(key)), key).drop(key)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,26 @@ def positions(df: DataFrame, *order: Column) -> DataFrame:
             .withColumn("at", F.col("at") + F.col("shift_")).drop("part_", "shift_"))
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs``, stored, with a number of its own for every row, and the name of that column, which no other column has."""
+    key = "row_"
+    while key in map(str.lower, docs.columns):
+        key += "_"
+    return store(docs.withColumn(key, F.monotonically_increasing_id())), key
+
+
+def one_of_each(rows: DataFrame, key: str, id_col: str, groups: DataFrame, largest: bool) -> DataFrame:
+    """``rows`` without ``key``, and of each group (``groups``: key, group; rows without one stay) only one row.
+
+    That is the row with the largest id, null being smaller than any other, or with the smallest, null being larger.
+    """
+    ids = groups.join(rows.select(key, F.col(f"`{id_col}`").alias("id")), key)
+    best = F.max_by(key, F.struct("id", key)) if largest else F.min_by(key, F.struct(F.isnull("id"), "id", key))
+    chosen = ids.groupBy("group").agg(best.alias(key)).select(key)
+    gone = store(groups.select(key).join(chosen, key, "left_anti"))
+    return rows.join(gone, key, "left_anti").drop(key)
+
+
 def block_edges(rows: DataFrame, block_bytes: int) -> np.ndarray:
     """Ids that cut ``rows`` (doc_id, text) into ranges of about ``block_bytes``; only these reach the driver.
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tarn.session import store
 
-from .common import ascii_lower
+from .common import ascii_lower, keyed, one_of_each
 
 
 def _normalised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -70,6 +70,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Rows without an id can't be named and stay."""
-    gone = exact_groups(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("gone_"))
-    return docs.join(gone, docs[f"`{id_col}`"] == gone["gone_"], "left_anti")
+    """One row of each group of equal texts, with all its columns.
+
+    It is the row with the largest id, null being smaller than any other; of rows with equal ids, any. Rows are told apart by
+    themselves, not by their ids: of a repeated id's rows with different texts, each belongs to its own group.
+    """
+    rows, key = keyed(docs)
+    groups = exact_groups(rows, key, text_col).filter("group_size > 1").select(F.col("doc_id").alias(key), F.col("keep_id").alias("group"))
+    return one_of_each(rows, key, id_col, groups, largest=True)

@@ -225,15 +225,19 @@ def learn(docs: DataFrame, path: str, sample: int = SAMPLE) -> tuple[list[str],
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-             path: str | None = None, sample: int = SAMPLE) -> DataFrame:
+             path: str | None = None, sample: int = SAMPLE, key_col: str | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred and score (the posterior of lang_pred with equal priors) of every row.
 
+    ``key_col``: a column of whole numbers to hand on as well, which tells rows apart whose ids don't.
+
     The prediction looks at the whole text alone. A text that is null or has no letter is ``und`` with score 0, as are all if
     there is nothing to learn from. Equally likely languages: the first by code point. Repeated rows are judged each by
     itself; other columns are ignored; no rows give no rows.
     """
     path = path or vocabulary()
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"),
+                       *([F.col(f"`{key_col}`").alias("key")] if key_col else []))
+    kept = ["doc_id", "held_out", *(["key"] if key_col else [])]
     rows = rows.withColumn("held_out", held_out(F.col("doc_id")))
     model = docs.sparkSession.sparkContext.broadcast(learn(rows.filter("NOT held_out"), path, sample))
     key = uuid.uuid4().hex  # workers serve more than one query
@@ -253,8 +257,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 score[some] = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
                 for i, b in zip(some, best.tolist(), strict=True):
                     pred[i] = langs[b]
-            yield f[["doc_id", "held_out"]].assign(lang_pred=pred, score=score)
+            yield f[kept].assign(lang_pred=pred, score=score)
 
-    named = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "held_out", "text")
+    named = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "held_out", *kept[2:], "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return named.mapInPandas(predict, "doc_id string, held_out boolean, lang_pred string, score double").withColumn("doc_id", F.col("doc_id").cast(kind))
+    found = named.mapInPandas(predict, f"doc_id string, held_out boolean, {'key long, ' if key_col else ''}lang_pred string, score double")
+    return found.withColumn("doc_id", F.col("doc_id").cast(kind)).withColumnsRenamed({"key": key_col} if key_col else {})

@@ -104,16 +104,18 @@ def copies(rated: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+        weights=WEIGHTS, share: float = SHARE, most: int = MOST, key_col: str | None = None) -> DataFrame:
     """What the mix takes of every row: doc_id, size, source_size, target, copies, taken (= copies * size).
 
     A text's size is its number of words; null, empty and blank texts have size 0 and are not taken. A null source is a source. Rows
     that repeat an id each count. Documents of one source and size are dealt their copies by id, evenly; of equal ids, in
-    any order. Other columns are ignored. An empty table gives an empty result; if all sizes are 0, all targets are.
+    any order, or in that of ``key_col``, a column to hand on as well. Other columns are ignored. An empty table gives an empty result; if all sizes are 0, all targets are.
     """
     sized = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"),
-                        F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    placed = store(positions(sized, F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("doc_id").asc()))
+                        F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+                        *([F.col(f"`{key_col}`").alias("key")] if key_col else []))
+    key = sized.columns[3:]
+    placed = store(positions(sized, F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("doc_id").asc(), *key))
     groups = store(placed.groupBy("source", "size").agg(F.count("*").alias("n"), F.min("at").alias("start")))
     sources = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goals = store(targets(sources, weights, share, most))
@@ -122,4 +124,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     upto = lambda r: F.call_function("div", r * m, n)
     own = upto(rank + 1) - upto(rank)
     joined = placed.join(dealt, F.col("source").eqNullSafe(F.col("source_")) & (F.col("size") == F.col("size_")))
-    return joined.select("doc_id", "size", "source_size", "target", own.alias("copies"), (own * F.col("size")).alias("taken"))
+    return joined.select("doc_id", "size", "source_size", "target", own.alias("copies"), (own * F.col("size")).alias("taken"), *[F.col(c).alias(key_col) for c in key])

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tarn.session import store, temporary
 
-from .common import ascii_lower, positions
+from .common import ascii_lower, keyed, one_of_each, positions
 from .shingles import arrow_bytes, mix, shingle_sets
 
 BUCKETS, MANTISSA = 128, 10
@@ -336,6 +336,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = REMOVED) -> DataFrame:
-    """One document of each component, with all its columns. Rows without an id can't be named and stay."""
-    gone = near_groups(docs, id_col, text_col, similarity).filter("NOT kept").select(F.col("doc_id").alias("gone_")).distinct()
-    return docs.join(gone, docs[f"`{id_col}`"] == gone["gone_"], "left_anti")
+    """One row of each component, with all its columns.
+
+    It is the row with the smallest id, null being larger than any other; of rows with equal ids, any. Rows are told apart by
+    themselves, not by their ids: of a repeated id's rows with different texts, each belongs to its own component.
+    """
+    rows, key = keyed(docs)
+    groups = near_groups(rows, key, text_col, similarity).select(F.col("doc_id").alias(key), F.col("component_id").alias("group"))
+    return one_of_each(rows, key, id_col, groups, largest=False)
