@@ -46,7 +46,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes: see ``tarn.llm.packing.pack``."""
-    return packing.pack(docs)
+    return packing.pack(docs, added=packing.added_tokens())
 
 
 STAGES = [

@@ -11,6 +11,7 @@ the corpus' size. All rows are then placed from their rank alone, in the partiti
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 
 import numpy as np
@@ -29,36 +30,50 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def added_tokens(path: str | None = None) -> dict[str, int]:
+    """The added tokens of a tokenizer's JSON file, by default that of the default vocabulary: strings that are one id wherever
+    they stand, whatever is around them."""
+    import public_tokenizers
+
+    with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    for t in tokens:
+        if t["single_word"] or t["lstrip"] or t["rstrip"]:
+            raise ValueError(f"added token with a condition: {t['content']!r}")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 _ENCODERS: dict = {}
 
 
-def encoder(path: str, pattern: str):
-    """The byte-level BPE of a rank file; strings of special tokens are ordinary text."""
-    if (path, pattern) not in _ENCODERS:
+def encoder(path: str, pattern: str, added: dict[str, int] | None = None):
+    """The byte-level BPE of a rank file. Strings of ``added`` are cut out first and get their ids; all else is ordinary text."""
+    key = path, pattern, *sorted((added or {}).items())
+    if key not in _ENCODERS:
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _ENCODERS[path, pattern] = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[path, pattern]
+        _ENCODERS[key] = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added or {})
+    return _ENCODERS[key]
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text",
-           vocab: tuple[str, str] | None = None, keep_ids: bool = False) -> DataFrame:
+           vocab: tuple[str, str] | None = None, keep_ids: bool = False, added: dict[str, int] | None = None) -> DataFrame:
     """Token pieces of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (binary, uint32).
 
-    A text gets the id 0 at its end. Longer ones are cut so that all pieces but the first are full.
+    ``added``: see ``encoder``; without it, no string is more than its text. A text gets the id 0 at its end. Longer ones are cut so that all pieces but the first are full.
     """
     path, pattern = vocab or vocabulary()
 
     def cut(frames):
         import pandas as pd
 
-        encode = encoder(path, pattern).encode_ordinary
+        encoding = encoder(path, pattern, added)
         for f in frames:
             out = []
             for doc, text in zip(f["doc_id"].tolist(), f["text"].tolist(), strict=True):
-                ids = np.array([*encode(text or ""), END], dtype="<u4")
+                ids = np.array([*encoding.encode(text or "", allowed_special="all"), END], dtype="<u4")
                 first = len(ids) % capacity or capacity
                 for k, start in enumerate([0, *range(first, len(ids), capacity)]):
                     data = ids[start:start + (capacity if k else first)].tobytes()
@@ -112,13 +127,13 @@ def supersteps(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text",
-         vocab: tuple[str, str] | None = None, keep_ids: bool = False) -> DataFrame:
+         vocab: tuple[str, str] | None = None, keep_ids: bool = False, added: dict[str, int] | None = None) -> DataFrame:
     """Every piece of every document with its sequence_id and offset there.
 
     Null texts count as empty; an empty text is the single id 0. Rows that repeat an id are documents of their own. Ties in length
     are placed by id (null first) and piece. Other columns are ignored. No rows give no sequences.
     """
-    placed = positions(pieces(docs, capacity, id_col, text_col, vocab, keep_ids), F.col("length").desc(), F.col("doc_id"), F.col("piece"))
+    placed = positions(pieces(docs, capacity, id_col, text_col, vocab, keep_ids, added), F.col("length").desc(), F.col("doc_id"), F.col("piece"))
     counts = {r["length"]: r["n"] for r in placed.groupBy("length").agg(F.count("*").alias("n")).collect()}
     steps = placed.sparkSession.sparkContext.broadcast(supersteps(counts, capacity))
 

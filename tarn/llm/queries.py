@@ -12,7 +12,7 @@ from .language import identify
 from .licences import scan, scan_sql
 from .mixing import mix
 from .near_dedup import near_groups
-from .packing import pack
+from .packing import added_tokens, pack
 from .suffix_dedup import remove_repeats
 from .url_filter import judge, judge_sql
 from .warc import round_trip
@@ -61,7 +61,7 @@ def op3(spark, sf_dir):
 
 @query("op4_best_fit_packing")
 def op4(spark, sf_dir):
-    return pack(documents(spark, sf_dir))
+    return pack(documents(spark, sf_dir), added=added_tokens())
 
 
 @query("op5_source_mix")

@@ -128,6 +128,31 @@ def test_pack(spark):
     assert packing.pack(df.limit(0)).collect() == []
 
 
+def test_packed_ids_are_those_of_tokenizers_at_its_default(spark, tmp_path):
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tarn.llm.queries import QUERIES
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert tok.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    rnd = random.Random(6)
+    parts = ["alpha", " Beta!", "<|endoftext|>", "<|endoftext|", "|>", "  ", "\n", "ñandú", "日本", "<", "'s", "7", "\u0301", "<|ENDOFTEXT|>", "\u00a0"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "", None, *("".join(rnd.choices(parts, k=rnd.randint(1, 30))) for _ in range(300))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {k: [*tok.encode(t or "", add_special_tokens=False).ids, 0] for k, t in enumerate(texts)}
+    sums = {k: (len(v), zlib.crc32(np.array(v, dtype="<u4").tobytes())) for k, v in want.items()}
+    for found in (QUERIES["op4_best_fit_packing"](spark, str(tmp_path)), corpus_pipeline.packed(spark, df, "")):
+        assert {r.doc_id: (r.length, r.ids_crc32) for r in found.collect()} == sums
+    pieces = packing.pieces(df, capacity=7, keep_ids=True, added=packing.added_tokens()).collect()
+    got = {k: [] for k in want}
+    for r in sorted(pieces, key=lambda r: r.start):
+        got[r.doc_id] += np.frombuffer(bytes(r.ids), dtype="<u4").tolist()
+    assert got == want
+
+
 def test_supersteps_are_best_fit_decreasing():
     rnd = random.Random(5)
     for _ in range(50):
