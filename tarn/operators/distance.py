@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, store
 from .pairs import pair_sums, per_item
 
+GRID_AXES = 3  # coordinates that a grid has at most; the others are only compared
+
 
 def _distance(pairs: DataFrame, d: Column) -> DataFrame:
     return pairs.select("i", "j", d.alias("d"))
@@ -19,7 +21,29 @@ def symmetric(d: DataFrame) -> DataFrame:
     return d.select(F.explode(both).alias("p"), "d").select("p.i", "p.j", "d")
 
 
-def euclidean(points: DataFrame, key: str, coords: list[str]) -> DataFrame:
+def _neighbours(points: DataFrame, key: str, coords: list[str], within: float) -> DataFrame:
+    """Pairs at most ``within`` apart: points meet in the cells of a grid and in the neighbouring ones."""
+    src = store(points.select(F.col(f"`{key}`").alias("i"), F.array(*[F.col(f"`{c}`").cast("double") for c in coords]).alias("x")))
+    src = src.filter(F.forall("x", lambda v: F.abs(v) < float("inf")))
+    top = src.agg(F.max(F.array_max(F.transform("x", F.abs)))).first()[0]
+    # a little wider than asked for, and no more cells than a double tells apart: rounding moves no pair two cells away
+    width = max(within * (1 + 1e-6), (top or 0.0) * 1e-9) or 1.0
+    axes = range(min(len(coords), GRID_AXES))
+    steps = F.array(*[F.lit(float(s)) for s in (-1, 0, 1)])
+    placed = src.select("i", "x", *[F.floor(F.col("x")[a] / width).cast("double").alias(f"c{a}") for a in axes])
+    others = placed.select(F.col("i").alias("j"), F.col("x").alias("y"), *[f"c{a}" for a in axes])
+    for a in axes:
+        others = others.withColumn("s", F.explode(steps)).withColumn(f"c{a}", F.col(f"c{a}") + F.col("s")).drop("s")
+    squares = F.zip_with("x", "y", lambda u, v: (u - v) * (u - v))
+    met = placed.join(others, [f"c{a}" for a in axes]).filter("i < j")
+    return _distance(met, F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v))).filter(F.col("d") <= within)
+
+
+def euclidean(points: DataFrame, key: str, coords: list[str], within: float | None = None) -> DataFrame:
+    """Distances of all pairs or, with ``within``, of the pairs at most that far apart; the others are not built then, and
+    points with a missing or infinite coordinate are near none."""
+    if within is not None:
+        return _neighbours(points, key, coords, within)
     cells = points.select(key, *[F.col(c).cast("double") for c in coords]).unpivot(key, coords, "__axis", "__x")
     return _distance(pair_sums(cells, key, "__axis", "__x", "sqdiff"), F.sqrt("s"))
 

@@ -289,6 +289,50 @@ def breusch_pagan_by(residuals: DataFrame, by: list[str]) -> DataFrame:
     return stat.withColumn("p", tails.p_column("chi2", "statistic", F.lit(1.0)))
 
 
+def _nested_rows(rows: DataFrame, y: str, names: list[str], small: list[str], extra, by: list[str]) -> DataFrame:
+    """``by``, df1, df2, f and p of the test that adds ``extra(kept)`` to ``small``, from one Gram row of ``names`` per group.
+
+    ``kept``: the columns of ``small`` that the group can tell apart. A group without a test (an infinite value, too few rows,
+    nothing added) has NULLs.
+    """
+    def solve(batches):
+        for pdf in batches:
+            out, at = [], {c: i for i, c in enumerate(pdf.columns)}
+            for r in pdf.itertuples(index=False, name=None):
+                g = unpack(names, r[at["n"]], r[at["mean"]], r[at["m"]])
+                found = (None, None, None, None)
+                if np.all(np.isfinite(g.m)):
+                    a = fit_gram(g, y, small)
+                    b = fit_gram(g, y, [*small, *extra(a.names)])
+                    df1, df2 = b.df_model - a.df_model, b.df_residual
+                    if df1 > 0 and df2 > 0:
+                        f = (a.rss - b.rss) / df1 / (b.rss / df2) if b.rss > 0 else math.inf if a.rss > 0 else math.nan
+                        found = (df1, df2, f, tails.f_upper(f, df1, df2))
+                out.append((*[r[at[c]] for c in by], *found))
+            yield pd.DataFrame(out, columns=[*by, "df1", "df2", "f", "p"])
+
+    keys = [f"`{b}` {rows.schema[b].dataType.simpleString()}" for b in by]
+    return rows.mapInPandas(solve, ", ".join([*keys, "df1 int", "df2 int", "f double", "p double"]))
+
+
+def anova_nested_by(df: DataFrame, y: Term, small: list[Term], large: list[Term], by: list[str]) -> DataFrame:
+    """:func:`anova_nested` for every group, on the cases complete in ``large``: one pass and one shuffle of Gram rows."""
+    few, many = list(columns_of(small)), list(columns_of(large))
+    if not set(few) < set(many):
+        raise ValueError("the models are not nested")
+    added = [n for n in many if n not in few]
+    rows = gram_rows(df, {**columns_of([y]), **columns_of(large)}, by)
+    return _nested_rows(rows, y.name, [y.name, *many], few, lambda kept: added, by)
+
+
+def reset_test_by(df: DataFrame, y: Term, terms: list[Term], by: list[str], powers=(2, 3)) -> DataFrame:
+    """:func:`reset_test` for every group, from one pass and one shuffle of Gram rows."""
+    plain = columns_of(terms)
+    raised = {f"{n}^{k}": c ** k for k in powers for n, c in plain.items()}
+    rows = gram_rows(df, {**columns_of([y]), **plain, **raised}, by)
+    return _nested_rows(rows, y.name, [y.name, *plain, *raised], list(plain), lambda kept: [f"{n}^{k}" for k in powers for n in kept], by)
+
+
 def corr_matrix(df: DataFrame, terms: list[Term]) -> DataFrame:
     """Correlation and slope of y on x for every pair of columns, on the rows complete in all of them."""
     g = gram(df, columns_of(terms))
@@ -336,14 +380,14 @@ def partial_residuals(model: Model, df: DataFrame, keep: list[str]) -> DataFrame
     return res.select(*keep, F.explode(F.array(*items)).alias("e")).select(*keep, "e.term", "e.x", "e.partial")
 
 
-def qq_points(df: DataFrame, value: str) -> DataFrame:
-    """Sample value against normal quantile of (rank - a)/(n + 1 - 2a), a = 3/8 up to ten values, else 1/2.
+def qq_points(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
+    """Per group: sample value against normal quantile of (rank - a)/(n + 1 - 2a), a = 3/8 up to ten values, else 1/2.
 
     Equal values come as one row with ``cnt`` and their mean rank's quantile; no global sort.
     """
     a = F.when(F.col("n") <= 10, 0.375).otherwise(0.5)
-    return avg_rank(df, value).select(
-        F.col(value).alias("sample"), "cnt",
+    return avg_rank(df, value, by).select(
+        *[F.col(f"`{b}`") for b in by], F.col(value).alias("sample"), "cnt",
         tails.normal_quantile((F.col("rank") - a) / (F.col("n") + 1 - 2 * a)).alias("theoretical"))
 
 

@@ -242,6 +242,32 @@ def test_models_per_group(df, spark):
     assert L.breusch_pagan_by(res, ["g"]).count() == 3
 
 
+def test_nested_f_reset_and_qq_per_group(df, spark):
+    rows = df.select("k", "y", "x1", "x2", "x3", "g").collect()
+    rows = [tuple(r) for r in rows] + [(r[0], *r[1:5], None) for r in rows if r[5] == "a"]
+    rows += [(900 + i, float(i), 1.0 + i, float("inf"), 2.0, "inf") for i in range(9)] + [(950 + i, float(i), 1.0, 2.0, 3.0 * i, "few") for i in range(2)]
+    # x2 repeats x1 in this group
+    rows += [(970 + i, float(Y[i]), float(X[i, 0]), float(X[i, 0]), float(X[i, 2]), "same") for i in range(20)]
+    data = spark.createDataFrame(rows, COLS)
+    nested = {r["g"]: r for r in L.anova_nested_by(data, G.var("y"), TERMS[:1], TERMS, ["g"]).collect()}
+    reset = {r["g"]: r for r in L.reset_test_by(data, G.var("y"), TERMS, ["g"]).collect()}
+    assert set(nested) == set(reset) == {"a", "b", "c", None, "inf", "few", "same"}
+    for k in ("a", "b", "c", "same"):
+        own = data.filter(F.col("g") == k)
+        big = L.ols(own, G.var("y"), TERMS)
+        for mine, single in ((nested[k], L.anova_nested(L.refit(big, TERMS[:1]), big)), (reset[k], L.reset_test(big, own))):
+            assert all(mine[c] == pytest.approx(single[c], rel=1e-7) for c in ("df1", "df2", "f", "p"))
+    x = X[GROUP == "a"]
+    small, large = dense_fit(Y[GROUP == "a"], x)[2], dense_fit(Y[GROUP == "a"], np.column_stack([x, x ** 2, x ** 3]))[2]
+    assert reset["a"]["f"] == pytest.approx((small - large) / 6 / (large / (20 - 10)))
+    assert nested[None]["f"] == pytest.approx(nested["a"]["f"]) and nested["same"]["df1"] == 1
+    assert all(t[k][c] is None for t in (nested, reset) for k in ("inf", "few") for c in ("df1", "df2", "f", "p"))
+    with pytest.raises(ValueError):
+        L.anova_nested_by(data, G.var("y"), TERMS[:2], TERMS[1:], ["g"])
+    points = sorted((r["sample"], r["theoretical"]) for r in L.qq_points(data, "y", ["g"]).filter("g = 'b'").collect())
+    assert points == sorted((r["sample"], r["theoretical"]) for r in L.qq_points(data.filter("g = 'b'"), "y").collect())
+
+
 def test_glm_score_equations(spark):
     x = np.linspace(0.5, 4, 40)
     y = np.exp(0.3 + 0.8 * np.log(x)) + RNG.normal(size=40) * 0.05

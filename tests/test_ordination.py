@@ -43,6 +43,21 @@ def test_euclidean_and_distance_of_distances(dist):
     assert np.allclose(dd, np.sqrt(((d[:, None] - d[None]) ** 2).sum(-1)))
 
 
+@pytest.mark.parametrize("coords", ["a", "ab", "abcd"])
+@pytest.mark.parametrize("within", [0.0, 0.25, 1.0])
+def test_pairs_within_a_distance(spark, coords, within):
+    rng = np.random.default_rng(7)
+    x = np.vstack([rng.uniform(-3, 3, (150, 4)), rng.integers(-4, 4, (150, 4)) / 4, [[1e7, 0, 0, 0], [1e7 + 0.25, 0, 0, 0]]])
+    rows = [(f"p{i:03d}", *map(float, p)) for i, p in enumerate(x)] + [("q1", None, 0.0, 0.0, 0.0), ("q2", float("inf"), 0.0, 0.0, 0.0), ("q3", float("nan"), 0.0, 0.0, 0.0)]
+    pts = spark.createDataFrame(rows, "id string, a double, b double, c double, d double")
+    d = np.sqrt(((x[:, None, :len(coords)] - x[None, :, :len(coords)]) ** 2).sum(-1))
+    want = {(f"p{i:03d}", f"p{j:03d}"): d[i, j] for i, j in zip(*np.nonzero(np.triu(d <= within, 1)))}
+    got = D.euclidean(pts, "id", list(coords), within=within)
+    found = got.collect()
+    assert len(found) == len(want) and {(r["i"], r["j"]): r["d"] for r in found} == pytest.approx(want)
+    assert "CartesianProduct" not in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
 def test_double_center_matches_dense(dist):
     got = np.zeros((14, 14))
     for r in O.double_center(dist).collect():
