@@ -2,7 +2,8 @@
 
 A hash of the last seven bytes rolls over the text; where it hits the block size, a chunk ends. Every chunk gives one of 64
 characters, so an edit changes the characters near it and leaves the others. A fingerprint has the signatures at a block
-size, which follows from the text's length, and at its double; two fingerprints are compared by the edit distance of
+size and at its double. The size follows from the text's length and is halved while the signature has less than half of the
+characters aimed at; two fingerprints are compared by the edit distance of
 their signatures at a block size that both have.
 """
 
@@ -27,8 +28,8 @@ _CODES = np.full(256, LONGEST, dtype=np.uint8)
 _CODES[np.frombuffer(ALPHABET.encode(), dtype=np.uint8)] = np.arange(64)
 
 
-def _triggers(data: bytes, size: int) -> np.ndarray:
-    """Rolling hashes that hit ``size``: (position after the byte, whether it also hits the double)."""
+def _triggers(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rolling hashes that hit ``size``: position after the byte, hash. Those that hit the double are among them."""
     hits = []
     for at in range(0, len(data), SCAN):
         from_ = max(0, at - 6)
@@ -39,8 +40,17 @@ def _triggers(data: bytes, size: int) -> np.ndarray:
         r = ((v + np.uint64(1)) * _MIX) >> np.uint64(33)
         i = np.flatnonzero(r % np.uint64(size) == size - 1)
         i = i[i >= at - from_]
-        hits.append(np.stack([i + from_ + 1, r[i] % np.uint64(2 * size) == 2 * size - 1]))
-    return np.concatenate(hits, axis=1) if hits else np.zeros((2, 0), dtype=np.int64)
+        hits.append((i + from_ + 1, r[i]))
+    return tuple(map(np.concatenate, zip(*hits, strict=True))) if hits else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64))
+
+
+def _hits(hashes: np.ndarray, size: int) -> np.ndarray:
+    return hashes % np.uint64(size) == size - 1
+
+
+def _short(ends: np.ndarray, length: int) -> bool:
+    """Whether a signature of these chunks has less than half of the characters aimed at."""
+    return len(ends) + (not len(ends) or ends[-1] < length) < AIM // 2
 
 
 def _signature(data: bytes, ends: np.ndarray, longest: int) -> str:
@@ -54,8 +64,14 @@ def fingerprint(text: str | None) -> str:
     size = SMALLEST
     while size * AIM < len(data):
         size *= 2
-    ends, double = _triggers(data, size)
-    return f"{size}:{_signature(data, ends, LONGEST)}:{_signature(data, ends[double.astype(bool)], LONGEST)}"
+    ends, hashes = _triggers(data, size)
+    if size > SMALLEST and _short(ends, len(data)):
+        all_ends, all_hashes = _triggers(data, SMALLEST)
+        while size > SMALLEST and _short(ends, len(data)):
+            size //= 2
+            hit = _hits(all_hashes, size)
+            ends, hashes = all_ends[hit], all_hashes[hit]
+    return f"{size}:{_signature(data, ends, LONGEST)}:{_signature(data, ends[_hits(hashes, 2 * size)], LONGEST)}"
 
 
 def edit_distances(pairs: list[tuple[str, str]]) -> np.ndarray:

@@ -97,6 +97,26 @@ def test_fingerprints_tell_edits_from_strangers():
     assert fingerprint.likeness(near).min() > 0.8 and fingerprint.likeness(far).max() < 0.2
 
 
+def test_block_sizes_are_halved_until_signatures_are_long():
+    rnd = random.Random(9)
+    some = lambda n: "".join(rnd.choice("abcdefghijklmnop \n") for _ in range(n))
+    for _ in range(30):  # 50 different windows in 5000 bytes: most have no trigger at the first block size, 192
+        assert len(fingerprint.fingerprint((some(49) + "\n") * 100).split(":")[1]) >= fingerprint.AIM // 2
+    for n in (1, 20, 100, 143, 145, 1000, 5000, 40_000):
+        for text in (some(n), "x" * n, (some(9) * n)[:n]):
+            size, one, two = fingerprint.fingerprint(text).split(":")
+            assert int(size) == fingerprint.SMALLEST or len(one) >= fingerprint.AIM // 2
+            # the definition, window by window
+            data, size = text.encode(), int(size)
+            for of, got in ((size, one), (2 * size, two)):
+                ends = []
+                for k in range(n):
+                    v = int.from_bytes(data[max(0, k - 6):k + 1], "big")
+                    if (((v + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 33) % of == of - 1:
+                        ends.append(k + 1)
+                assert len(got) == min(len(ends), 63) + (n > (ends[:63] or [0])[-1])
+
+
 # ---- packing
 
 def test_pack(spark):
