@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .divergence import AUDIT_SQL, audit
 from .exact_dedup import exact_groups
 from .fingerprint import edited_fingerprints
 from .language import identify
@@ -16,6 +17,7 @@ from .packing import added_tokens, pack
 from .suffix_dedup import remove_repeats
 from .url_filter import judge, judge_sql
 from .warc import round_trip
+from .whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +94,13 @@ def op9(spark, sf_dir):
 @query("op10_url_filter", judge_sql())
 def op10(spark, sf_dir):
     return judge(pages(spark, sf_dir)).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op11_source_divergence", AUDIT_SQL)
+def op11(spark, sf_dir):
+    return audit(documents(spark, sf_dir))
+
+
+@query("op12_embedding_whitening")
+def op12(spark, sf_dir):
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
