@@ -15,6 +15,7 @@ from .mixing import mix
 from .near_dedup import near_groups
 from .packing import added_tokens, pack
 from .suffix_dedup import remove_repeats
+from .tiers import pack_tiers
 from .url_filter import judge, judge_sql
 from .warc import round_trip
 from .whitening import whiten
@@ -104,3 +105,8 @@ def op11(spark, sf_dir):
 @query("op12_embedding_whitening")
 def op12(spark, sf_dir):
     return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op13_tiered_packing")
+def op13(spark, sf_dir):
+    return pack_tiers(documents(spark, sf_dir), added=added_tokens())
