@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..session import cut_lineage, store
 from .pairs import pair_sums, per_item
 
 GRID_AXES = 3  # coordinates that a grid has at most; the others are only compared
+GATHERED = 50_000  # places up to which the driver keeps their components; those of more stay in Spark
+CROWDED = 256  # different points in a cell beyond which a search starts with smaller cells
 
 
 def _distance(pairs: DataFrame, d: Column) -> DataFrame:
@@ -123,3 +127,116 @@ def mst_threshold(d: DataFrame) -> float:
 def truncate(d: DataFrame, threshold: float) -> DataFrame:
     """Distances above the threshold become four times the threshold."""
     return d.withColumn("d", F.when(F.col("d") > threshold, F.lit(4 * threshold)).otherwise(F.col("d")))
+
+
+# --- the spanning tree without all pairs ----------------------------------------------------------
+
+
+def _cells(width: float, axes: int, point: str = "x") -> list[Column]:
+    return [F.floor(F.col(point)[a] / width).cast("double").alias(f"c{a}") for a in range(axes)]
+
+
+def _ways_out(points: DataFrame, radius: float, axes: int) -> DataFrame:
+    """``(c, to, d)``: of every component of ``points`` (id, x, c), the shortest way to a point of another one, if there is one
+    of at most ``radius``.
+
+    Points look into the cells around theirs and meet only the other components' points there: pairs within a component are never made.
+    """
+    width = radius * (1 + 1e-6)
+    placed = points.select("id", "x", "c", *_cells(width, axes))
+    at = [f"c{a}" for a in range(axes)]
+    there = placed.select(*at, F.col("c").alias("to")).distinct()
+    looking = placed
+    for c in at:
+        looking = looking.withColumn("s_", F.explode(F.array(*[F.lit(float(s)) for s in (-1, 0, 1)]))).withColumn(c, F.col(c) + F.col("s_")).drop("s_")
+    others = placed.select(F.col("id").alias("j"), F.col("x").alias("y"), F.col("c").alias("to"), *at)
+    met = looking.join(there, at).filter(F.col("c") != F.col("to")).join(others, [*at, "to"])
+    squares = F.zip_with("x", "y", lambda u, v: (u - v) * (u - v))
+    d = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v))
+    edge = F.struct(d.alias("d"), F.least("id", "j").alias("i"), F.greatest("id", "j").alias("j"), "to")
+    best = met.select("c", edge.alias("e")).filter(F.col("e.d") <= radius).groupBy("c").agg(F.min("e").alias("e"))
+    return best.select("c", F.col("e.to").alias("to"), F.col("e.d").alias("d"))
+
+
+def _merged(picks: DataFrame) -> DataFrame:
+    """``(c, p)``: the component that every picking one becomes part of, by pointer jumping, two jumps between checkpoints."""
+    back = picks.select(F.col("c").alias("to"), F.col("to").alias("back_"))
+    mutual = F.coalesce(F.col("back_") == F.col("c"), F.lit(False)) & (F.col("c") < F.col("to"))
+    parent = cut_lineage(picks.join(back, "to", "left").select("c", F.when(mutual, F.col("c")).otherwise(F.col("to")).alias("p")))
+    while True:
+        hop = lambda t: t.select(F.col("c").alias("p"), F.col("p").alias("pp_"))
+        jump = lambda t: t.join(hop(t), "p", "left").select("c", F.coalesce("pp_", "p").alias("p"))
+        once = jump(parent)
+        twice = cut_lineage(jump(once))
+        moved = not twice.join(parent.withColumnRenamed("p", "was_"), "c").filter("p <> was_").isEmpty()
+        parent = twice
+        if not moved:
+            return parent
+
+
+def spanning_threshold(points: DataFrame, key: str, coords: list[str], gathered: int = GATHERED) -> float:
+    """Longest edge of the points' minimum spanning tree, from neighbours on a grid instead of all pairs.
+
+    Boruvka rounds run on the pairs of different components that are at most a radius apart; when none is left, the radius doubles. A
+    shortest way out that is known is an edge of the tree whatever lies farther away. Points at one place are one node. The
+    first radius makes cells with few points each. The components of up to ``gathered`` places are kept on the driver, which saves
+    jobs; the result is the same. A missing or infinite coordinate is an error; fewer than two places give 0.
+    """
+    src = points.select(F.array(*[F.col(f"`{c}`").cast("double") for c in coords]).alias("x"))
+    # a coordinate of -0.0 is one of 0.0
+    src = store(store(src.select(F.transform("x", lambda v: v + F.lit(0.0)).alias("x")).distinct()).withColumn("id", F.monotonically_increasing_id()))
+    if not src.filter(F.coalesce(~F.forall("x", lambda v: F.abs(v) < float("inf")), F.lit(True))).isEmpty():
+        raise ValueError(f"a {key} has no place")
+    n, axes = src.count(), min(len(coords), GRID_AXES)
+    if n < 2:
+        return 0.0
+    box = src.agg(*[F.max(F.col("x")[a]) - F.min(F.col("x")[a]) for a in range(len(coords))]).first()
+    span = max(box)
+    radius = span * (max(1.0, math.log(n)) / n) ** (1 / axes)
+    for _ in range(30):
+        fullest = src.groupBy(*_cells(radius, axes)).count().agg(F.max("count")).first()[0]
+        if fullest <= CROWDED or radius < span * 1e-9:
+            break
+        radius /= 4
+    labelled, parts, longest = src.withColumn("c", F.col("id")), n, 0.0
+    label = {r["id"]: r["id"] for r in src.select("id").collect()} if n <= gathered else None
+    while parts > 1:
+        picks = _ways_out(labelled, radius, axes)
+        picks = picks.collect() if label else cut_lineage(picks)
+        far = max((r.d for r in picks), default=None) if label else picks.agg(F.max("d")).first()[0]
+        if far is None:
+            radius *= 2
+            continue
+        longest = max(longest, far)
+        if label:
+            label = _relabelled(label, [(r.c, r.to) for r in picks])
+            parts = len(set(label.values()))
+            labelled = src.join(F.broadcast(src.sparkSession.createDataFrame(list(label.items()), "id long, c long")), "id")
+        else:
+            labelled = cut_lineage(labelled.join(_merged(picks), "c", "left").select("id", "x", F.coalesce("p", "c").alias("c")))
+            parts = labelled.select("c").distinct().count()
+    return float(longest)
+
+
+def _relabelled(label: dict[int, int], links: list[tuple[int, int]]) -> dict[int, int]:
+    """Components after the links between them, each named by one of its own."""
+    up: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while c in up:
+            up[c] = up.get(up[c], up[c])
+            c = up[c]
+        return c
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    return {k: top(c) for k, c in label.items()}
+
+
+def near_within_tree(points: DataFrame, key: str, coords: list[str]) -> tuple[DataFrame, float]:
+    """The pairs ``(i, j, d)`` at most as far apart as the longest edge of the spanning tree, and that length. All other
+    distances count as four times it in the spatial step, so they need no rows."""
+    threshold = spanning_threshold(points, key, coords)
+    return euclidean(points, key, coords, within=threshold), threshold

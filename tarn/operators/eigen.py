@@ -64,6 +64,19 @@ def stored_apply(upper: DataFrame, rows: int) -> Callable[[DataFrame, list[str]]
     return apply
 
 
+def factored_apply(cells: DataFrame, rows: int) -> Callable[[DataFrame, list[str]], DataFrame]:
+    """``V -> Y Y'V`` for a matrix of cells ``(id, key, y)``, unique per id and key: down to the keys and back up to the items.
+
+    Work is in proportion to the cells; no pair of items is made. ``cells`` should be stored.
+    """
+
+    def apply(v: DataFrame, cols: list[str]) -> DataFrame:
+        down = cells.join(per_item(v.select("id", *cols), rows), "id").groupBy("key").agg(*[F.expr(f"sum(y * `{c}`)").alias(c) for c in cols])
+        return cells.join(down, "key").groupBy("id").agg(*[F.expr(f"sum(y * `{c}`)").alias(c) for c in cols])
+
+    return apply
+
+
 def _orthonormal(m: np.ndarray, floor: float) -> np.ndarray:
     """Weights that make vectors with inner products ``m`` orthonormal; directions below ``floor`` vanish."""
     val, vec = np.linalg.eigh((m + m.T) / 2)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.compat import as_col, is_present
 from ..functions.text import percent_label
-from ..session import cut_lineage
-from .eigen import mix, stored_apply, symmetric_apply, top_eigen
+from ..session import cut_lineage, store
+from .eigen import factored_apply, mix, stored_apply, symmetric_apply, top_eigen
 from .blocks import block_cross
 from .gram import WIDE, Gram, Term, columns_of, gram
 from .linmod import adj_r2, independent
@@ -128,6 +128,41 @@ def dpcoa(d: DataFrame, weights: DataFrame, k: int = 2) -> Ordination:
     return Ordination(values, trace, vectors.join(w, "id").select("id", *cols))
 
 
+def _cells_of(cells: DataFrame, item: str, key: str, value: str) -> DataFrame:
+    return store(cells.select(F.col(item).alias("id"), F.col(key).alias("key"), F.col(value).cast("double").alias("y")).filter("y <> 0"))
+
+
+def pcoa_cells(cells: DataFrame, item: str, key: str, value: str, k: int = 2) -> Ordination:
+    """Principal coordinates of the Euclidean distances between the items' cells (absent ones are zero), without any distance.
+
+    Gower's matrix is YY' without the row and column means, so Lanczos steps multiply by the cells twice. Items need a cell, if
+    only of value zero.
+    """
+    ids = cut_lineage(cells.select(F.col(item).alias("id")).distinct())
+    n, y = ids.count(), _cells_of(cells, item, key, value)
+    values, vectors = top_eigen(factored_apply(y, n), ids.withColumn("deflate", F.lit(n**-0.5)), k)
+    per_key = y.groupBy("key").agg(F.sum("y").alias("s"), F.sum(F.col("y") ** 2).alias("ss"))
+    trace = per_key.agg(F.sum(F.col("ss") - F.col("s") ** 2 / n)).first()[0] or 0.0
+    cols = [(F.col(f"v{i + 1}") * F.lit(float(np.sqrt(max(x, 0.0))))).alias(f"axis{i + 1}") for i, x in enumerate(values)]
+    return Ordination(values, trace, vectors.select("id", *cols))
+
+
+def dpcoa_cells(proportions: DataFrame, weights: DataFrame, k: int = 2) -> Ordination:
+    """Double principal coordinates from branch proportions ``(sample_id, branch, length, p)`` and ``(id, w)``, as of ``dpcoa`` but
+    without distances: the cells are the proportions times the root of the branch length."""
+    y = _cells_of(proportions.withColumn("y", F.sqrt("length") * F.col("p")), "sample_id", "branch", "y")
+    total = weights.agg(F.sum("w")).first()[0]
+    w = cut_lineage(weights.select("id", (F.col("w") / total).alias("w")))
+    n = w.count()
+    joined = y.join(per_item(w, n), "id")
+    scaled = store(joined.select("id", "key", (F.col("y") * F.sqrt("w")).alias("y")))
+    values, vectors = top_eigen(factored_apply(scaled, n), w.select("id", F.sqrt("w").alias("deflate")), k)
+    per_key = joined.groupBy("key").agg(F.sum(F.col("w") * F.col("y")).alias("s"), F.sum(F.col("w") * F.col("y") ** 2).alias("ss"))
+    trace = per_key.agg(F.sum(F.col("ss") - F.col("s") ** 2)).first()[0]
+    cols = [(F.col(f"v{i + 1}") * F.lit(float(np.sqrt(max(x, 0.0)))) / F.sqrt("w")).alias(f"axis{i + 1}") for i, x in enumerate(values)]
+    return Ordination(values, trace, vectors.join(w, "id").select("id", *cols))
+
+
 def spatial_vector(truncated: DataFrame, k: int = 2) -> Ordination:
     """Scaled principal components of the truncated distance matrix, its columns being the variables.
 
@@ -141,9 +176,36 @@ def spatial_vector(truncated: DataFrame, k: int = 2) -> Ordination:
     stats = cut_lineage(sums.select(
         "id", (F.col("s") / n).alias("mu"),
         F.sqrt((F.col("ss") - F.col("s") ** 2 / n) / (n - 1)).alias("sd")))
+    return _scaled_components(stats, stored_apply(t, n), n, k)
+
+
+def spatial_vector_near(sites: DataFrame, near: DataFrame, far: float, k: int = 2) -> Ordination:
+    """``spatial_vector`` of the matrix that holds ``near``'s distances ``(i, j, d)`` and ``far`` for all other pairs of ``sites`` (id).
+
+    The matrix is the constant ``far`` off the diagonal plus what the near pairs differ from it: the first is one sum per column, the
+    second sparse. Nothing grows with the square of the sites.
+    """
+    ids = cut_lineage(sites.select("id"))
+    n, far = ids.count(), float(far)
+    t = cut_lineage(near.select("i", "j", (F.col("d") - far).alias("g")))
+    ends = t.select(F.explode(F.array("i", "j")).alias("id"), "g").groupBy("id").agg(F.sum("g").alias("s"), F.sum(F.col("g") * (F.col("g") + 2 * far)).alias("ss"))
+    sums = ids.join(ends, "id", "left").select("id", *[(F.coalesce(c, F.lit(0.0)) + v * (n - 1)).alias(c) for c, v in (("s", far), ("ss", far**2))])
+    stats = cut_lineage(sums.select("id", (F.col("s") / n).alias("mu"), F.sqrt((F.col("ss") - F.col("s") ** 2 / n) / (n - 1)).alias("sd")))
+    sparse = stored_apply(t, n)
+
+    def apply(v: DataFrame, cols: list[str]) -> DataFrame:
+        total = v.agg(*[F.sum(c).alias(c) for c in cols]).first()
+        image = sparse(v, cols).select("id", *[F.col(c).alias(f"near_{c}") for c in cols])
+        return v.join(image, "id", "left").select(
+            "id", *[(F.coalesce(f"near_{c}", F.lit(0.0)) + far * (F.lit(float(total[c])) - F.col(c))).alias(c) for c in cols])
+
+    return _scaled_components(stats, apply, n, k)
+
+
+def _scaled_components(stats: DataFrame, a, n: int, k: int) -> Ordination:
+    """Leading components of the standardised columns of a symmetric matrix that ``a`` applies; ``stats`` is ``(id, mu, sd)``."""
     if not stats.filter(F.coalesce(F.col("sd") <= 0, F.lit(True)) | F.isnan("sd")).isEmpty():
         raise ValueError("a site has the same distance to all sites")
-    a = stored_apply(t, n)
     scaling = per_item(stats, n)
 
     def apply(v: DataFrame, cols: list[str]) -> DataFrame:
@@ -175,8 +237,15 @@ class Space:
     s: np.ndarray
     t: np.ndarray
     trace: float
-    pairs: DataFrame
+    pairs: DataFrame | None
     design: DataFrame
+    #: the cells ``(id, key, y)`` whose Euclidean distances are meant, where no pairs are
+    cells: DataFrame | None = None
+
+    def image(self, u: DataFrame, cols: list[str]) -> DataFrame:
+        """G times centred vectors, but for a constant per column."""
+        apply = symmetric_apply(self.pairs, rows=self.n) if self.cells is None else factored_apply(self.cells, self.n)
+        return apply(u, cols)
 
     def columns(self, names: list[str]) -> list[int]:
         """Positions of the design columns of the named terms that are not aliased with earlier ones."""
@@ -205,7 +274,39 @@ def constrained_space(d: DataFrame, env: DataFrame, terms: list[Term], key: str
     """Join distances and environment on the complete samples and reduce them to p x p matrices."""
     cols = columns_of(terms)
     d = cut_lineage(d)
-    ids = item_ids(d)
+    table, g, kept = _centred_design(item_ids(d), env, cols, key)
+    only = per_item(table.select("id"), g.n)
+    pairs = half_squares(d, sqrt_dist)
+    pairs = pairs.join(only.withColumnRenamed("id", "i"), "i", "left_semi").join(only.withColumnRenamed("id", "j"), "j", "left_semi")
+    pairs = cut_lineage(pairs)
+    trace = -2 * pairs.agg(F.sum("g")).first()[0] / g.n
+    return Space(_live(terms, kept), kept, g.n, g.block(kept, kept), cross_gower(pairs, table, kept, g.n), trace, pairs, table)
+
+
+def constrained_space_cells(cells: DataFrame, item: str, key: str, value: str, env: DataFrame, terms: list[Term], env_key: str = "id") -> Space:
+    """``constrained_space`` of the Euclidean distances between the items' cells, without any distance.
+
+    With X centred, X'GX is the sum over keys of the squares of X'y: one grouped sum of p numbers per key, then one of p(p+1)/2.
+    Items need a cell, if only of value zero.
+    """
+    cols = columns_of(terms)
+    ids = cut_lineage(cells.select(F.col(item).alias("id")).distinct())
+    table, g, kept = _centred_design(ids, env, cols, env_key)
+    y = _cells_of(cells, item, key, value)
+    y = store(y.join(per_item(table.select("id"), g.n), "id", "left_semi"))
+    down = y.join(per_item(table, g.n), "id").groupBy("key").agg(
+        F.sum("y").alias("s"), F.sum(F.col("y") ** 2).alias("ss"), *[F.sum(F.col("y") * F.col(f"`{n}`")).alias(f"x{k}") for k, n in enumerate(kept)])
+    idx = [(a, b) for a in range(len(kept)) for b in range(a, len(kept))]
+    sums = ", ".join(["sum(ss - s * s / %d)" % g.n, *[f"sum(x{a} * x{b})" for a, b in idx]])
+    row = down.agg(F.expr(f"array({sums})").alias("t")).first()["t"]
+    t = np.zeros((len(kept), len(kept)))
+    for (a, b), v in zip(idx, row[1:]):
+        t[a, b] = t[b, a] = v or 0.0
+    return Space(_live(terms, kept), kept, g.n, g.block(kept, kept), t, row[0] or 0.0, None, table, y)
+
+
+def _centred_design(ids: DataFrame, env: DataFrame, cols: dict[str, Column], key: str) -> tuple[DataFrame, Gram, list[str]]:
+    """Centred design ``(id, x...)`` of the complete samples among ``ids``, its Gram, and the columns that are not aliased."""
     src = env.select(F.col(key).alias("id"), *[c.cast("double").alias(n) for n, c in cols.items()])
     for n in cols:
         src = src.filter(is_present(f"`{n}`"))
@@ -216,15 +317,12 @@ def constrained_space(d: DataFrame, env: DataFrame, terms: list[Term], key: str
     # an aliased column adds nothing to any model that holds the earlier ones
     kept = independent(g, list(cols))
     centre = [(F.col(f"`{n}`") - F.lit(float(g.mean[g.names.index(n)]))).alias(n) for n in kept]
-    table = cut_lineage(src.select("id", *centre))
-    only = per_item(table.select("id"), g.n)
-    pairs = half_squares(d, sqrt_dist)
-    pairs = pairs.join(only.withColumnRenamed("id", "i"), "i", "left_semi").join(only.withColumnRenamed("id", "j"), "j", "left_semi")
-    pairs = cut_lineage(pairs)
-    trace = -2 * pairs.agg(F.sum("g")).first()[0] / g.n
+    return cut_lineage(src.select("id", *centre)), g, kept
+
+
+def _live(terms: list[Term], kept: list[str]) -> list[Term]:
     live = [Term(t.name, tuple(c for c in t.columns if c[0] in kept), t.parts) for t in terms]
-    live = [t for t in live if t.columns]
-    return Space(live, kept, g.n, g.block(kept, kept), cross_gower(pairs, table, kept, g.n), trace, pairs, table)
+    return [t for t in live if t.columns]
 
 
 def _explained(s: np.ndarray, t: np.ndarray) -> float:
@@ -306,9 +404,19 @@ def dbrda(space: Space, terms: list[str], condition: list[str] = ()) -> Constrai
 def vif(space: Space, terms: list[str] | None = None) -> dict[str, float]:
     """Variance inflation: the diagonal of the inverse correlation matrix."""
     x = space.columns(terms or [t.name for t in space.terms])
-    s = space.s[np.ix_(x, x)]
+    return _inflation([space.names[i] for i in x], space.s[np.ix_(x, x)])
+
+
+def vif_of(df: DataFrame, terms: list[Term]) -> dict[str, float]:
+    """``vif`` of the terms' columns on the complete rows of ``df``: a number of the design alone, from one Gram."""
+    g = gram(df, columns_of(terms))
+    kept = independent(g, g.names)
+    return _inflation(kept, g.block(kept, kept))
+
+
+def _inflation(names: list[str], s: np.ndarray) -> dict[str, float]:
     d = np.sqrt(np.diag(s))
-    return dict(zip([space.names[i] for i in x], np.diag(np.linalg.inv(s / np.outer(d, d))).tolist()))
+    return dict(zip(names, np.diag(np.linalg.inv(s / np.outer(d, d))).tolist()))
 
 
 def varpart(space: Space, first: list[str], second: list[str]) -> dict[str, float]:
@@ -367,6 +475,6 @@ def site_scores(model: Constrained, k: int = 2) -> DataFrame:
     k = min(k, len(model.x))
     cols = [f"cap{i + 1}" for i in range(k)]
     u = cut_lineage(constraint_scores(model, k))
-    image = _subtract_means(symmetric_apply(model.space.pairs, rows=model.space.n)(u, cols), cols)
+    image = _subtract_means(model.space.image(u, cols), cols)
     const = model.space.trace ** 0.25
     return image.select("id", *[(F.col(c) * F.lit(const / float(v))).alias(c) for c, v in zip(cols, model.eigenvalues)])

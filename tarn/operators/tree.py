@@ -3,12 +3,23 @@ or a NULL parent."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..session import cut_lineage
+from ..session import cut_lineage, store
+from .pairs import per_item
+from .prefix import running
 
 MAX_ROUNDS = 40
+#: Tip positions whose cells meet in one task.
+SLICE = 1 << 16
+CELLS_PER_TASK = 1_000_000
+ROOT = -1  # stands above all roots
 
 
 def tree_closure(edges: DataFrame) -> DataFrame:
@@ -46,3 +57,156 @@ def branch_proportions(counts: DataFrame, closure: DataFrame) -> DataFrame:
         .agg(F.sum("count").alias("__c"), F.first("length").alias("length"))
     )
     return below.join(totals, "sample_id").select("sample_id", "branch", "length", (F.col("__c") / F.col("__t")).alias("p"))
+
+
+# --- tips in a row, branches as intervals ---------------------------------------------------------
+
+
+def _rank_list(links: DataFrame) -> DataFrame:
+    """``(e, s)``: the sum of the weights from each element to the end of its list ``(e, next, s)``, by pointer doubling."""
+    links = cut_lineage(links)
+    open_ = links.filter("next IS NOT NULL").count()
+    for _ in range(2 * MAX_ROUNDS):
+        if not open_:
+            return links.select("e", "s")
+        onward = links.select(F.col("e").alias("next"), F.col("next").alias("next_"), F.col("s").alias("s_"))
+        links = cut_lineage(links.join(onward, "next", "left").select("e", F.col("next_").alias("next"), (F.col("s") + F.coalesce("s_", F.lit(0))).alias("s")))
+        left = links.filter("next IS NOT NULL").count()
+        if left == open_:
+            break
+        open_ = left
+    raise ValueError("the edges hold a cycle")
+
+
+def _tour(core: DataFrame) -> DataFrame:
+    """``(id, start, size)`` of a tree ``(id, pid, w)`` below ROOT: weights before a node and in its subtree, by an Euler tour.
+
+    The tour goes down and up every edge; each step knows the next one, so it is a linked list whose ranks are the sums.
+    """
+    core = store(core)
+    placed = store(running(core.filter(F.col("id") != ROOT), "w", "pid", "id").select("id", "pid", "at"))
+    down, up = lambda c: 2 * F.col(c), lambda c: 2 * F.col(c) + 1
+    child = placed.filter("at = 0").select(F.col("pid").alias("id"), F.col("id").alias("child"))
+    sibling = placed.select("pid", (F.col("at") - 1).alias("at"), F.col("id").alias("sibling"))
+    steps = core.join(child, "id", "left").select(down("id").alias("e"), F.coalesce(down("child"), up("id")).alias("next"), F.col("w").alias("s"))
+    back = placed.join(sibling, ["pid", "at"], "left").select(up("id").alias("e"), F.coalesce(down("sibling"), up("pid")).alias("next"), F.lit(0).cast("long").alias("s"))
+    end = core.filter(F.col("id") == ROOT).select(up("id").alias("e"), F.lit(None).cast("long").alias("next"), F.lit(0).cast("long").alias("s"))
+    ranked = _rank_list(steps.unionByName(back).unionByName(end))
+    total = ranked.agg(F.max("s")).first()[0] or 0
+    half = lambda side, name: ranked.filter(F.pmod("e", F.lit(2)) == side).select(F.floor(F.col("e") / 2).alias("id"), F.col("s").alias(name))
+    return half(0, "d").join(half(1, "u"), "id").select("id", (F.lit(total) - F.col("d")).alias("start"), (F.col("d") - F.col("u")).alias("size"))
+
+
+def tree_intervals(edges: DataFrame) -> DataFrame:
+    """``(node, parent, length, is_tip, first, tips)``: the tips in a row, so that those below any node stand at ``first`` and the
+    ``tips - 1`` places after it. Stored.
+
+    Leaves are raked into their parents while they are at least a quarter of what is left (three rounds for three ranks); what is left
+    then, such as long chains, is numbered by an Euler tour, in rounds by the logarithm of its size. Nothing grows with the depth.
+    """
+    rows = store(store(edges.select("node", "parent", F.col("length").cast("double").alias("length"), "is_tip")).withColumn("id", F.monotonically_increasing_id()))
+    above = rows.select(F.col("node").alias("parent"), F.col("id").alias("pid"))
+    own = F.col("is_tip").cast("long")
+    root = rows.sparkSession.createDataFrame([(ROOT, None, 0)], "id long, pid long, w long")
+    live = store(rows.join(above, "parent", "left").select("id", F.coalesce("pid", F.lit(ROOT)).alias("pid"), F.coalesce(own, F.lit(0)).alias("w")).unionByName(root))
+    raked, left = [], live.count()
+    while left > 1:
+        leaves = store(live.filter(F.col("id") != ROOT).join(live.select(F.col("pid").alias("id")).distinct(), "id", "left_anti"))
+        gone = leaves.count()
+        if 4 * gone < left:
+            break
+        base = live.select(F.col("id").alias("pid"), F.col("w").alias("base"))
+        raked.append(store(running(leaves, "w", "pid", "id").join(base, "pid").select("id", "pid", (F.col("base") + F.col("before")).alias("offset"), F.col("w").alias("size"))))
+        more = leaves.groupBy(F.col("pid").alias("id")).agg(F.sum("w").alias("more"))
+        live = store(live.join(leaves.select("id"), "id", "left_anti").join(more, "id", "left").select("id", "pid", (F.col("w") + F.coalesce("more", F.lit(0))).alias("w")))
+        left -= gone
+    done = store(_tour(live)) if left > 1 else live.select("id", F.lit(0).cast("long").alias("start"), F.col("w").alias("size"))
+    for level in reversed(raked):
+        at = done.select(F.col("id").alias("pid"), "start")
+        done = store(done.unionByName(level.join(at, "pid").select("id", (F.col("start") + F.col("offset")).alias("start"), "size")))
+    return store(rows.join(done, "id").select("node", "parent", "length", "is_tip", F.col("start").alias("first"), F.col("size").alias("tips")))
+
+
+def _slice_sums(cells: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
+    """Sums of samples' cells in intervals of positions: only those that hold a cell, and both ends of intervals that leave the slice.
+
+    ``cells`` is ``sample, pos, c, n`` with one row ``pos = -1`` for what a sample holds in earlier slices; ``spans`` is ``first, tips,
+    side`` with side 0 for an interval within the slice, -1 for its begin and 1 for its end.
+    """
+    code, samples = pd.factorize(cells["sample"], sort=True)
+    pos, c, n = cells["pos"].to_numpy(np.int64), cells["c"].to_numpy(float), cells["n"].to_numpy(np.int64)
+    order = np.lexsort((pos, code))
+    code, pos, c, n = code[order].astype(np.int64), pos[order], c[order], n[order]
+    sums, count = np.concatenate([[0.0], np.cumsum(c)]), np.concatenate([[0], np.cumsum(n)])
+    starts = np.searchsorted(code, np.arange(len(samples)))
+    low = int(spans["first"].min()) if len(spans) else 0
+    width = int(max(pos.max(initial=0), (spans["first"] + spans["tips"]).max() if len(spans) else 0)) + 2 - low
+    keys = code * (width + 1) + np.where(pos < 0, 0, pos - low + 1)
+    found = []
+    inner = spans[spans["side"] == 0].sort_values(["first", "tips"], ascending=[True, False])
+    lo = inner["first"].to_numpy(np.int64)
+    hi = lo + inner["tips"].to_numpy(np.int64)
+    parent, innermost, stack = np.full(len(lo), -1), np.full(width, -1), []
+    for k, (a, z) in enumerate(zip(lo.tolist(), hi.tolist())):
+        while stack and hi[stack[-1]] <= a:
+            stack.pop()
+        parent[k] = stack[-1] if stack else -1
+        stack.append(k)
+        innermost[a - low:z - low] = k  # intervals nest and come outermost first
+    own = np.flatnonzero(pos >= 0)
+    before = np.where((own > 0) & (code[own - 1] == code[own]), pos[own - 1], -1)
+    at = innermost[pos[own] - low] if len(own) else own
+    while len(own):  # climb from each cell to the intervals that hold no earlier cell of the sample
+        keep = at >= 0
+        keep[keep] = lo[at[keep]] > before[keep]
+        own, before, at = own[keep], before[keep], at[keep]
+        end = np.searchsorted(keys, code[own] * (width + 1) + hi[at] - low + 1)
+        found.append(pd.DataFrame({"sample": samples[code[own]], "first": lo[at], "tips": hi[at] - lo[at], "c": sums[end] - sums[own], "n": count[end] - count[own]}))
+        at = parent[at]
+    for first, tips, side in spans[spans["side"] != 0].itertuples(index=False):
+        x = first if side < 0 else first + tips
+        end = np.searchsorted(keys, np.arange(len(samples)) * (width + 1) + x - low + 1)
+        found.append(pd.DataFrame({"sample": samples, "first": first, "tips": tips, "c": side * (sums[end] - sums[starts]), "n": side * (count[end] - count[starts])}))
+    return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"sample": samples[:0], "first": lo[:0], "tips": lo[:0], "c": sums[:0], "n": count[:0]})
+
+
+def branch_sums(counts: DataFrame, intervals: DataFrame, width: int = SLICE, cells_per_task: int = CELLS_PER_TASK) -> DataFrame:
+    """``(sample_id, branch, length, c)``: what a sample holds below every branch where it holds anything.
+
+    Cells are dealt by slices of tip positions. A branch is an interval: if it lies in one slice, its sum is a difference of the
+    sample's running sums there; else it is the difference of the running sums at its two ends, to which the slices before
+    theirs contribute one number per sample. No cell is copied along its way to the root. Branches over the same tips share their sums.
+    """
+    tips = intervals.filter("is_tip").select(F.col("node").alias("feature_id"), F.col("first").alias("pos"))
+    cells = store(counts.join(tips, "feature_id").select(
+        F.col("sample_id").alias("sample"), "pos", F.floor(F.col("pos") / width).cast("int").alias("slice"), F.col("count").cast("double").alias("c"), F.lit(1).cast("long").alias("n")))
+    branch = intervals.filter("parent IS NOT NULL AND tips > 0").select(F.col("node").alias("branch"), "length", "first", "tips")
+    spans = branch.select("first", "tips").distinct()
+    begin, end = F.floor(F.col("first") / width).cast("int"), F.floor((F.col("first") + F.col("tips") - 1) / width).cast("int")
+    row = cells.groupBy("slice").agg(F.count("*").alias("n")).agg(F.max("n"), F.max("slice")).first()
+    blocks, slices = max(1, math.ceil((row[0] or 0) / cells_per_task)), (row[1] or 0) + 1
+    one = F.lit(0).cast("int")
+    ends = spans.withColumn("e", F.when(begin == end, F.array(F.struct(begin.alias("slice"), one.alias("side")))).otherwise(
+        F.array(F.struct(begin.alias("slice"), (one - 1).alias("side")), F.struct(end.alias("slice"), (one + 1).alias("side")))))
+    ends = ends.select("first", "tips", F.inline("e")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    if slices > 1:
+        held = cells.groupBy("sample", "slice").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+        every = cells.select("sample").distinct().withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        so_far = Window.partitionBy("sample").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+        earlier = every.join(held, ["sample", "slice"], "left").select(
+            "sample", F.lit(-1).cast("long").alias("pos"), "slice", *[F.coalesce(F.sum(c).over(so_far), F.lit(0)).cast(t).alias(c) for c, t in (("c", "double"), ("n", "long"))])
+        cells = cells.unionByName(earlier)
+    kind = counts.schema["sample_id"].dataType.simpleString()
+    dealt = cells.withColumn("block", F.pmod(F.xxhash64("sample"), F.lit(blocks)).cast("int"))
+    parts = dealt.groupBy("slice", "block").cogroup(ends.groupBy("slice", "block")).applyInPandas(
+        lambda left, right: _slice_sums(left, right[["first", "tips", "side"]]), f"sample {kind}, first long, tips long, c double, n long")
+    if slices > 1:
+        parts = parts.groupBy("sample", "first", "tips").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).filter("n > 0")
+    return parts.join(branch, ["first", "tips"]).select(F.col("sample").alias("sample_id"), "branch", "length", "c")
+
+
+def interval_proportions(counts: DataFrame, intervals: DataFrame, width: int = SLICE) -> DataFrame:
+    """``(sample_id, branch, length, p)`` as of ``branch_proportions``, from intervals instead of a closure."""
+    totals = counts.groupBy("sample_id").agg(F.sum("count").alias("t"))
+    totals = store(totals)
+    return branch_sums(counts, intervals, width).join(per_item(totals, totals.count()), "sample_id").select("sample_id", "branch", "length", (F.col("c") / F.col("t")).alias("p"))
