@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.compat import clamp_low, r_ln
 from ..operators.community import Community
 from ..operators.distance import unifrac
-from ..operators.tree import branch_proportions, tree_closure
+from ..operators.tree import interval_proportions, tree_intervals
 from ..session import store
 
 
@@ -143,11 +143,6 @@ class Views:
         """The counts written once, for queries that read them more than once."""
         return store(self.counts)
 
-    @cached_property
-    def sparse_counts(self) -> DataFrame:
-        """The cells above 30 units, so that features miss in many samples."""
-        return self.stored_counts.filter(F.col("count") > 30)
-
     @cached_property
     def lineages(self) -> DataFrame:
         """``feature_id, lineage``: type;brand;name, the name missing for some parts."""
@@ -191,10 +186,24 @@ class Views:
     def community(self) -> Community:
         return Community(self.stored_counts, self.tax, self.tree, self.env)
 
+    @cached_property
+    def intervals(self) -> DataFrame:
+        """The tree with its tips in a row."""
+        return tree_intervals(self.tree)
+
+    @cached_property
+    def deep_tree(self) -> DataFrame:
+        """A tree as deep as there are parts: each inner node has the next one and a part below it."""
+        k, text = F.col("p_partkey"), lambda c: c.cast("string")
+        p = self.table("part").select(k)
+        inner = p.select(F.concat(F.lit("I"), text(k)).alias("node"), F.concat(F.lit("I"), text(k - 1)).alias("parent"), F.lit(1.0).alias("length"), F.lit(False).alias("is_tip"))
+        tips = p.select(F.concat(F.lit("P"), text(k)).alias("node"), F.concat(F.lit("I"), text(k)).alias("parent"), (k % 5).cast("double").alias("length"), F.lit(True).alias("is_tip"))
+        return inner.unionByName(tips)
+
     @cached_property
     def shares(self) -> DataFrame:
         """Branch proportions of every nation."""
-        return branch_proportions(self.stored_counts, tree_closure(self.tree))
+        return interval_proportions(self.stored_counts, self.intervals)
 
     @cached_property
     def wunifrac(self) -> DataFrame:
@@ -249,7 +258,6 @@ SQL_VIEWS: dict[str, str] = {
     "v_counts": """SELECT 'P' || CAST(l_partkey AS VARCHAR) AS feature_id, n_name AS sample_id, sum(l_quantity) AS "count"
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
         JOIN nation ON c_nationkey = n_nationkey GROUP BY l_partkey, n_name""",
-    "v_sparse": 'SELECT * FROM v_counts WHERE "count" > 30',
     "v_tax": """SELECT 'P' || CAST(p_partkey AS VARCHAR) AS feature_id, CASE WHEN p_size % 13 <> 0 THEN p_type END AS "Phylum",
         p_brand AS "Class", CASE WHEN p_size % 10 <> 0 THEN p_name END AS "Genus" FROM part""",
     "v_tree": """SELECT DISTINCT p_type AS node, 'root' AS parent, 2.0 AS length, false AS is_tip FROM part

@@ -10,7 +10,8 @@ from ..operators import ordination as O
 from ..operators import permute as P
 from ..operators.gram import full_factorial, var
 from ..operators.tables import freq_table
-from ..operators.tree import branch_proportions, tree_closure
+from ..operators.tree import interval_proportions, tree_closure, tree_intervals
+from .power import leading
 from .registry import check, query
 
 CELLS = 'feature_id sample_id "count"'
@@ -29,12 +30,12 @@ def _(v):
     return C.sum_by_sample(v.counts)
 
 
-PREVALENCE = """SELECT feature_id, count(*) AS "Prevalence", sum("count") AS "TotalAbundance" FROM v_sparse GROUP BY 1"""
+PREVALENCE = """SELECT feature_id, count(*) AS "Prevalence", sum("count") AS "TotalAbundance" FROM v_counts GROUP BY 1"""
 
 
 @query("a4_prevalence", check(f'SELECT p.*, "Phylum", "Class", "Genus" FROM ({PREVALENCE}) p LEFT JOIN v_tax USING (feature_id)', "TotalAbundance", 'feature_id "Prevalence" "Phylum" "Class" "Genus"'))
 def _(v):
-    return C.prevalence(v.sparse_counts, v.tax)
+    return C.prevalence(v.stored_counts, v.tax)
 
 
 @query("a5_sum_by_group", check("""SELECT "Phylum", sum("count") AS total FROM v_counts JOIN v_tax USING (feature_id) WHERE "Phylum" IS NOT NULL GROUP BY 1""", "total", '"Phylum"'))
@@ -45,7 +46,7 @@ def _(v):
 @query("a6_prevalence_by_phylum", check(f"""SELECT "Phylum", avg("Prevalence") AS mean_prevalence, CAST(sum("Prevalence") AS BIGINT) AS sum_prevalence
     FROM ({PREVALENCE}) LEFT JOIN v_tax USING (feature_id) GROUP BY 1""", "mean_prevalence", '"Phylum" sum_prevalence'))
 def _(v):
-    return C.prevalence_by(C.prevalence(v.sparse_counts, v.tax))
+    return C.prevalence_by(C.prevalence(v.stored_counts, v.tax))
 
 
 @query("a7_freq_table", check('SELECT "Phylum", count(*) AS n FROM v_tax GROUP BY 1', "", '"Phylum" n'))
@@ -158,7 +159,27 @@ def _(v):
 
 @query("d5_branch_proportions", check("SELECT * FROM v_share", "length p", "sample_id branch"))
 def _(v):
-    return branch_proportions(v.stored_counts, tree_closure(v.tree))
+    return v.shares
+
+
+# below the k-th inner node of the deep tree are all parts from k on
+DEEP = """WITH c AS (SELECT CAST(substr(feature_id, 2) AS BIGINT) AS k, sample_id, "count" AS x FROM v_counts), t AS (SELECT sample_id, sum(x) AS t FROM c GROUP BY 1),
+    s AS (SELECT k, sample_id, coalesce(x, 0) AS x, sum(coalesce(x, 0)) OVER (PARTITION BY sample_id ORDER BY k DESC) AS below
+      FROM (SELECT DISTINCT p_partkey AS k FROM part) CROSS JOIN t LEFT JOIN c USING (k, sample_id))
+    SELECT s.sample_id, 'I' || k AS branch, 1.0 AS length, below / t AS p FROM s JOIN t USING (sample_id) WHERE below > 0
+    UNION ALL SELECT s.sample_id, 'P' || k, k % 5, x / t FROM s JOIN t USING (sample_id) WHERE x > 0"""
+
+
+@query("d5_deep_tree", check(DEEP, "length p", "sample_id branch"))
+def _(v):
+    """Branch proportions of a tree with as many levels as parts."""
+    return interval_proportions(v.stored_counts, tree_intervals(v.deep_tree))
+
+
+@query("d4_tips_below", check("""SELECT branch AS node, length, count(*) AS tips FROM v_closure GROUP BY 1, 2""", "length", "node tips"))
+def _(v):
+    """How many tips stand below every branch."""
+    return v.intervals.select("node", "length", "tips")
 
 
 @query("d6_unifrac_weighted", check("SELECT * FROM v_wuf", "d", "i j"))
@@ -166,7 +187,7 @@ def _(v):
     return v.wunifrac
 
 
-PRESENT = "(SELECT sample_id, branch, any_value(length) AS length FROM v_sparse JOIN v_closure ON feature_id = tip GROUP BY 1, 2)"
+PRESENT = "(SELECT sample_id, branch, any_value(length) AS length FROM v_counts JOIN v_closure ON feature_id = tip GROUP BY 1, 2)"
 UNWEIGHTED = f"""SELECT n.i, n.j, 1 - s / (a.t + b.t - s) AS d FROM (SELECT a.sample_id AS i, b.sample_id AS j, sum(a.length) AS s FROM {PRESENT} a JOIN {PRESENT} b
     ON a.branch = b.branch AND a.sample_id < b.sample_id GROUP BY 1, 2) n JOIN (SELECT sample_id, sum(length) AS t FROM {PRESENT} GROUP BY 1) a ON a.sample_id = n.i
     JOIN (SELECT sample_id, sum(length) AS t FROM {PRESENT} GROUP BY 1) b ON b.sample_id = n.j"""
@@ -174,7 +195,7 @@ UNWEIGHTED = f"""SELECT n.i, n.j, 1 - s / (a.t + b.t - s) AS d FROM (SELECT a.sa
 
 @query("d7_unifrac_unweighted", check(UNWEIGHTED, "d", "i j"))
 def _(v):
-    return D.unifrac(branch_proportions(v.sparse_counts, tree_closure(v.tree)), weighted=False)
+    return D.unifrac(v.shares, weighted=False)
 
 
 MST = f"""WITH RECURSIVE sym AS (SELECT i, j, d FROM v_euclid UNION ALL SELECT j, i, d FROM v_euclid),
@@ -187,13 +208,25 @@ MST = f"""WITH RECURSIVE sym AS (SELECT i, j, d FROM v_euclid UNION ALL SELECT j
 
 @query("d8_mst_threshold", check(MST, "threshold"))
 def _(v):
-    return v.spark.createDataFrame([(float(D.mst_threshold(_euclid(v))),)], "threshold double")
+    return v.spark.createDataFrame([(D.spanning_threshold(v.xy, "sample_id", ["lat", "lon"]),)], "threshold double")
+
+
+@query("d8_near_pairs", check(f"SELECT i, j, d, threshold FROM v_euclid, ({MST}) WHERE d <= threshold * (1 + 1e-12)", "d threshold", "i j"))
+def _(v):
+    """The pairs that the truncation leaves as they are; all others are one constant."""
+    near, t = D.near_within_tree(v.xy, "sample_id", ["lat", "lon"])
+    return near.withColumn("threshold", F.lit(t))
+
+
+@query("d8_customers_threshold")
+def _(v):
+    """The spanning tree's longest edge with the customers as sites."""
+    return v.spark.createDataFrame([(D.spanning_threshold(v.master.filter("price IS NOT NULL"), "k", ["balance", "price"]),)], "threshold double")
 
 
 @query("d8_truncate", check(f"SELECT i, j, CASE WHEN d > threshold THEN 4 * threshold ELSE d END AS d FROM v_euclid, ({MST})", "d", "i j"))
 def _(v):
-    d = _euclid(v)
-    return D.truncate(d, D.mst_threshold(d))
+    return D.truncate(_euclid(v), D.spanning_threshold(v.xy, "sample_id", ["lat", "lon"]))
 
 
 # --- ordinations --------------------------------------------------------------------------------
@@ -204,11 +237,17 @@ def _axes(v, o: O.Ordination):
     return v.spark.createDataFrame(rows, "axis int, eigenvalue double, share double")
 
 
-@query("d9_spatial_vector")
+TRUNCATED = f"SELECT i, j, CASE WHEN d > threshold * (1 + 1e-12) THEN 4 * threshold ELSE d END AS d FROM v_euclid, ({MST})"
+COLUMNS = f"""SELECT i, k, (d - avg(d) OVER (PARTITION BY i)) / stddev_samp(d) OVER (PARTITION BY i) AS z FROM (
+    SELECT i, j AS k, d FROM ({TRUNCATED}) UNION ALL SELECT j, i, d FROM ({TRUNCATED}) UNION ALL SELECT sample_id, sample_id, 0 FROM v_env)"""
+SPATIAL = leading(f"SELECT a.i AS i, b.i AS j, sum(a.z * b.z) / (count(*) - 1) AS x FROM ({COLUMNS}) a JOIN ({COLUMNS}) b ON a.k = b.k GROUP BY 1, 2")
+
+
+@query("d9_spatial_vector", check(f"SELECT id, v AS axis1, value / count(*) OVER () AS share FROM ({SPATIAL})", "axis1 share", "id"))
 def _(v):
     """First loading of the scaled components of the truncated distances, per site."""
-    d = _euclid(v)
-    o = O.spatial_vector(D.truncate(d, D.mst_threshold(d)))
+    near, t = D.near_within_tree(v.xy, "sample_id", ["lat", "lon"])
+    o = O.spatial_vector_near(v.xy.select(F.col("sample_id").alias("id")), near, 4 * t)
     return o.scores.select("id", "axis1").withColumn("share", F.lit(float(o.share[0])))
 
 
@@ -218,7 +257,8 @@ def _(v):
     (SELECT var_pop(lat) * count(*) AS a, var_pop(lon) * count(*) AS b, covar_pop(lat, lon) * count(*) AS c FROM v_xy))""", "eigenvalue share", "axis"))
 def _(v):
     """Principal coordinates of plane distances: the eigenvalues are those of the coordinates' scatter."""
-    return _axes(v, O.pcoa(_euclid(v), 2))
+    cells = v.xy.select("sample_id", F.expr("stack(2, 'lat', lat, 'lon', lon) AS (axis, x)"))
+    return _axes(v, O.pcoa_cells(cells, "sample_id", "axis", "x", 2))
 
 
 @query("d10_pcoa_bray_scores")
@@ -233,11 +273,33 @@ def _(v):
     return D.dpcoa_distance(v.shares)
 
 
-@query("d11_dpcoa_axes")
+WEIGHTED = """SELECT a.sample_id AS i, b.sample_id AS j, sum(sqrt(a.w * b.w) * a.y * b.y) AS x FROM {y} a JOIN {y} b ON a.branch = b.branch GROUP BY 1, 2""".format(
+    y="""(SELECT sample_id, branch, w, sqrt(length) * (coalesce(p, 0) - sum(w * coalesce(p, 0)) OVER (PARTITION BY branch)) AS y FROM
+      (SELECT sample_id, sum("count") / sum(sum("count")) OVER () AS w FROM v_counts GROUP BY 1) CROSS JOIN (SELECT DISTINCT branch, length FROM v_share)
+      LEFT JOIN (SELECT sample_id, branch, p FROM v_share) USING (sample_id, branch))""")
+
+
+@query("d11_dpcoa_axes", check(f"SELECT CAST(axis AS INTEGER) AS axis, value AS eigenvalue, value / trace AS share FROM ({leading(WEIGHTED, 2, vectors=False)})", "eigenvalue share", "axis", digits=8), digits=8)
 def _(v):
     """Eigenvalues of double principal coordinates with the samples weighted by their totals."""
     weights = C.sum_by_sample(v.stored_counts).select(F.col("sample_id").alias("id"), F.col("total").alias("w"))
-    return _axes(v, O.dpcoa(D.dpcoa_distance(v.shares), weights, 2))
+    return _axes(v, O.dpcoa_cells(v.shares, weights, 2))
+
+
+DPCOA = """SELECT sxgx / sxx AS ss, total, n, sxgx / sxx / total AS r2 FROM (SELECT sum(q * q) AS sxgx, sum(ss - s * s / n) AS total, max(n) AS n FROM
+      (SELECT branch, sum(sqrt(length) * p * x) AS q, sum(sqrt(length) * p) AS s, sum(length * p * p) AS ss, (SELECT count(*) FROM v_env) AS n
+        FROM v_share JOIN (SELECT sample_id, balance - avg(balance) OVER () AS x FROM v_env) USING (sample_id) GROUP BY 1)),
+    (SELECT var_pop(balance) * count(*) AS sxx FROM v_env)"""
+
+
+@query("d12_dbrda_from_cells", check(f"""SELECT total / (n - 1) AS total, ss / (n - 1) AS constrained, r2, 1 - (1 - r2) * (n - 1) / (n - 2) AS adj_r2, ss / ((total - ss) / (n - 2)) AS f
+    FROM ({DPCOA})""", "total constrained r2 adj_r2 f", digits=8), digits=8)
+def _(v):
+    """Redundancy analysis on the distances of double principal coordinates, none of which is made."""
+    cells = v.shares.withColumn("y", F.sqrt("length") * F.col("p"))
+    m = O.dbrda(O.constrained_space_cells(cells, "sample_id", "branch", "y", v.env, [var("balance")], "sample_id"), ["balance"])
+    row = (m.inertia["total"], m.inertia["constrained"], m.r2, m.adj_r2, m.f)
+    return v.spark.createDataFrame([tuple(map(float, row))], "total double, constrained double, r2 double, adj_r2 double, f double")
 
 
 def _space(v, names=("balance", "price", "qty"), d=None):
@@ -282,7 +344,7 @@ def _(v):
 
 @query("d15_vif", check("SELECT unnest(['balance', 'price']) AS variable, unnest([1 / (1 - corr(balance, price) ** 2), 1 / (1 - corr(balance, price) ** 2)]) AS vif FROM v_env", "vif", "variable"))
 def _(v):
-    return v.spark.createDataFrame([(k, float(x)) for k, x in O.vif(_space(v, ["balance", "price"])).items()], "variable string, vif double")
+    return v.spark.createDataFrame([(k, float(x)) for k, x in O.vif_of(v.env, [var("balance"), var("price")]).items()], "variable string, vif double")
 
 
 @query("d16_permutation_test")

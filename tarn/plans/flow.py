@@ -190,13 +190,13 @@ def _(v):
         F.count(F.lit(1)).alias("n"), F.avg("balance").alias("balance"))
 
 
-FEATURES_SEEN = """SELECT * FROM v_sparse WHERE feature_id IN (SELECT feature_id FROM v_sparse GROUP BY feature_id
-    HAVING count(CASE WHEN "count" > 35 THEN 1 END) > 0.3 * (SELECT count(DISTINCT sample_id) FROM v_sparse))"""
+FEATURES_SEEN = """SELECT * FROM v_counts WHERE feature_id IN (SELECT feature_id FROM v_counts GROUP BY feature_id
+    HAVING count(CASE WHEN "count" > 35 THEN 1 END) > 0.3 * (SELECT count(DISTINCT sample_id) FROM v_counts))"""
 
 
 @query("f9_filter_features", check(FEATURES_SEEN, "", 'feature_id sample_id "count"'))
 def _(v):
-    return C.filter_features(v.sparse_counts, min_count=35, min_frac=0.3)
+    return C.filter_features(v.stored_counts, min_count=35, min_frac=0.3)
 
 
 @query("f9_filter_features_default", check("""SELECT feature_id, count(*) AS n FROM v_counts WHERE feature_id IN (SELECT feature_id FROM v_counts
@@ -205,17 +205,17 @@ def _(v):
     return C.filter_features(v.stored_counts).groupBy("feature_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f10_filter_features_by_total", check('SELECT * FROM v_sparse WHERE feature_id IN (SELECT feature_id FROM v_sparse GROUP BY 1 HAVING sum("count") > 500)', "", 'feature_id sample_id "count"'))
+@query("f10_filter_features_by_total", check('SELECT * FROM v_counts WHERE feature_id IN (SELECT feature_id FROM v_counts GROUP BY 1 HAVING sum("count") > 700)', "", 'feature_id sample_id "count"'))
 def _(v):
-    return C.filter_features_by_total(v.sparse_counts, 500)
+    return C.filter_features_by_total(v.stored_counts, 700)
 
 
-@query("f11_filter_prevalence", check("""SELECT s.* FROM v_sparse s JOIN v_tax USING (feature_id) WHERE "Phylum" IN ('ECONOMY', 'SMALL', 'LARGE')
-    AND feature_id IN (SELECT feature_id FROM v_sparse GROUP BY 1 HAVING count(*) >= 0.4 * (SELECT count(DISTINCT sample_id) FROM v_sparse))""", "", 'feature_id sample_id "count"'))
+@query("f11_filter_prevalence", check("""SELECT s.* FROM v_counts s JOIN v_tax USING (feature_id) WHERE "Phylum" IN ('ECONOMY', 'SMALL', 'LARGE')
+    AND feature_id IN (SELECT feature_id FROM v_counts GROUP BY 1 HAVING count(*) >= 0.7 * (SELECT count(DISTINCT sample_id) FROM v_counts))""", "", 'feature_id sample_id "count"'))
 def _(v):
     allowed = v.tax.filter(F.col("Phylum").isin("ECONOMY", "SMALL", "LARGE"))
-    n = C.n_samples(v.sparse_counts)
-    return C.filter_prevalence(v.sparse_counts, 0.4, allowed, total_samples=n)
+    n = C.n_samples(v.stored_counts)
+    return C.filter_prevalence(v.stored_counts, 0.7, allowed, total_samples=n)
 
 
 IN_TOP = """(SELECT sample_id, min("count") AS cut FROM (SELECT sample_id, "count", row_number() OVER (PARTITION BY sample_id ORDER BY "count" DESC) AS r

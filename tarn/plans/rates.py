@@ -189,15 +189,15 @@ def _(v):
 
 
 @query("c10_community_prepare", check("""SELECT feature_id, sample_id, 100 * "count" / sum("count") OVER (PARTITION BY sample_id) AS "count" FROM (
-    SELECT f.* FROM (SELECT * FROM v_sparse WHERE feature_id IN (SELECT feature_id FROM v_sparse GROUP BY 1
-      HAVING count(CASE WHEN "count" > 35 THEN 1 END) > 0.3 * (SELECT count(DISTINCT sample_id) FROM v_sparse))) f
+    SELECT f.* FROM (SELECT * FROM v_counts WHERE feature_id IN (SELECT feature_id FROM v_counts GROUP BY 1
+      HAVING count(CASE WHEN "count" > 35 THEN 1 END) > 0.3 * (SELECT count(DISTINCT sample_id) FROM v_counts))) f
     JOIN v_env USING (sample_id) JOIN v_tax USING (feature_id) WHERE region <> 'ASIA' AND "Phylum" IN (
-      SELECT "Phylum" FROM (SELECT * FROM v_sparse WHERE feature_id IN (SELECT feature_id FROM v_sparse GROUP BY 1
-        HAVING count(CASE WHEN "count" > 35 THEN 1 END) > 0.3 * (SELECT count(DISTINCT sample_id) FROM v_sparse)))
+      SELECT "Phylum" FROM (SELECT * FROM v_counts WHERE feature_id IN (SELECT feature_id FROM v_counts GROUP BY 1
+        HAVING count(CASE WHEN "count" > 35 THEN 1 END) > 0.3 * (SELECT count(DISTINCT sample_id) FROM v_counts)))
       JOIN v_env USING (sample_id) JOIN v_tax USING (feature_id) WHERE region <> 'ASIA' AND "Phylum" IS NOT NULL
       GROUP BY 1 ORDER BY sum("count") DESC, "Phylum" LIMIT 3))""", '"count"', "feature_id sample_id"))
 def _(v):
-    c = v.community.with_counts(v.sparse_counts)
+    c = v.community.with_counts(v.stored_counts)
     return prepare(c, min_count=35, min_frac=0.3, k=3, keep_sample=F.col("region") != "ASIA").counts
 
 
