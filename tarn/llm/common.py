@@ -8,10 +8,30 @@ from pyspark.sql import functions as F
 
 from tarn.session import store
 
+#: Keys of 8 bytes that are broadcast; more are joined by shuffling.
+KEYS = 500_000
 #: White space between words; everything else belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_CACHES: dict[str, dict] = {}
+
+
+def cache_of(kind: str) -> dict:
+    """What tasks of one kind keep in a reused worker for the next one; a task of another kind drops it.
+
+    Every Python task of these operators asks for its kind's cache as it starts, so a worker holds the tables of one operator only.
+    """
+    if kind not in _CACHES:
+        _CACHES.clear()
+    return _CACHES.setdefault(kind, {})
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``rows`` without those whose ``key`` is in ``gone`` (stored). Few keys are broadcast, so that whole rows stay where they are."""
+    return rows.join(F.broadcast(gone) if gone.count() <= KEYS else gone, key, "left_anti")
+
+
 def ascii_lower(texts):
     """Lower-case A-Z and nothing else, for an Arrow string array."""
     import pyarrow.compute as pc
@@ -56,7 +76,7 @@ def one_of_each(rows: DataFrame, key: str, id_col: str, groups: DataFrame, large
     best = F.max_by(key, F.struct("id", key)) if largest else F.min_by(key, F.struct(F.isnull("id"), "id", key))
     chosen = ids.groupBy("group").agg(best.alias(key)).select(key)
     gone = store(groups.select(key).join(chosen, key, "left_anti"))
-    return rows.join(gone, key, "left_anti").drop(key)
+    return without(rows, gone, key).drop(key)
 
 
 def block_edges(rows: DataFrame, block_bytes: int) -> np.ndarray:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tarn.session import store
 
-from .common import ascii_lower, keyed, one_of_each
+from .common import ascii_lower, cache_of, keyed, one_of_each
 
 
 def _normalised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -22,6 +22,7 @@ def _normalised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     import pyarrow as pa
 
     def lower(batches):
+        cache_of("exact_dedup")
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), ascii_lower(b.column(1))], ["doc_id", "norm"])
 

@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 
 from tarn.session import store
 
+from .common import cache_of
+
 #: Documents per language to learn from, those with the smallest hash of the id.
 SAMPLE = 2000
 SMOOTHING = 0.1
@@ -24,7 +26,6 @@ UNKNOWN = "und"
 HELD_BACK = 200_000  # words whose likelihoods a worker keeps; more are worked out again
 _LETTER = re.compile(r"[^\W\d_]")
 _LONG = 48  # longer words are scaled as they go
-_WORKER: dict = {}
 _BASE, _ODD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 _SLOTS, _SHIFTS = np.uint64((1 << 20) - 1), (44, 20, 10, 32, 4)
 
@@ -188,9 +189,10 @@ class Scorer:
 
 
 def _vocabulary(path: str) -> Vocabulary:
-    if ("vocabulary", path) not in _WORKER:
-        _WORKER["vocabulary", path] = Vocabulary(path)
-    return _WORKER["vocabulary", path]
+    held = cache_of("language")
+    if ("vocabulary", path) not in held:
+        held["vocabulary", path] = Vocabulary(path)
+    return held["vocabulary", path]
 
 
 def learn(docs: DataFrame, path: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
@@ -244,9 +246,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def predict(frames):
         langs, probs = model.value
-        if _WORKER.get("model") != key:
-            _WORKER.update(model=key, scorer=Scorer(_vocabulary(path), probs) if langs else None)
-        scorer = _WORKER["scorer"]
+        held = cache_of("language")
+        if held.get("model") != key:
+            held.update(model=key, scorer=None)  # the last model's goes first
+            held["scorer"] = Scorer(_vocabulary(path), probs) if langs else None
+        scorer = held["scorer"]
         for f in frames:
             texts = [t if t and langs and _LETTER.search(t) else "" for t in f["text"].tolist()]
             pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))

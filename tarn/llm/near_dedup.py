@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tarn.session import store, temporary
 
-from .common import ascii_lower, keyed, one_of_each, positions
+from .common import ascii_lower, cache_of, keyed, one_of_each, positions
 from .shingles import arrow_bytes, mix, shingle_sets
 
 BUCKETS, MANTISSA = 128, 10
@@ -72,6 +72,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     import pyarrow as pa
 
     def work(batches):
+        cache_of("near_dedup")
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
@@ -99,6 +100,7 @@ def _bands(nodes: DataFrame, width: int) -> DataFrame:
     import pyarrow as pa
 
     def work(batches):
+        cache_of("near_dedup")
         for b in batches:
             node, n = b.column(0).to_numpy(), b.column(1).to_numpy()
             regs = np.frombuffer(b"".join(b.column(2).to_pylist()), dtype=np.uint16).reshape(len(node), -1, width)
@@ -129,6 +131,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, limit: Fraction) -> DataFrame:
     import pyarrow as pa
 
     def work(batches):
+        cache_of("near_dedup")
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint16).reshape(b.num_rows, -1) for c in ("ra", "rb"))
             sizes = b.column("na").to_numpy(), b.column("nb").to_numpy()
@@ -213,6 +216,7 @@ def _sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame, form=lambda s: s)
     import pyarrow as pa
 
     def members(batches):
+        cache_of("near_dedup")
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
@@ -233,6 +237,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, limit: Fraction
     import pyarrow as pa
 
     def decide(batches):
+        cache_of("near_dedup")
         for b in batches:
             keep = [_alike(*(np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in xy), limit) for xy in zip(b.column("ma"), b.column("mb"), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import positions
+from .common import cache_of, positions
 
 CAPACITY, END = 2048, 0
 
@@ -43,19 +43,17 @@ def added_tokens(path: str | None = None) -> dict[str, int]:
     return {t["content"]: t["id"] for t in tokens}
 
 
-_ENCODERS: dict = {}
-
-
 def encoder(path: str, pattern: str, added: dict[str, int] | None = None):
     """The byte-level BPE of a rank file. Strings of ``added`` are cut out first and get their ids; all else is ordinary text."""
     key = path, pattern, *sorted((added or {}).items())
-    if key not in _ENCODERS:
+    held = cache_of("encoder")
+    if key not in held:
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _ENCODERS[key] = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added or {})
-    return _ENCODERS[key]
+        held[key] = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added or {})
+    return held[key]
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text",

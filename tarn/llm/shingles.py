@@ -40,10 +40,15 @@ def _words_of(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndar
     first = ~blank & (cut[:-1] | np.concatenate([[True], blank[:-1]]))
     last = ~blank & (cut[1:] | np.concatenate([blank[1:], [True]]))
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(len(data) + 1)
+    # a byte counts by a random number of its value and its place in the word: unlike powers modulo 2^64, whose low bits repeat,
+    # these have no words that are known to collide
+    place = np.arange(len(data), dtype=np.uint64)
+    begin = np.zeros(len(data), dtype=np.int64)
+    begin[start] = start
+    place -= np.maximum.accumulate(begin).astype(np.uint64)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)), start
+    np.cumsum(mix((place << np.uint64(8) | data) + np.uint64(_BASE)), out=sums[1:])
+    return mix(sums[end] - sums[start] + (end - start).astype(np.uint64)), start
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

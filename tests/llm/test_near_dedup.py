@@ -166,3 +166,20 @@ def test_components_of_chains_and_stars(spark):
     want = {k: 10 for k in range(10, 41)} | {k: 101 for k in (101, 103, 105, 107)} | {200: 200, 201: 200}
     assert {r.node: r.label for r in found} == want and len(found) == len(want)
     assert components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+@pytest.mark.parametrize("bits", [10, 11, 12])
+def test_words_that_collide_modulo_powers_of_two_stay_apart(spark, bits):
+    morse = "".join("ab"[k.bit_count() % 2] for k in range(1 << bits))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, morse), (2, other), (3, morse)], "doc_id long, text string")
+    got = {r.doc_id: (r.component_id, r.kept) for r in near_groups(df).collect()}
+    assert got == {1: (1, True), 2: (2, True), 3: (1, False)}
+
+
+def test_workers_drop_what_other_tasks_kept():
+    from tarn.llm.common import cache_of
+
+    cache_of("language")["scorer"] = object()
+    assert "scorer" in cache_of("language")
+    assert cache_of("near_dedup") == {} and cache_of("language") == {}
