@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import exact_dedup, language, mixing, near_dedup, packing
-from tarn.llm.common import keyed
+from tarn.llm.common import keyed, without
 from tarn.session import store
 
 #: Least posterior of the predicted language.
@@ -24,7 +24,7 @@ def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents with a recognised language: texts without a letter, or with no language more likely than all others together, go."""
     rows, key = keyed(docs)
     gone = language.identify(rows, key_col=key).filter((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < CONFIDENCE)).select(key)
-    return rows.join(gone, key, "left_anti").drop(key)
+    return without(rows, store(gone), key).drop(key)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
