@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, store
 from .pairs import pair_sums, per_item
+from .similar import overlap_pairs
 
 GRID_AXES = 3  # coordinates that a grid has at most; the others are only compared
 GATHERED = 50_000  # places up to which the driver keeps their components; those of more stay in Spark
@@ -57,24 +58,44 @@ def distance_of_distances(d: DataFrame) -> DataFrame:
     return _distance(pair_sums(symmetric(d), "i", "j", "d", "sqdiff"), F.sqrt("s"))
 
 
-def bray_curtis(counts: DataFrame) -> DataFrame:
-    both = pair_sums(counts, "sample_id", "feature_id", "count", "min", totals=True)
-    return _distance(both, 1 - 2 * F.col("s") / (F.col("ti") + F.col("tj")))
+def _checked_limit(within: float) -> float:
+    if not 0 <= within < 1:
+        raise ValueError("the limit must be at least 0 and below 1: samples that share nothing are 1 apart")
+    return within
 
 
-def unifrac(proportions: DataFrame, weighted: bool = True, normalized: bool = True) -> DataFrame:
-    """UniFrac from branch proportions.
+def bray_curtis(counts: DataFrame, within: float | None = None) -> DataFrame:
+    """Distances of all pairs or, with ``within`` (below 1), of the pairs at most that far apart; the others are not built then,
+    and cells that are NULL, infinite or not above zero count as absent."""
+    unshared = 1 - 2 * F.col("s") / (F.col("ti") + F.col("tj"))
+    if within is not None:
+        near = overlap_pairs(counts, "sample_id", "feature_id", "count", (1 - _checked_limit(within)) / 2)
+        return _distance(near, F.greatest(unshared, F.lit(0.0))).filter(F.col("d") <= within)
+    return _distance(pair_sums(counts, "sample_id", "feature_id", "count", "min", totals=True), unshared)
+
+
+def unifrac(proportions: DataFrame, weighted: bool = True, normalized: bool = True, within: float | None = None) -> DataFrame:
+    """UniFrac from branch proportions, of all pairs or, with ``within`` (below 1, and not for the weighted form that is not
+    normalized), of the pairs at most that far apart; the others are not built then.
 
     Only shared branches need a pair: sum L|a-b| = sum La + sum Lb - 2 sum L min(a, b).
     """
+    if within is not None and weighted and not normalized:
+        raise ValueError("a distance that is not normalized has no limit below which samples share a branch")
     share = F.col("length") * (F.col("p") if weighted else F.lit(1.0))
     cells = proportions.filter(F.col("p") > 0).select("sample_id", "branch", share.alias("w"))
-    both = pair_sums(cells, "sample_id", "branch", "w", "min", totals=True)
+    if within is not None:
+        share = (1 - _checked_limit(within)) / (2 if weighted else 2 - within)
+        both = overlap_pairs(cells, "sample_id", "branch", "w", share)
+        limit = F.col("d") <= within
+    else:
+        both = pair_sums(cells, "sample_id", "branch", "w", "min", totals=True)
+        limit = F.lit(True)
     total = F.col("ti") + F.col("tj")
     if weighted:
         unshared = total - 2 * F.col("s")
-        return _distance(both, F.greatest(unshared / total if normalized else unshared, F.lit(0.0)))
-    return _distance(both, 1 - F.col("s") / (total - F.col("s")))
+        return _distance(both, F.greatest(unshared / total if normalized else unshared, F.lit(0.0))).filter(limit)
+    return _distance(both, 1 - F.col("s") / (total - F.col("s"))).filter(limit)
 
 
 def dpcoa_distance(proportions: DataFrame) -> DataFrame:

@@ -143,6 +143,19 @@ class Views:
         """The counts written once, for queries that read them more than once."""
         return store(self.counts)
 
+    @cached_property
+    def customer_counts(self) -> DataFrame:
+        """Units per part (feature) and customer (sample): as many samples as there are customers."""
+        orders = self.table("orders").select("o_orderkey", "o_custkey")
+        lines = self.table("lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+        summed = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_partkey").agg(F.sum("l_quantity").alias("count"))
+        return summed.select(F.col("o_custkey").alias("sample_id"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("feature_id"), "count")
+
+    @cached_property
+    def customer_shares(self) -> DataFrame:
+        """Branch proportions of every customer."""
+        return interval_proportions(store(self.customer_counts), self.intervals)
+
     @cached_property
     def lineages(self) -> DataFrame:
         """``feature_id, lineage``: type;brand;name, the name missing for some parts."""
@@ -269,6 +282,11 @@ SQL_VIEWS: dict[str, str] = {
     "v_share": """SELECT sample_id, branch, any_value(length) AS length, sum("count") / any_value(t) AS p
         FROM v_counts JOIN v_closure ON feature_id = tip
         JOIN (SELECT sample_id, sum("count") AS t FROM v_counts GROUP BY sample_id) USING (sample_id) GROUP BY sample_id, branch""",
+    "v_units": """SELECT o_custkey AS sample_id, 'P' || CAST(l_partkey AS VARCHAR) AS feature_id, sum(l_quantity) AS "count"
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey""",
+    "v_parts": """SELECT sample_id, branch, any_value(length) AS length, sum("count") / any_value(t) AS p
+        FROM v_units JOIN v_closure ON feature_id = tip
+        JOIN (SELECT sample_id, sum("count") AS t FROM v_units GROUP BY sample_id) USING (sample_id) GROUP BY sample_id, branch""",
     "v_env": """SELECT nation AS sample_id, region, avg(balance) AS balance, avg(price) AS price, avg(qty) AS qty, avg(disc) AS disc
         FROM v_master GROUP BY nation, region""",
     "v_xy": "SELECT sample_id, balance * 10 AS lat, price / 10 AS lon FROM v_env",

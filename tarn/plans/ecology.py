@@ -151,6 +151,41 @@ def _(v):
     return D.bray_curtis(C.log_transform_counts(v.counts))
 
 
+# pairs of customers by the overlap of their cells; the totals are over all of a customer's cells
+NEAR = """SELECT i, j, d FROM (SELECT n.i, n.j, {d} AS d FROM (SELECT a.sample_id AS i, b.sample_id AS j, sum(least(a.w, b.w)) AS s
+    FROM ({cells}) a JOIN ({cells}) b ON a.key = b.key AND a.sample_id < b.sample_id GROUP BY 1, 2) n
+    JOIN (SELECT sample_id, sum(w) AS t FROM ({cells}) GROUP BY 1) a ON a.sample_id = n.i
+    JOIN (SELECT sample_id, sum(w) AS t FROM ({cells}) GROUP BY 1) b ON b.sample_id = n.j) WHERE d <= {within}"""
+BOTH, EITHER = "greatest(1 - 2 * s / (a.t + b.t), 0)", "1 - s / (a.t + b.t - s)"
+
+
+@query("d3_near_customers", check(NEAR.format(d=BOTH, within=0.9, cells='SELECT sample_id, feature_id AS key, ln(1 + "count") AS w FROM v_units'), "d", "i j"))
+def _(v):
+    """Customers at most 0.9 apart by the parts they ordered."""
+    return D.bray_curtis(C.log_transform_counts(v.customer_counts), within=0.9)
+
+
+@query("d3_near_customers_by_brand", check(NEAR.format(d=BOTH, within=0.12, cells="""SELECT sample_id, "Class" AS key, ln(1 + sum("count")) AS w
+    FROM v_units JOIN v_tax USING (feature_id) GROUP BY 1, 2"""), "d", "i j"))
+def _(v):
+    """Customers at most 0.12 apart by the brands they ordered: few keys that nearly all of them hold."""
+    brand = v.tax.select("feature_id", F.col("Class").alias("brand"))
+    counts = v.customer_counts.join(brand, "feature_id").groupBy("sample_id", F.col("brand").alias("feature_id")).agg(F.sum("count").alias("count"))
+    return D.bray_curtis(C.log_transform_counts(counts), within=0.12)
+
+
+@query("d6_near_customers", check(NEAR.format(d=BOTH, within=0.75, cells="SELECT sample_id, branch AS key, length * p AS w FROM v_parts"), "d", "i j"))
+def _(v):
+    """Customers at most 0.75 apart by weighted UniFrac."""
+    return D.unifrac(v.customer_shares, within=0.75)
+
+
+@query("d7_near_customers", check(NEAR.format(d=EITHER, within=0.85, cells="SELECT sample_id, branch AS key, length AS w FROM v_parts"), "d", "i j"))
+def _(v):
+    """Customers at most 0.85 apart by unweighted UniFrac."""
+    return D.unifrac(v.customer_shares, weighted=False, within=0.85)
+
+
 @query("d4_tree_closure", check("""WITH RECURSIVE up AS (SELECT node AS tip, node AS branch, parent, length FROM v_tree WHERE is_tip
     UNION ALL SELECT up.tip, t.node, t.parent, t.length FROM up JOIN v_tree t ON up.parent = t.node) SELECT tip, branch, length FROM up""", "length", "tip branch"))
 def _(v):

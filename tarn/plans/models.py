@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import tails
 from ..operators import cluster, gram as G, hypothesis as H, linmod as L, order_stats as S, tables as T
 from .registry import check, query
 
@@ -338,3 +339,33 @@ def _(v):
     coefs = L.model_per_group(v.master, G.var("price"), _terms(), ["segment"])
     res = L.group_residuals(v.master, G.var("price"), _terms(), ["segment"], coefs)
     return L.breusch_pagan_by(res, ["segment"]).drop("p")
+
+
+# nested models and RESET per group, from the same sums (tails of F are checked against the regularised beta function by pytest)
+@query("m19_anova_per_group", check(f"SELECT segment, 1.0 AS df1, n - 3.0 AS df2, (rss_a - rss2) / (rss2 / (n - 3)) AS f FROM ({_two('segment')})", "df1 df2 f", "segment"))
+def _(v):
+    out = L.anova_nested_by(v.master, G.var("price"), _terms()[:1], _terms(), ["segment"])
+    return out.select("segment", F.col("df1").cast("double").alias("df1"), F.col("df2").cast("double").alias("df2"), "f")
+
+
+# residual sums of price on qty, then on qty and its square: the square's part that qty leaves over is a regressor of its own
+RESET_BY = """SELECT segment, 1.0 AS df1, n - 3.0 AS df2, (yy - ay * ay / aa - rss) / (rss / (n - 3)) AS f FROM (SELECT *,
+    yy - ay * ay / aa - (qy - aq * ay / aa) ** 2 / (qq - aq * aq / aa) AS rss FROM (SELECT segment, count(*) AS n, covar_pop(qty, qty) * count(*) AS aa,
+    covar_pop(price, price) * count(*) AS yy, covar_pop(qty, price) * count(*) AS ay, covar_pop(q2, q2) * count(*) AS qq,
+    covar_pop(qty, q2) * count(*) AS aq, covar_pop(q2, price) * count(*) AS qy FROM (SELECT *, qty * qty AS q2 FROM v_full) GROUP BY segment))"""
+
+
+@query("m19_reset_per_group", check(RESET_BY, "df1 df2 f", "segment", digits=5), digits=5)
+def _(v):
+    out = L.reset_test_by(v.master, G.var("price"), _terms()[:1], ["segment"], powers=(2,))
+    return out.select("segment", F.col("df1").cast("double").alias("df1"), F.col("df2").cast("double").alias("df2"), "f")
+
+
+@query("m19_qq_per_group", check("""SELECT segment, sample, cnt, (mean_rank - a) / (n + 1 - 2 * a) AS position FROM (SELECT segment, residual AS sample, count(*) AS cnt, any_value(n) AS n,
+    avg(r) AS mean_rank, CASE WHEN any_value(n) <= 10 THEN 0.375 ELSE 0.5 END AS a FROM (SELECT segment, price AS residual, row_number() OVER (PARTITION BY segment ORDER BY price) AS r,
+    count(*) OVER (PARTITION BY segment) AS n FROM v_full) GROUP BY segment, residual)""", "sample position", "segment cnt"))
+def _(v):
+    """The positions that the points' quantiles stand for: the normal distribution function of each quantile."""
+    full = v.master.filter("price is not null and qty is not null").select("segment", "price")
+    points = L.qq_points(full, "price", ["segment"])
+    return points.select("segment", "sample", "cnt", (1 - tails.p_column("normal", "theoretical")).alias("position"))
