@@ -1,11 +1,14 @@
 """Tips in a row and branches as intervals, against walks to the root."""
 
 import random
+import tracemalloc
 from collections import defaultdict
 
+import numpy as np
+import pandas as pd
 import pytest
 
-from tarn.operators import prefix
+from tarn.operators import prefix, tree
 from tarn.operators.tree import branch_proportions, branch_sums, interval_proportions, tree_closure, tree_intervals
 
 EDGES = "node string, parent string, length double, is_tip boolean"
@@ -91,3 +94,31 @@ def test_running(spark):
         for place, r in enumerate(mine):
             assert (r["at"], r.before) == (place, total)
             total += r.v
+
+
+def test_a_running_sum_is_worked_out_once_per_sample_and_position():
+    """However many intervals end there: a chain's end in one place."""
+    cells = pd.DataFrame({"sample": ["a", "a", "b"], "pos": [3, 5, 4], "c": [1.0, 2.0, 4.0], "n": [1, 1, 1]})
+    spans = pd.DataFrame({"first": [3, 4, 6], "tips": [2, tree.BEGIN, tree.END]})
+    got = tree._slice_sums(cells, spans)
+    assert sorted(map(tuple, got[["sample", "first", "tips", "c"]].itertuples(index=False))) == [
+        ("a", 3, 2, 1.0), ("a", 4, tree.BEGIN, 1.0), ("a", 6, tree.END, 3.0), ("b", 3, 2, 4.0), ("b", 4, tree.BEGIN, 0.0), ("b", 6, tree.END, 4.0)]
+
+
+def test_cells_of_a_tip_without_a_branch_count_nowhere():
+    """A root tip's cell may stand before all intervals of its slice."""
+    cells = pd.DataFrame({"sample": ["a", "a"], "pos": [0, 2], "c": [1.0, 2.0], "n": [1, 1]})
+    got = tree._slice_sums(cells, pd.DataFrame({"first": [2], "tips": [1]}))
+    assert got.values.tolist() == [["a", 2, 1, 2.0, 1]]
+
+
+def test_the_largest_task_of_branch_sums_is_small():
+    """As many cells as a task takes, 25 samples and all their branches, in less memory than a tenth of a worker's share."""
+    n = tree.CELLS_PER_TASK
+    cells = pd.DataFrame({"sample": [f"NATION_{k % 25}" for k in range(n)], "pos": np.arange(n) // 25, "c": 1.0, "n": 1})
+    spans = pd.DataFrame({"first": np.arange(n // 25), "tips": 1})
+    tracemalloc.start()
+    got = tree._slice_sums(cells, spans)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == n and peak < 100e6
