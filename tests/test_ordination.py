@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,6 +259,20 @@ def test_many_blocks_and_slices_give_the_same(spark, monkeypatch):
             assert abs(s - sum(f(d.get((i, k), 0.0), d.get((j, k), 0.0)) for k in keys)) < 1e-9
 
 
+@pytest.mark.parametrize("combine", ["min", "product", "sqdiff"])
+def test_the_largest_task_of_pair_sums_is_small(combine):
+    """As many cells as a task takes, in less memory than a tenth of a worker's share."""
+    from tarn.operators import pairs
+
+    n = pairs.CELLS_PER_TASK // 2  # items of one block: the other half is for a second one
+    pdf = pd.DataFrame({"item": [f"NATION_{k % 25}" for k in range(n)], "key": [f"P{k // 25}" for k in range(n)], "value": 1.0, "mark": False, "block": 0, "bi": 0, "bj": 0, "slice": 0})
+    tracemalloc.start()
+    got = pairs._block_task(combine)(pdf)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 300 and peak < 50e6
+
+
 def test_batches_and_wide_designs_give_the_same(space, spark, monkeypatch):
     m = O.dbrda(space, ["x", "y", "z"])
     one = P.permutation_test(m, spark, 49).collect()
