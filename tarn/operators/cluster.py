@@ -10,12 +10,16 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .gram import columns_of, design, gram, var
 
 
 def kmeans(df: DataFrame, cols: list[str], k: int, seed: int = 25, order_by: str | None = None, steps: int = 1000) -> DataFrame:
-    """Cluster the complete cases on unscaled columns; ``cluster`` is 1..k by rising centre of ``order_by``."""
-    src = df.na.drop(subset=cols)
+    """Cluster the complete cases on unscaled columns; ``cluster`` is 1..k by rising centre of ``order_by``.
+
+    The complete cases are checkpointed: the search, its summary and the labels each read them, and ``df`` is worked out once.
+    """
+    src = cut_lineage(df.na.drop(subset=cols))
     features = VectorAssembler(inputCols=cols, outputCol="__f").transform(src)
     model = KMeans(k=k, seed=seed, featuresCol="__f", predictionCol="__c", maxIter=steps, tol=1e-6).fit(features)
     if model.summary.numIter >= steps:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tails
 from ..operators import cluster, gram as G, hypothesis as H, linmod as L, order_stats as S, tables as T
+from ..session import cut_lineage
 from .registry import check, query
 
 # --- closed forms in SQL ------------------------------------------------------------------------
@@ -292,7 +293,7 @@ def _(v):
 @query("m17_kmeans")
 def _(v):
     """Cluster sizes and centres for two and three clusters, labelled by rising first centre."""
-    full = v.master.filter("price is not null and qty is not null")
+    full = cut_lineage(v.master.filter("price is not null and qty is not null").select("k", "price", "qty"))
     out = None
     for k in (2, 3):
         part = cluster.kmeans(full, ["price", "qty"], k, order_by="price").groupBy("cluster").agg(

@@ -277,6 +277,21 @@ def test_glm_score_equations(spark):
     assert abs(((y - mu) * mu).sum()) < 1e-4 and abs(((y - mu) * mu * np.log(x)).sum()) < 1e-4
 
 
+def test_kmeans_works_its_input_out_once(spark):
+    """What is behind the rows, such as joins, is not repeated for the search and the labels."""
+    worked = spark.sparkContext.accumulator(0)
+
+    def mark(batches):
+        for b in batches:
+            worked.add(len(b))
+            yield b
+
+    rows = spark.range(60).selectExpr("cast(id % 3 * 100 + id % 7 as double) AS s").repartition(1).mapInPandas(mark, "s double").repartition(2)
+    sizes = cluster.kmeans(rows, ["s"], 3).groupBy("cluster").count().collect()
+    assert sorted((r[0], r[1]) for r in sizes) == [(1, 20), (2, 20), (3, 20)]
+    assert worked.value == 60
+
+
 def test_kmeans_and_pca(spark, df):
     rows = [(float(i % 2 * 10 + i * 0.01), float(i)) for i in range(20)]
     k = cluster.kmeans(spark.createDataFrame(rows, "s double, r double").select("s", (F.col("r") * 0).alias("r")), ["s", "r"], 2)
