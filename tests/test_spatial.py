@@ -136,3 +136,12 @@ def test_inflation_from_a_gram(spark):
     df = spark.createDataFrame([tuple(map(float, p)) for p in x], "a double, b double, c double").withColumn("twice", F.col("a") * 2)
     got = O.vif_of(df, [var(c) for c in ("a", "b", "twice", "c")])
     assert got == pytest.approx(dict(zip("abc", np.diag(np.linalg.inv(np.corrcoef(x.T))))))
+
+
+def test_the_driver_keeps_components_once_they_are_few(spark, monkeypatch):
+    """More places than the driver keeps components: only the first rounds merge in Spark."""
+    x = np.random.default_rng(4).normal(size=(60, 2))
+    merged, rounds = D._merged, []
+    monkeypatch.setattr(D, "_merged", lambda picks: (rounds.append(1), merged(picks))[1])
+    got = D.spanning_threshold(frame(spark, x), "id", ["x0", "x1"], gathered=59)
+    assert got == pytest.approx(bottleneck(x), rel=1e-12) and len(rounds) == 1
