@@ -23,6 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.operators.links import components
 from tarn.session import store, temporary
 
 from .common import ascii_lower, cache_of, keyed, one_of_each, positions
@@ -248,26 +249,6 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, limit: Fraction
     return both.select("a", "b", "ma", "mb").mapInArrow(decide, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, label), stored: the smallest node reachable, for every node that has a link, by alternating stars."""
-    with temporary(links.sparkSession) as keep:
-        edges = store(links.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-        while True:
-            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-            large = store(both.filter("v > u").join(least, "u").select(F.col("v"), F.col("m")).filter("v <> m").distinct())
-            down = large.select(F.col("v").alias("u"), F.col("m").alias("v"))  # v < u
-            least = down.groupBy("u").agg(F.min("v").alias("m"))
-            edges = store(down.join(least, "u").select(F.col("v"), F.col("m")).filter("v <> m").unionByName(least.select(F.col("u").alias("v"), "m"))
-                          .select(F.col("m").alias("u"), "v").distinct())
-            # done when every node is either the centre of a star or has one edge, to a centre
-            places = edges.select(F.col("u").alias("node"), F.lit(0).alias("above")).unionByName(edges.select(F.col("v").alias("node"), F.lit(1).alias("above")))
-            if places.groupBy("node").agg(F.sum("above").alias("above"), F.count("*").alias("n")).filter("above > 0 AND n > 1").isEmpty():
-                break
-        stars = edges.select(F.col("v").alias("node"), F.col("u").alias("label"))
-        return keep(stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct()))
-
-
 def _to_pivots(labelled: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, limit: Fraction) -> DataFrame:
     """Links (a, b) between a bucket's members and the one of them that round ``k`` picks, where labels differ."""
     each = F.struct(F.xxhash64("node", "key", F.lit(k)), "node", "n", "label")
