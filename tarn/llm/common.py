@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,11 +61,29 @@ def positions(df: DataFrame, *order: Column) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs``, stored, with a number of its own for every row, and the name of that column, which no other column has."""
+    """``docs`` with a number of its own for every row, and the name of that column, which no other column has.
+
+    A table read from files is not copied: its rows are numbered by file and place there. Anything else is stored.
+    """
     key = "row_"
     while key in map(str.lower, docs.columns):
         key += "_"
-    return store(docs.withColumn(key, F.monotonically_increasing_id())), key
+    return _in_place(docs, key) or store(docs.withColumn(key, F.monotonically_increasing_id())), key
+
+
+def _in_place(docs: DataFrame, key: str) -> DataFrame | None:
+    """``docs`` numbered by file and place, if it is a plain read of files that tell these, and of no file twice."""
+    path = F.col("_metadata.file_path")
+    if "_metadata" in map(str.lower, docs.columns) or not docs._jdf.queryExecution().analyzed().children().isEmpty():
+        return None
+    try:
+        files = docs.select(path.alias(f"{key}path")).distinct()
+        placed = docs.select("*", path.alias(f"{key}path"), F.col("_metadata.row_index").alias(f"{key}at"))
+    except AnalysisException:
+        return None
+    files = store(files.coalesce(1).withColumn(key, F.monotonically_increasing_id()))
+    rows = placed.join(F.broadcast(files), f"{key}path").withColumn(key, F.shiftleft(key, 40) + F.col(f"{key}at")).drop(f"{key}path", f"{key}at")
+    return rows if rows.groupBy(key).count().filter("count > 1").isEmpty() else None
 
 
 def one_of_each(rows: DataFrame, key: str, id_col: str, groups: DataFrame, largest: bool) -> DataFrame:

@@ -106,3 +106,27 @@ def test_one_row_of_a_group_stays(spark, keep_one):
     first = 9 if keep_one is exact_dedup.keep_one else 5
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(first, a), (5, b), (2, "twice"), (None, "x")], key=str)
     assert keep_one(df.limit(0)).collect() == []
+
+
+def test_rows_of_files_are_numbered_in_place(spark, tmp_path, monkeypatch):
+    """A whole copy of the documents in every stage stayed on disk until the end of the pipeline."""
+    from tarn.llm import common
+
+    rows = [(k % 7 if k % 5 else None, f"text {k % 9}", k) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, row_ int").repartition(4).write.parquet(str(tmp_path / "docs"))
+    docs, stored = spark.read.parquet(str(tmp_path / "docs")), []
+    keep = common.store
+    monkeypatch.setattr(common, "store", lambda df: stored.append(df.columns) or keep(df))
+    numbered, key = common.keyed(docs)
+    assert key == "row__" and numbered.columns == ["doc_id", "text", "row_", "row__"]
+    assert not any("text" in columns for columns in stored)
+    got = [tuple(r) for r in numbered.collect()]
+    assert sorted((r[:3] for r in got), key=str) == sorted(rows, key=str) and len({r[3] for r in got}) == 60
+    assert sorted(map(str, numbered.select("text", "row__").collect())) == sorted(map(str, keep(numbered).select("text", "row__").collect()))
+    # the same file twice, and anything but a plain read, are copied
+    path = str(tmp_path / "docs")
+    for df, n in ((spark.read.parquet(path, path), 120), (docs.filter("row_ < 30"), 30), (docs.union(docs), 120), (spark.createDataFrame(rows, docs.schema), 60)):
+        stored.clear()
+        numbered, key = common.keyed(df)
+        assert numbered.select(key).distinct().count() == numbered.count() == n
+        assert any("text" in columns for columns in stored)
