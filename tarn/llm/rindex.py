@@ -1,9 +1,9 @@
-"""A run-length index of many short strings, and matching statistics streamed from it.
+"""A run-length index of many short strings, and matching statistics from its run ends.
 
-The index holds the Burrows-Wheeler transform of the strings (each closed by an end mark of its own) by its runs: first
-row, character, the row to which the step backwards takes the run's first row, and there, sampled, the length of the match with
-the row before. Rows inside a run step backwards side by side and their match grows by one, so rows and match lengths
-of all positions stream from the run ends alone, right to left, for all strings in step.
+The index holds the Burrows-Wheeler transform of the strings (each closed by an end mark of its own), of which only the run ends
+are sampled: the length of the match with the row before, at the row to which the step backwards takes a run's first row. Rows
+inside a run step backwards side by side and their match grows by one, so the match lengths of all positions follow from the
+run ends alone: a position's is that of the next sampled position of its string, and as much more as lies between them.
 """
 
 from __future__ import annotations
@@ -13,28 +13,38 @@ import numpy as np
 
 def suffix_order(data: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Positions of the strings that lie end to end in ``data`` by their suffixes; of equal suffixes, the earlier string first."""
-    end = np.repeat(np.cumsum(size), size)
-    room = end - np.arange(len(data))
-    rank = np.zeros(len(data), dtype=np.int64)
-    for k in range(7):  # seven characters in nine bits each; nothing sorts before every byte
-        c = np.zeros(len(data), dtype=np.int64)
-        live = np.flatnonzero(room > k)
-        c[live] = data[live + k].astype(np.int64) + 1
-        rank = rank << 9 | c
-    depth, most = 7, int(size.max(initial=0))
+    n, strings, end = len(data), len(size), np.cumsum(size)
+    # as many characters as fit in 63 bits; nothing sorts before every byte
+    used = np.flatnonzero(np.bincount(data, minlength=256))
+    bits = len(used).bit_length()
+    depth = max(1, 63 // max(bits, 1))
+    code = np.zeros(256, dtype=np.int64)
+    code[used] = np.arange(1, len(used) + 1)
+    chars = np.concatenate([code[data], np.zeros(depth, dtype=np.int64)])
+    key = np.zeros(n, dtype=np.int64)
+    for k in range(depth):
+        key = key << bits | chars[k:k + n]
+    for k in range(1, depth):  # what lies behind an end
+        key[end[size >= k] - k] &= -1 << bits * (depth - k)
+    order = np.argsort(key)
+    key = key[order]
+    # a suffix ranks as the first place of those that are equal so far; only places of several are sorted further
+    rank, string = np.empty(n, dtype=np.int64), np.repeat(np.arange(strings), size)
+    end, open_ = end[string], np.arange(n)
     while True:
-        order = np.argsort(rank)
-        first = np.concatenate([[True], rank[order[1:]] != rank[order[:-1]]]) if len(order) else np.zeros(0, dtype=bool)
-        dense = np.empty(len(order), dtype=np.int64)
-        dense[order] = np.cumsum(first)
-        if first.all():
+        first = np.ones(len(key) + 1, dtype=bool)
+        first[1:-1] = key[1:] != key[:-1]
+        rank[order[open_]] = open_[np.maximum.accumulate(np.where(first[:-1], np.arange(len(key)), 0))] if n else open_
+        open_ = open_[~(first[:-1] & first[1:])]
+        if not open_.size:
             return order
-        if depth >= most:
-            return np.argsort(dense * (len(order) + 1) + np.arange(len(order)))
-        rest = np.zeros(len(order), dtype=np.int64)
-        live = np.flatnonzero(room > depth)
-        rest[live] = dense[live + depth]
-        rank = dense * (len(order) + 1) + rest
+        at = order[open_]
+        ahead = at + depth
+        # those that end here come first, by string
+        rest = np.where(ahead < end[at], rank[np.minimum(ahead, n - 1)] + strings, string[at])
+        key = rank[at] * (n + strings) + rest
+        by = np.argsort(key)
+        order[open_], key = at[by], key[by]
         depth *= 2
 
 
@@ -52,48 +62,42 @@ def common_prefix(data: np.ndarray, room: np.ndarray, a: np.ndarray, b: np.ndarr
 
 
 class RunIndex:
-    """Runs of the transform of strings (bytes end to end, and their lengths), with samples at the run ends."""
+    """Rows of strings (bytes end to end, and their lengths) by suffix, and their matches sampled at the transform's run ends."""
 
     def __init__(self, data: np.ndarray, size: np.ndarray, depth: int) -> None:
         strings, n = len(size), len(data)
-        self.size, self.depth, self.rows = size, depth, strings + n
-        start = np.cumsum(size) - size
-        room = np.repeat(start + size, size) - np.arange(n)
+        self.depth, self.rows = depth, strings + n
+        end = np.cumsum(size)
+        room = np.repeat(end, size) - np.arange(n)
         order = suffix_order(data, size)
         # row r < strings: the end mark of string r; the other rows follow the suffix order
-        before = np.where(np.isin(order, start, assume_unique=True), -1, data[order - 1].astype(np.int16)) if n else np.zeros(0, dtype=np.int16)
-        ends = np.where(size > 0, data[np.maximum(start + size - 1, 0)].astype(np.int16), -1) if n else np.full(strings, -1, dtype=np.int16)
-        transform = np.concatenate([ends, before])
-        head = np.flatnonzero(np.concatenate([[True], transform[1:] != transform[:-1]])) if len(transform) else np.zeros(0, dtype=np.int64)
-        self.head, char = head, transform[head]
-        length = np.diff(np.append(head, len(transform)))
-        # rows that start with a character follow the end marks; a run goes after all earlier runs of its character
-        by_char = np.argsort(char, kind="stable")
-        to = np.zeros(len(head), dtype=np.int64)
-        to[by_char] = np.cumsum(length[by_char]) - length[by_char]
-        to += strings - int(length[char < 0].sum())
-        self.to = np.where(char < 0, -1, to)
-        self.sample = np.zeros(len(head), dtype=np.int64)
-        real = np.flatnonzero((self.to > strings))
-        row = self.to[real] - strings
-        self.sample[real] = common_prefix(data, room, order[row - 1], order[row], depth)
+        self.place = np.empty(n, dtype=np.int64)
+        self.place[order] = np.arange(strings, strings + n)
+        held = size > 0
+        before = np.full(n + strings, -1, dtype=np.int16)  # characters before the rows; -1 before a string's first
+        before[np.flatnonzero(held)] = data[end[held] - 1]
+        begins = np.zeros(n, dtype=bool)
+        begins[end[held] - size[held]] = True
+        before[strings:] = np.where(begins[order], -1, data[order - 1].astype(np.int16))
+        head = np.ones(n + strings, dtype=bool)
+        head[1:] = before[1:] != before[:-1]
+        self.head = np.flatnonzero(head)
+        # where a step backwards from a run's first row leads
+        self.sampled = np.concatenate([end - 1, order - 1])[head & (before >= 0)]
+        row = self.place[self.sampled] - strings
+        self.sample = np.zeros(len(row), dtype=np.int64)
+        real = np.flatnonzero(row > 0)
+        self.sample[real] = common_prefix(data, room, order[row[real] - 1], order[row[real]], depth)
+        self.last = end[held] - 1
 
     def statistics(self) -> tuple[np.ndarray, np.ndarray]:
         """For every position of the strings, end to end: its row, and how far (up to ``depth``) it matches the row before."""
-        total = int(self.size.sum())
-        rows, match = np.zeros(total, dtype=np.int64), np.zeros(total, dtype=np.int64)
-        long_first = np.argsort(-self.size, kind="stable")
-        ends, sizes = np.cumsum(self.size)[long_first], self.size[long_first]
-        row, now = long_first.copy(), np.zeros(len(long_first), dtype=np.int64)  # the end marks match nothing
-        for step in range(1, int(sizes[0]) + 1 if len(sizes) else 1):
-            n = int(np.searchsorted(-sizes, -step, side="right"))
-            row, now = row[:n], now[:n]
-            run = np.searchsorted(self.head, row, side="right") - 1
-            inside = row - self.head[run]
-            now = np.where(inside > 0, np.minimum(now + 1, self.depth), self.sample[run])
-            row = self.to[run] + inside
-            rows[ends[:n] - step], match[ends[:n] - step] = row, now
-        return rows, match
+        n = len(self.place)
+        known = np.full(n, -1, dtype=np.int64)
+        known[self.last] = 1  # the end marks match nothing
+        known[self.sampled] = self.sample
+        after = np.minimum.accumulate(np.where(known >= 0, np.arange(n), n)[::-1])[::-1]
+        return self.place, np.minimum(known[after] + after - np.arange(n), self.depth)
 
 
 def first_owners(data: np.ndarray, size: np.ndarray, owner: np.ndarray, depth: int) -> np.ndarray:

@@ -93,3 +93,17 @@ def test_repetitive_strings_have_few_runs():
     base = np.random.default_rng(1).integers(97, 123, 400).astype(np.uint8)
     index = RunIndex(np.tile(base, 100), np.full(100, 400), 50)
     assert len(index.head) < 1000 < index.rows
+
+
+def test_a_long_string_does_not_have_all_others_sorted_again(monkeypatch):
+    rnd = np.random.default_rng(2)
+    one = rnd.integers(97, 123, 60)
+    size = np.array([60] * 100 + [8000])
+    data = np.concatenate([one] * 100 + [rnd.integers(97, 123, 8000)]).astype(np.uint8)
+    plain, places = np.argsort, []
+    monkeypatch.setattr(np, "argsort", lambda a, *x, **y: places.append(len(a)) or plain(a, *x, **y))
+    order = suffix_order(data, size)
+    assert sum(places) < 4 * len(data)
+    text, string = data.tobytes(), np.repeat(np.arange(101), size)
+    ends = np.cumsum(size)[string]
+    assert order.tolist() == sorted(range(len(data)), key=lambda i: (text[i:ends[i]], string[i]))
