@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.operators.links import components
-from tarn.session import store, temporary
+from tarn.session import few_tasks, gathered, store, temporary
 
 from .common import ascii_lower, cache_of, keyed, one_of_each, positions
 from .shingles import arrow_bytes, mix, shingle_sets
@@ -141,7 +141,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, limit: Fraction) -> DataFrame:
 
     one = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
     two = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(work, "a long, b long")
+    return gathered(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb")).mapInArrow(work, "a long, b long")
 
 
 def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, block: int, limit: Fraction) -> DataFrame:
@@ -246,7 +246,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, limit: Fraction
     sets = _sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), nodes, docs)
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b"))
-    return both.select("a", "b", "ma", "mb").mapInArrow(decide, "a long, b long")
+    return gathered(both.select("a", "b", "ma", "mb")).mapInArrow(decide, "a long, b long")
 
 
 def _to_pivots(labelled: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, limit: Fraction) -> DataFrame:
@@ -286,36 +286,37 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     with temporary(docs.sparkSession) as keep:
         known = keep(sketch(rows))
-        classes = known.filter("n_shingles > 0").groupBy("set_id").agg(
-            F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.max("regs").alias("regs"), F.count("*").alias("rows"))
-        with temporary(docs.sparkSession) as hold:
-            nodes = hold(positions(classes, F.col("first_id").asc_nulls_last(), F.col("set_id")).withColumnRenamed("at", "node"))
-        with temporary(docs.sparkSession) as hold:
-            bands = store(_bands(nodes, band_rows(limit)))
-            shared = bands.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).filter("members > 1")
-            # only buckets of two and more matter from here on
-            bucketed = hold(bands.join(store(shared), "key"))
-
-        links = labels = None
-        labelled = bucketed.withColumn("label", F.col("node"))
-        for k in range(rounds):
+        with few_tasks(docs.sparkSession, known.count()):
+            classes = known.filter("n_shingles > 0").groupBy("set_id").agg(
+                F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.max("regs").alias("regs"), F.count("*").alias("rows"))
             with temporary(docs.sparkSession) as hold:
-                more = hold(_to_pivots(labelled, nodes, rows, k, limit))
-            if more.isEmpty():
-                break
-            links = more if links is None else links.unionByName(more)
-            labels = components(links)
-            labelled = store(bucketed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-        with temporary(docs.sparkSession) as hold:
-            meeting = _meeting(labelled, bucketed, crowded)
-            pairs = store(_across(meeting, nodes, _sets(meeting.select("node").distinct(), nodes, rows, _cut), block, limit))
-            more = hold(_linked(pairs, nodes, rows, limit))
-        if labels is None or not more.isEmpty():
-            labels = components(more if links is None else links.unionByName(more))
-
-        smallest = nodes.select(F.col("node").alias("label"), F.col("first_id").alias("component_id"))
-        grouped = keep(nodes.join(labels, "node", "left").filter("label IS NOT NULL OR rows > 1")
-                       .select("set_id", F.coalesce("label", "node").alias("label")).join(smallest, "label").select("set_id", "component_id", F.lit(True).alias("in_group")))
+                nodes = hold(positions(classes, F.col("first_id").asc_nulls_last(), F.col("set_id")).withColumnRenamed("at", "node"))
+            with temporary(docs.sparkSession) as hold:
+                bands = store(_bands(nodes, band_rows(limit)))
+                shared = bands.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).filter("members > 1")
+                # only buckets of two and more matter from here on
+                bucketed = hold(bands.join(store(shared), "key"))
+
+            links = labels = None
+            labelled = bucketed.withColumn("label", F.col("node"))
+            for k in range(rounds):
+                with temporary(docs.sparkSession) as hold:
+                    more = hold(_to_pivots(labelled, nodes, rows, k, limit))
+                if more.isEmpty():
+                    break
+                links = more if links is None else links.unionByName(more)
+                labels = components(links)
+                labelled = store(bucketed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+            with temporary(docs.sparkSession) as hold:
+                meeting = _meeting(labelled, bucketed, crowded)
+                pairs = store(_across(meeting, nodes, _sets(meeting.select("node").distinct(), nodes, rows, _cut), block, limit))
+                more = hold(_linked(pairs, nodes, rows, limit))
+            if labels is None or not more.isEmpty():
+                labels = components(more if links is None else links.unionByName(more))
+
+            smallest = nodes.select(F.col("node").alias("label"), F.col("first_id").alias("component_id"))
+            grouped = keep(nodes.join(labels, "node", "left").filter("label IS NOT NULL OR rows > 1")
+                           .select("set_id", F.coalesce("label", "node").alias("label")).join(smallest, "label").select("set_id", "component_id", F.lit(True).alias("in_group")))
     found = known.select("doc_id", "n_shingles", "set_id").join(grouped, "set_id", "left")
     own = F.when(F.col("in_group"), F.col("component_id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))

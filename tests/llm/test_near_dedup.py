@@ -183,3 +183,29 @@ def test_workers_drop_what_other_tasks_kept():
     cache_of("language")["scorer"] = object()
     assert "scorer" in cache_of("language")
     assert cache_of("near_dedup") == {} and cache_of("language") == {}
+
+
+def test_few_rows_take_few_tasks(spark, monkeypatch):
+    from tarn import session
+
+    plain, seen = session._written, []
+    most = 3 * spark.sparkContext.defaultParallelism
+    conf = {"spark.sql.shuffle.partitions": str(2 * most + 1), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+
+    def written(df, paths):
+        out = plain(df, paths)
+        seen.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(session, "_written", written)
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = corpus()
+        found = near_groups(spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string").repartition(2))
+        assert max(seen) <= most
+        assert sorted((tuple(r) for r in found.collect()), key=str) == brute(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
