@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
@@ -18,6 +21,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 _CACHES: dict[str, dict] = {}
 
 
+def release() -> None:
+    """Hand memory that this worker has freed back to the system: allocators keep it otherwise, for as long as the worker is reused."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def cache_of(kind: str) -> dict:
     """What tasks of one kind keep in a reused worker for the next one; a task of another kind drops it.
 
@@ -25,6 +38,8 @@ def cache_of(kind: str) -> dict:
     """
     if kind not in _CACHES:
         _CACHES.clear()
+        gc.collect()
+        release()
     return _CACHES.setdefault(kind, {})
 
 

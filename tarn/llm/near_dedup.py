@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.operators.links import components
-from tarn.session import few_tasks, gathered, store, temporary
+from tarn.session import few_tasks, gathered, small_batches, store, temporary
 
-from .common import ascii_lower, cache_of, keyed, one_of_each, positions
+from .common import ascii_lower, cache_of, keyed, one_of_each, positions, release
 from .shingles import arrow_bytes, mix, shingle_sets
 
 BUCKETS, MANTISSA = 128, 10
@@ -38,6 +38,7 @@ BLOCK = 500_000  # shingles of the nodes that a task compares with each other or
 CROWDED = 5000  # members of a bucket beyond which a second band splits it
 SIGMAS = 5
 NARROW = 1024  # shingles up to which a cut set has 16 bits a shingle; larger ones have 32
+BATCH = 1000  # rows that a Python task is given at once: each may hold two whole sets
 NAMED = 500_000  # rows of (node, digest, id) that are broadcast; more are joined by shuffling
 
 
@@ -83,6 +84,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest())
                     regs.append(registers(s).tobytes())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(ids), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "set_id", "regs"])
+        release()
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(work, "doc_id long, n_shingles long, set_id string, regs binary")
@@ -224,6 +226,7 @@ def _sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame, form=lambda s: s)
                 sets = list(shingle_sets(*arrow_bytes(ascii_lower(b.column("text")))))
                 own = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() == i for s, i in zip(sets, b.column("set_id").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([form(s).tobytes() for s in sets], pa.binary())], ["node", "members"]).filter(pa.array(own, pa.bool_()))
+        release()
 
     named = store(nodes.join(asked, "node").select("node", "set_id", F.col("first_id").alias("id_")))
     if named.count() <= NAMED:
@@ -242,6 +245,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, limit: Fraction
         for b in batches:
             keep = [_alike(*(np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in xy), limit) for xy in zip(b.column("ma"), b.column("mb"), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     sets = _sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), nodes, docs)
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a")
@@ -284,7 +288,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     limit = Fraction(str(similarity))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    with temporary(docs.sparkSession) as keep:
+    with temporary(docs.sparkSession) as keep, small_batches(docs.sparkSession, BATCH):
         known = keep(sketch(rows))
         with few_tasks(docs.sparkSession, known.count()):
             classes = known.filter("n_shingles > 0").groupBy("set_id").agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 WORDS = 5
-SLICE = 1 << 20
+SLICE = 1 << 18  # bytes whose words are hashed at a time, with some 70 bytes of arrays for each
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses modulo 2^64

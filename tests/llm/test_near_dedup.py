@@ -185,17 +185,17 @@ def test_workers_drop_what_other_tasks_kept():
     assert cache_of("near_dedup") == {} and cache_of("language") == {}
 
 
-def test_few_rows_take_few_tasks(spark, monkeypatch):
+def test_few_rows_take_few_tasks_and_small_batches(spark, monkeypatch):
     from tarn import session
 
-    plain, seen = session._written, []
+    batch, plain, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", session._written, []
     most = 3 * spark.sparkContext.defaultParallelism
     conf = {"spark.sql.shuffle.partitions": str(2 * most + 1), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
-    before = {k: spark.conf.get(k) for k in conf}
+    before = {k: spark.conf.get(k) for k in [*conf, batch]}
 
     def written(df, paths):
         out = plain(df, paths)
-        seen.append(len(out.inputFiles()))
+        seen.append((len(out.inputFiles()), int(spark.conf.get(batch))))
         return out
 
     monkeypatch.setattr(session, "_written", written)
@@ -204,7 +204,8 @@ def test_few_rows_take_few_tasks(spark, monkeypatch):
     try:
         rows = corpus()
         found = near_groups(spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string").repartition(2))
-        assert max(seen) <= most
+        assert spark.conf.get(batch) == before[batch]
+        assert max(n for n, _ in seen) <= most and max(b for _, b in seen) <= 1000
         assert sorted((tuple(r) for r in found.collect()), key=str) == brute(rows)
     finally:
         for k, v in before.items():
