@@ -41,7 +41,7 @@ def test_a_distance_at_the_limit_is_near(spark):
     assert found(D.unifrac(shares(spark, cells).limit(0), within=0.7)) == {}
 
 
-@pytest.mark.parametrize("name", ["d6_near_customers"])
+@pytest.mark.parametrize("name", ["d6_near_customers", "d7_near_customers"])
 def test_queries_give_the_pairs(name):
     """Every near pair with its distance, not only their numbers by customer."""
     assert "SELECT i, j, round(CAST(d AS DOUBLE), 6)" in ORACLES[name] and "links" not in ORACLES[name]
