@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +16,10 @@ from .pairs import pair_sums, per_item
 from .similar import overlap_pairs
 
 GRID_AXES = 3  # coordinates that a grid has at most; the others are only compared
-GATHERED = 50_000  # components up to which the driver keeps what becomes of them; more stay in Spark
+GATHERED = 1_000_000  # components up to which one task follows the ways between them; more merge in Spark first
+TILE = 50_000  # points of a tile of grid cells, unless one cell has more
+TASK_POINTS = 10_000  # points for which a task is worth while
+MET = 2_000_000  # pairs of points that a task lists at once
 CROWDED = 256  # different points in a cell beyond which a search starts with smaller cells
 
 
@@ -183,28 +189,115 @@ def _cells(width: float, axes: int, point: str = "x") -> list[Column]:
     return [F.floor(F.col(point)[a] / width).cast("double").alias(f"c{a}") for a in range(axes)]
 
 
+def _forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of edges between components ``a`` and ``b`` those of the minimum spanning forest, all components, and the one that each becomes part of.
+
+    Boruvka rounds; of edges of one length the one with the smaller ids ``i``, ``j`` is the shorter.
+    """
+    nodes = np.unique(np.concatenate([a, b]))
+    order = np.lexsort((j, i, d))
+    a, b = np.searchsorted(nodes, a[order]), np.searchsorted(nodes, b[order])
+    label, live, kept = np.arange(len(nodes)), np.arange(len(order)), []
+    while True:
+        u, v = label[a[live]], label[b[live]]
+        live, u, v = live[u != v], u[u != v], v[u != v]
+        if not len(live):
+            return order[np.concatenate(kept)] if kept else order[:0], nodes, nodes[label]
+        first = np.full(len(nodes), len(order))
+        np.minimum.at(first, u, live)
+        np.minimum.at(first, v, live)
+        own = np.flatnonzero(first < len(order))
+        kept.append(np.unique(first[own]))
+        up = np.arange(len(nodes))
+        up[own] = label[a[first[own]]] + label[b[first[own]]] - own  # the other end
+        root = own[(up[up[own]] == own) & (own < up[own])]  # two that picked each other form the only cycles
+        up[root] = root
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+
+
+def _tile_forest(tile: pd.DataFrame, radius: float, axes: int) -> pd.DataFrame:
+    """The minimum spanning forest of a tile's components: shortest ways of at most ``radius`` between their points."""
+    point, c = tile["id"].to_numpy(np.int64), tile["c"].to_numpy(np.int64)
+    x = tile[[n for n in tile.columns if n.startswith("x")]].to_numpy(float)
+    _, c_code = np.unique(c, return_inverse=True)
+    place = np.floor(x[:, :axes] / (radius * (1 + 1e-6)))
+    # rounding leaves a point in a cell next to its own at most, so there is room around
+    place = (place - place.min(axis=0)).astype(np.int64) + 1
+    strides = np.cumprod(np.concatenate([[1], (place.max(axis=0) + 2)[:-1]]))
+    cell = place @ strides
+    order = np.lexsort((c_code, cell))
+    point, c, x, c_code, cell = point[order], c[order], x[order], c_code[order], cell[order]
+    held = int(c_code.max(initial=0)) + 1
+    run = cell * held + c_code
+    kept = [np.zeros(0, t) for t in (np.int64, np.int64, float, np.int64, np.int64)]
+    for step in itertools.product((-1, 0, 1), repeat=axes):
+        if step < (0,) * axes:
+            continue  # the other side of a step that is taken
+        there = cell + int(np.dot(step, strides))
+        to = np.searchsorted(cell, there, "right")
+        after = np.searchsorted(run, there * held + c_code, "right")
+        ranges = [(after, to)]
+        if any(step):
+            ranges.append((np.searchsorted(cell, there), np.searchsorted(run, there * held + c_code)))
+        for low, high in ranges:
+            n = high - low
+            upto = np.cumsum(n)
+            for part in np.split(np.arange(len(n)), np.searchsorted(upto, np.arange(MET, upto[-1], MET))):
+                p = np.repeat(part, n[part])
+                if not len(p):
+                    continue
+                q = np.arange(len(p)) - np.repeat(upto[part] - n[part] - (upto[part[0]] - n[part[0]]), n[part]) + low[p]
+                squares = np.zeros(len(p))
+                for axis in range(x.shape[1]):
+                    squares += (x[p, axis] - x[q, axis]) ** 2
+                d = np.sqrt(squares)
+                p, q, d = p[d <= radius], q[d <= radius], d[d <= radius]
+                more = [c[p], c[q], d, np.minimum(point[p], point[q]), np.maximum(point[p], point[q])]
+                edges = [np.concatenate(e) for e in zip(kept, more)]
+                best = _forest(*edges)[0]
+                kept = [e[best] for e in edges]
+    return pd.DataFrame(dict(zip(("a", "b", "d", "i", "j"), kept)))
+
+
+def _forests(points: DataFrame, radius: float, axes: int, coords: int) -> DataFrame:
+    """``(a, b, d, i, j)``: shortest ways of at most ``radius`` between the points of different components of ``points`` (id, x, c), as
+    many as the minimum spanning forest may have.
+
+    Cells lie in tiles of at most ``TILE`` points, or one cell; a tile's task sees its points and those of the cells around it. An
+    edge that is the longest of a circle there is in no minimum spanning tree, so only the edges of the tile's own forest leave it.
+    """
+    n, fullest = points.groupBy(*_cells(radius * (1 + 1e-6), axes)).count().agg(F.sum("count"), F.max("count")).first()
+    across = max(1, int((TILE / (fullest or 1)) ** (1 / axes)))
+    placed = points.select("id", "c", *[F.col("x")[a].alias(f"x{a}") for a in range(coords)], *_cells(radius * (1 + 1e-6), axes))
+    for a in range(axes):
+        near = F.array_distinct(F.array(*[F.floor((F.col(f"c{a}") + s) / across).cast("double") for s in (-1.0, 0.0, 1.0)]))
+        placed = placed.withColumn(f"t{a}", F.explode(near)).drop(f"c{a}")
+    at = [f"t{a}" for a in range(axes)]
+    return placed.repartition(max(1, math.ceil((n or 0) / TASK_POINTS)), *at).groupBy(*at).applyInPandas(
+        lambda tile: _tile_forest(tile, radius, axes), "a long, b long, d double, i long, j long")
+
+
 def _ways_out(points: DataFrame, radius: float, axes: int) -> DataFrame:
     """``(c, to, d)``: of every component of ``points`` (id, x, c), the shortest way to a point of another one, if there is one
-    of at most ``radius``.
+    of at most ``radius``. Pairs within a component are never made."""
+    coords = points.agg(F.max(F.size("x"))).first()[0] or axes
+    return _picks(_forests(points, radius, axes, coords))
 
-    Points look into the cells around theirs and meet only the other components' points there: pairs within a component are never made.
-    """
-    width = radius * (1 + 1e-6)
-    placed = points.select("id", "x", "c", *_cells(width, axes))
-    at = [f"c{a}" for a in range(axes)]
-    there = placed.select(*at, F.col("c").alias("to")).distinct()
-    looking = placed
-    for c in at:
-        looking = looking.withColumn("s_", F.explode(F.array(*[F.lit(float(s)) for s in (-1, 0, 1)]))).withColumn(c, F.col(c) + F.col("s_")).drop("s_")
-    others = placed.select(F.col("id").alias("j"), F.col("x").alias("y"), F.col("c").alias("to"), *at)
-    met = looking.join(there, at).filter(F.col("c") != F.col("to")).join(others, [*at, "to"])
-    squares = F.zip_with("x", "y", lambda u, v: (u - v) * (u - v))
-    d = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v))
-    edge = F.struct(d.alias("d"), F.least("id", "j").alias("i"), F.greatest("id", "j").alias("j"), "to")
-    best = met.select("c", edge.alias("e")).filter(F.col("e.d") <= radius).groupBy("c").agg(F.min("e").alias("e"))
+
+def _picks(edges: DataFrame) -> DataFrame:
+    ways = F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("to")), F.struct(F.col("b").alias("c"), F.col("a").alias("to")))
+    best = edges.select(F.explode(ways).alias("w"), "d", "i", "j").groupBy("w.c").agg(F.min(F.struct("d", "i", "j", "w.to")).alias("e"))
     return best.select("c", F.col("e.to").alias("to"), F.col("e.d").alias("d"))
 
 
+def _connected(edges: pd.DataFrame) -> pd.DataFrame:
+    """``(c, p, d)``: components, those they become part of when all edges are followed, and the longest edge of the forest."""
+    best, nodes, into = _forest(*[edges[n].to_numpy() for n in ("a", "b", "d", "i", "j")])
+    return pd.DataFrame({"c": nodes, "p": into, "d": edges["d"].to_numpy()[best].max(initial=0.0)})
+
+
 def _merged(picks: DataFrame) -> DataFrame:
     """``(c, p)``: the component that every picking one becomes part of, by pointer jumping, two jumps between checkpoints."""
     back = picks.select(F.col("c").alias("to"), F.col("to").alias("back_"))
@@ -224,10 +317,10 @@ def _merged(picks: DataFrame) -> DataFrame:
 def spanning_threshold(points: DataFrame, key: str, coords: list[str], gathered: int = GATHERED) -> float:
     """Longest edge of the points' minimum spanning tree, from neighbours on a grid instead of all pairs.
 
-    Boruvka rounds run on the pairs of different components that are at most a radius apart; when none is left, the radius doubles. A
-    shortest way out that is known is an edge of the tree whatever lies farther away. Points at one place are one node. The
-    first radius makes cells with few points each. From ``gathered`` components on, whatever the number of places, the driver keeps
-    which ones they became, which saves jobs; the result is the same. A missing or infinite coordinate is an error; fewer than two places give 0.
+    Tiles of the grid give the shortest ways of at most a radius between different components, those of their own spanning forests
+    only. Up to ``gathered`` components one task follows these ways; more of them merge in Boruvka rounds in Spark first. When no way is
+    left, the radius doubles. A shortest way out that is known is an edge of the tree whatever lies farther away. Points at one
+    place are one node. The first radius makes cells with few points each. A missing or infinite coordinate is an error; fewer than two places give 0.
     """
     src = points.select(F.array(*[F.col(f"`{c}`").cast("double") for c in coords]).alias("x"))
     # a coordinate of -0.0 is one of 0.0
@@ -245,45 +338,26 @@ def spanning_threshold(points: DataFrame, key: str, coords: list[str], gathered:
         if fullest <= CROWDED or radius < span * 1e-9:
             break
         radius /= 4
-    labelled, parts, longest, label = src.withColumn("c", F.col("id")), n, 0.0, None
+    labelled, parts, longest = src.withColumn("c", F.col("id")), n, 0.0
     while parts > 1:
-        if label is None and parts <= gathered:
-            base = labelled.withColumnRenamed("c", "c0")
-            label = {r["c"]: r["c"] for r in labelled.select("c").distinct().collect()}
-        picks = _ways_out(labelled, radius, axes)
-        picks = picks.collect() if label else cut_lineage(picks)
-        far = max((r.d for r in picks), default=None) if label else picks.agg(F.max("d")).first()[0]
+        ways = store(_forests(labelled, radius, axes, len(coords)))
+        if parts <= gathered:
+            into = store(ways.groupBy().applyInPandas(_connected, "c long, p long, d double"))
+            far, merged = into.agg(F.max("d"), F.count_if(F.col("c") != F.col("p"))).first()
+        else:
+            picks = cut_lineage(_picks(ways))
+            into, far, merged = _merged(picks), picks.agg(F.max("d")).first()[0], None
         if far is None:
             radius *= 2
             continue
         longest = max(longest, far)
-        if label:
-            label = _relabelled(label, [(r.c, r.to) for r in picks])
-            parts = len(set(label.values()))
-            labelled = base.join(F.broadcast(src.sparkSession.createDataFrame(list(label.items()), "c0 long, c long")), "c0").select("id", "x", "c")
-        else:
-            labelled = cut_lineage(labelled.join(_merged(picks), "c", "left").select("id", "x", F.coalesce("p", "c").alias("c")))
-            parts = labelled.select("c").distinct().count()
+        labelled = store(labelled.join(into.select("c", "p"), "c", "left").select("id", "x", F.coalesce("p", "c").alias("c")))
+        parts = labelled.select("c").distinct().count() if merged is None else parts - merged
+        if merged is not None:
+            radius *= 2  # all ways of this radius are followed
     return float(longest)
 
 
-def _relabelled(label: dict[int, int], links: list[tuple[int, int]]) -> dict[int, int]:
-    """Components after the links between them, each named by one of its own."""
-    up: dict[int, int] = {}
-
-    def top(c: int) -> int:
-        while c in up:
-            up[c] = up.get(up[c], up[c])
-            c = up[c]
-        return c
-
-    for a, b in links:
-        a, b = top(a), top(b)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-    return {k: top(c) for k, c in label.items()}
-
-
 def near_within_tree(points: DataFrame, key: str, coords: list[str]) -> tuple[DataFrame, float]:
     """The pairs ``(i, j, d)`` at most as far apart as the longest edge of the spanning tree, and that length. All other
     distances count as four times it in the spatial step, so they need no rows."""

@@ -110,21 +110,25 @@ class Views:
             F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal") / 1000).alias("SUVA"))
 
     @cached_property
-    def master(self) -> DataFrame:
-        """One row per customer: balance and the means of its orders; every seventh customer misses the price."""
-        orders = self.table("orders")
-        lines = self.table("lineitem").select("l_orderkey", "l_quantity", "l_discount")
-        per_order = lines.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        items = per_order.groupBy(F.col("o_custkey").alias("k")).agg(
-            F.avg("l_quantity").alias("qty"), (F.avg("l_discount") * 100).alias("disc"))
-        money = orders.groupBy(F.col("o_custkey").alias("k")).agg((F.avg("o_totalprice") / 997).alias("price"))
+    def priced(self) -> DataFrame:
+        """One row per customer: balance and mean order price; every seventh customer misses the price."""
+        money = self.table("orders").groupBy(F.col("o_custkey").alias("k")).agg((F.avg("o_totalprice") / 997).alias("price"))
         money = money.withColumn("price", F.when(F.col("k") % 7 != 0, F.col("price")))
         nation = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         nation = nation.select("n_nationkey", F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
         cust = self.table("customer").select(
             F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n_nationkey"), (F.col("c_acctbal") / 1000).alias("balance"),
             F.col("c_mktsegment").alias("segment"))
-        return cust.join(nation, "n_nationkey").join(money, "k", "left").join(items, "k", "left").drop("n_nationkey")
+        return cust.join(nation, "n_nationkey").join(money, "k", "left").drop("n_nationkey")
+
+    @cached_property
+    def master(self) -> DataFrame:
+        """The priced customers with the means of their orders' lines."""
+        lines = self.table("lineitem").select("l_orderkey", "l_quantity", "l_discount")
+        per_order = lines.join(self.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+        items = per_order.groupBy(F.col("o_custkey").alias("k")).agg(
+            F.avg("l_quantity").alias("qty"), (F.avg("l_discount") * 100).alias("disc"))
+        return self.priced.join(items, "k", "left")
 
     @cached_property
     def counts(self) -> DataFrame:

@@ -266,7 +266,7 @@ def _(v):
 @query("d8_customers_threshold")
 def _(v):
     """The spanning tree's longest edge with the customers as sites."""
-    return v.spark.createDataFrame([(D.spanning_threshold(v.master.filter("price IS NOT NULL"), "k", ["balance", "price"]),)], "threshold double")
+    return v.spark.createDataFrame([(D.spanning_threshold(v.priced.filter("price IS NOT NULL"), "k", ["balance", "price"]),)], "threshold double")
 
 
 @query("d8_truncate", check(f"SELECT i, j, CASE WHEN d > threshold THEN 4 * threshold ELSE d END AS d FROM v_euclid, ({MST})", "d", "i j"))

@@ -145,3 +145,45 @@ def test_the_driver_keeps_components_once_they_are_few(spark, monkeypatch):
     monkeypatch.setattr(D, "_merged", lambda picks: (rounds.append(1), merged(picks))[1])
     got = D.spanning_threshold(frame(spark, x), "id", ["x0", "x1"], gathered=59)
     assert got == pytest.approx(bottleneck(x), rel=1e-12) and len(rounds) == 1
+
+
+def test_tiles_give_the_tree_of_all_pairs(spark, monkeypatch):
+    """Many small tiles, few pairs at once: no more ways leave a tile than its forest has, and the tree stays the same."""
+    monkeypatch.setattr(D, "TILE", 40)
+    monkeypatch.setattr(D, "MET", 50)
+    forests, sizes = D._forests, []
+    monkeypatch.setattr(D, "_forests", lambda *a: (lambda df: sizes.append(df.count()) or df)(forests(*a)))
+    x = np.random.default_rng(6).uniform(-1, 1, (400, 2)) * [1, 3]
+    x[:350] /= 10
+    assert D.spanning_threshold(frame(spark, x), "id", ["x0", "x1"]) == pytest.approx(bottleneck(x), rel=1e-12)
+    assert max(sizes) <= 9 * 399
+
+
+def test_a_forest_is_the_shortest():
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 40, 300), rng.integers(0, 40, 300) + 0
+    d, i, j = rng.integers(1, 6, 300).astype(float), np.arange(300), np.arange(300) + 1
+    a, b, d, i, j = (v[a != b] for v in (a, b, d, i, j))
+    best, nodes, into = D._forest(a, b, d, i, j)
+    label, total = dict(zip(nodes, nodes)), 0.0
+    for k in np.lexsort((j, i, d)):
+        if label[a[k]] != label[b[k]]:
+            old, total = label[b[k]], total + d[k]
+            label = {n: label[a[k]] if v == old else v for n, v in label.items()}
+    assert d[best].sum() == total and len(best) == len(nodes) - len(set(label.values()))
+    assert len(set(zip(into, label.values()))) == len(set(into)) == len(set(label.values()))
+
+
+def test_places_need_no_order_lines(spark, monkeypatch):
+    from test_queries import SF
+
+    from tarn.plans import QUERIES
+    from tarn.plans.bindings import Views
+
+    views = Views(spark, SF)
+    assert views.priced.exceptAll(views.master.select(*views.priced.columns)).isEmpty() and views.priced.count() == views.master.count()
+    seen = []
+    monkeypatch.setattr(views, "table", lambda name, f=views.table: seen.append(name) or f(name))
+    views.__dict__.pop("priced")
+    QUERIES["d8_customers_threshold"].on_views(views)
+    assert "customer" in seen and "lineitem" not in seen
